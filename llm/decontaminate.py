@@ -1,0 +1,217 @@
+"""Benchmark decontamination by the q-gram lemma.
+
+An occurrence of an item of ``m`` bytes with at most ``k`` edits keeps at least
+``m - q + 1 - k q`` of its q-grams, all within ``k + 1`` neighbouring diagonals (text
+position less item position). Shared q-grams are counted in overlapping bands of
+diagonals; a band that meets the bound is a region, and a banded alignment decides it.
+The counts may exceed the number of shared q-grams, never fall short, so the filter
+loses nothing.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import in_slices
+
+Q = 10
+MAX_ERROR = 0.06
+#: Benchmark bytes that executors hold at once; a larger benchmark is taken in blocks of about this size.
+BLOCK_BYTES = 8 << 20
+_BITS = 21
+_FAR = 1 << 20
+
+
+def normal(text: str | None) -> bytes:
+    """Lower case, white space runs as one space."""
+    return " ".join((text or "").lower().split()).encode()
+
+
+def qgram_codes(text: bytes) -> np.ndarray:
+    """A 64-bit code for each 10-byte q-gram (two overlapping loads of eight bytes)."""
+    n = len(text) - Q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    load = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
+    return load[:n] * np.uint64(0x9E3779B97F4A7C15) + load[2 : n + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, free: bool) -> tuple[int, int]:
+    """Least edits of all of ``item`` against text that ends at the returned position.
+
+    Only cells whose text position less item position lies in ``low .. high`` count.
+    ``free``: the occurrence may begin anywhere in the band, else at position 0.
+    """
+    width, m, n, far = high - low + 1, len(item), len(text), 1 << 28
+    ramp = np.arange(width)
+    col = low + ramp
+    row = np.where((col < 0) | (col > n), far, 0 if free else col)
+    padded = np.full(n + m + 2 * width + abs(low) + abs(high) + 2, -1, np.int32)
+    shift = m + width + abs(low)
+    padded = np.concatenate([np.full(shift, -1, np.int32), text.astype(np.int32), padded])
+    for i in range(1, m + 1):
+        left = i + low
+        differs = padded[shift + left - 1 : shift + left - 1 + width] != item[i - 1]
+        new = row + differs
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        if left <= 0 or left + width > n:
+            j = left + ramp
+            new[(j < 0) | (j > n)] = far
+        new = np.minimum.accumulate(new - ramp) + ramp
+        if left + width > n:
+            new[left + ramp > n] = far
+        row = new
+    best = int(np.argmin(row))
+    return int(row[best]), m + low + best
+
+
+class Index:
+    """The q-grams of a block of items."""
+
+    def __init__(self, items: list[tuple[int, str]], max_error: float = MAX_ERROR):
+        self.items = [(i, b) for i, t in items if (b := normal(t))]
+        self.k, self.tau, self.short = [], [], []
+        codes, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, (_, b) in enumerate(self.items):
+            m, k = len(b), int(max_error * len(b))
+            while k and m - Q + 1 - k * Q < 1:
+                k -= 1
+            self.k.append(k)
+            self.tau.append(m - Q + 1 - k * Q)
+            if m < Q:
+                self.short.append(x)
+                continue
+            c = qgram_codes(b)
+            codes.append(c)
+            owner.append(np.full(len(c), x))
+            offset.append(np.arange(len(c)))
+        c = np.concatenate(codes)
+        order = np.argsort(c, kind="stable")
+        self.codes, self.owner, self.offset = c[order], np.concatenate(owner)[order], np.concatenate(offset)[order]
+        self.table = np.zeros(1 << _BITS, bool)
+        self.table[(self.codes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.tau, self.k = np.array(self.tau, np.int64), np.array(self.k, np.int64)
+        self.step = np.maximum(2 * self.k + 1, 16)
+        self.least = int(self.tau.min()) if len(self.tau) else 0
+
+    def regions(self, text: bytes):
+        """``(item, band)`` pairs whose count of shared q-grams meets the item's bound."""
+        codes = qgram_codes(text)
+        pos = np.flatnonzero(self.table[(codes >> np.uint64(64 - _BITS)).astype(np.int64)])
+        if not len(pos) or not len(self.codes):
+            return []
+        own = codes[pos]
+        first, last = np.searchsorted(self.codes, own, "left"), np.searchsorted(self.codes, own, "right")
+        each = last - first
+        total = int(each.sum())
+        if not total:
+            return []
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(total)
+        item, diagonal = self.owner[at], np.repeat(pos, each) - self.offset[at]
+        often = np.bincount(item, minlength=len(self.items)) >= self.tau
+        keep = often[item]
+        if not keep.any():
+            return []
+        item, diagonal = item[keep], diagonal[keep]
+        step, k = self.step[item], self.k[item]
+        band = diagonal // step
+        lower = diagonal - band * step < k
+        key = np.concatenate([item * (1 << 40) + band + _FAR, item[lower] * (1 << 40) + band[lower] - 1 + _FAR])
+        key, count = np.unique(key, return_counts=True)
+        good = count >= self.tau[key >> 40]
+        return [(int(x >> 40), int(x & ((1 << 40) - 1)) - _FAR) for x in key[good]]
+
+    def matches(self, text: str | None):
+        """``(item_id, start, end, edits, most edits)`` of the best occurrence of each item; places in code points of the normal form."""
+        b = normal(text)
+        best: dict[int, tuple] = {}
+        if not b:
+            return []
+        data = None
+        for x, band in self.regions(b):
+            item, k, step = self.items[x][1], int(self.k[x]), int(self.step[x])
+            if x in best and best[x][0] == 0:
+                continue
+            start = max(0, band * step - k)
+            end = min(len(b), band * step + step + 2 * k + len(item))
+            at = b.find(item, start, end)
+            if at >= 0:
+                found = (0, at, at + len(item))
+            else:
+                if data is None:
+                    data = np.frombuffer(b, np.uint8)
+                pattern = np.frombuffer(item, np.uint8)
+                low, high = band * step - k - start, band * step + step + 2 * k - start
+                edits, stop = aligned(pattern, data[start:end], low, high, True)
+                if edits > k:
+                    continue
+                back = data[start : start + stop][::-1]
+                _, length = aligned(pattern[::-1], back, -k, k, False)
+                found = (edits, start + stop - length, start + stop)
+            if x not in best or found < best[x]:
+                best[x] = found
+        for x in self.short:
+            at = b.find(self.items[x][1])
+            if at >= 0:
+                best[x] = (0, at, at + len(self.items[x][1]))
+        place = lambda p: len(b[:p].decode(errors="ignore"))
+        return [(self.items[x][0], place(s), place(e), edits, int(self.k[x])) for x, (edits, s, e) in sorted(best.items())]
+
+
+def blocks_of(benchmark: DataFrame, max_error: float, block_bytes: int):
+    """Indexes of the benchmark, block by block; one block while its texts have at most ``block_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // block_bytes) or 1
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield Index([(r[0], r[1]) for r in part.distinct().collect()], max_error)
+
+
+FOUND = "doc_id long, item_id long, start_char long, end_char long, edits int, max_edits int"
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, item_id, start_char, end_char, edits, max_edits``: each item that a document holds, at its best place.
+
+    Both sides are compared in lower case with white space runs as one space; an item
+    may have up to ``max_error`` of its bytes in edits. Null or empty texts on either
+    side match nothing; ids may be null; repeated documents each give rows, repeated
+    items (same id and text) count once; empty tables give no rows; other columns are
+    left out. A map over the documents: nothing is shuffled.
+    """
+    spark = docs.sparkSession
+    out = None
+    for index in blocks_of(benchmark, max_error, block_bytes):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for batch in in_slices(batches, 512):
+                rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in index.matches(t)]
+                if rows:
+                    kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start_char", "end_char", "edits", "max_edits"])
+
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no benchmark item. Null texts stay."""
+    spark = docs.sparkSession
+    at = docs.columns.index("text")
+    for index in blocks_of(benchmark, max_error, block_bytes):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            index = shared.value
+            for batch in in_slices(batches, 512):
+                yield batch.filter(pa.array([not index.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -1,0 +1,150 @@
+"""Main text of web pages by the distribution of text over lines (line blocks).
+
+Each block of a page is a line. Markup, and lines of page furniture, count as no text.
+Text lengths are summed over sliding windows of lines; text is kept from a surge
+(a window whose sum passes a threshold) to the next dive (a window of no text).
+"""
+
+from __future__ import annotations
+
+import html as entities
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import in_slices
+
+WINDOW = 3
+SURGE_CHARS = 86
+LINK_SHARE = 0.6
+
+# Element names of HTML by their part in a page.
+RAW = "script style noscript template svg math iframe object canvas head title textarea select option button".split()
+FURNITURE = "nav header footer aside form dialog menu".split()
+CONTENT = ("article", "main")
+BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
+EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Words of class, id and role values that mark furniture.
+MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|login|search|nav\w*|menu|breadcrumbs?|pagination|pager|toolbar|sidebar|side-bar|aside|widget|related|recommended|share|sharing|social|footer|header|masthead|comments?|commentlist|disqus|respond|replies|contentinfo|complementary|banner|navigation)(?:$|[\s_-])", re.I)
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[a-zA-Z/!?][^>]*\Z", re.S)
+_ATTR = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_SPACE = re.compile(r"\s+")
+
+
+def lines_of(page: str):
+    """``(text, characters inside links, furniture, inside an article or main element)`` for each block with text, in page order."""
+    out, buf, linked = [], [], 0
+    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
+    junk = inside = links = 0
+    any_content = False
+
+    def flush():
+        nonlocal buf, linked
+        text = _SPACE.sub(" ", "".join(buf)).strip()
+        if text:
+            out.append((text, linked, junk > 0, inside > 0))
+        buf, linked = [], 0
+
+    def add(raw):
+        nonlocal linked
+        if raw:
+            text = entities.unescape(raw)
+            buf.append(text)
+            if links:
+                linked += len(_SPACE.sub(" ", text).strip())
+
+    at, n = 0, len(page)
+    while at < n:
+        m = _TOKEN.search(page, at)
+        if not m:
+            add(page[at:])
+            break
+        add(page[at : m.start()])
+        at = m.end()
+        if m["cdata"] is not None:
+            add(m["cdata"])
+        if not (name := m["name"]):
+            continue
+        name, ending = name.lower(), bool(m["end"])
+        if name in RAW and not ending:
+            # everything to the end tag is not text; without one, scripts and styles run to the end of the page
+            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if name in BLOCKS:
+                flush()
+            at = close.end() if close else n if name in ("script", "style") else at
+            continue
+        if name == "a":
+            links = 0 if ending else 1
+            continue
+        if name == "br":
+            buf.append(" ")
+            continue
+        if name in BLOCKS:
+            flush()
+            links = 0
+        if name in EMPTY:
+            continue
+        if not ending:
+            marks = " ".join(x for g in _ATTR.findall(m["attrs"] or "") for x in g if x)
+            bad = name in FURNITURE and not (name == "header" and inside) or bool(marks and name not in ("html", "body", *CONTENT) and MARKS.search(marks))
+            good = name in CONTENT and not junk
+            if not m["attrs"].rstrip().endswith("/") and (name in BLOCKS and name not in ("p", "li") or bad):
+                stack.append((name, bad, good))
+                junk += bad
+                inside += good
+                any_content |= good
+        else:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == name:
+                    for _, bad, good in stack[k:]:
+                        junk -= bad
+                        inside -= good
+                    del stack[k:]
+                    break
+    flush()
+    return out, any_content
+
+
+def main_text(page: str, window: int = WINDOW, surge: int = SURGE_CHARS) -> str:
+    lines, has_content = lines_of(page)
+    sizes = []
+    for text, linked, bad, inside in lines:
+        drop = bad or (has_content and not inside) or (not inside and linked >= LINK_SHARE * len(text))
+        sizes.append(0 if drop else len(text))
+    if not any(sizes):
+        return ""
+    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    # marked content needs no minimum; elsewhere a surge is relative where a page has little text
+    least = 1 if has_content else min(surge, max(1, max(sums) // 4))
+    kept, i, n = [], 0, len(sizes)
+    while i < n:
+        if not sizes[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and sums[j]:  # up to the dive: a window without text
+            j += 1
+        if max(sums[i:j]) >= least:
+            kept.extend(lines[k][0] for k in range(i, j) if sizes[k])
+        i = j + 1
+    return "\n\n".join(kept)
+
+
+def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE_CHARS) -> DataFrame:
+    """``page_id, url, text, n_chars`` for each row of ``page_id, url, html``.
+
+    The whole page is read. Null or empty html, or a page without content, gives an
+    empty text; null ids and addresses stay; repeated rows each give a row; an empty
+    table gives none; other columns are left out. A map over the rows, without a shuffle.
+    """
+
+    def run(batches):
+        for batch in in_slices(batches, 128):
+            texts = [main_text(x, window, surge) if x else "" for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,0 +1,185 @@
+"""Language identification by words first, backing off to shorter and shorter character n-grams.
+
+A word that was seen in training scores its log frequency in each language. An unseen
+word scores the mean log frequency of its character n-grams (with a mark at either
+end) of the longest order of which at least half are known, and nothing if there is none.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import Counter
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import in_slices
+
+UNKNOWN = "und"
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@dataclass(frozen=True)
+class Settings:
+    """``train_rows`` bounds the labelled rows a model is fitted on; ``words`` and ``grams`` bound the model that executors hold."""
+
+    train_rows: int = 20_000
+    words: int = 200_000
+    grams: int = 100_000
+    longest: int = 4
+    least_count: int = 2
+    smoothing: float = 0.5
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def grams_of(word: str, n: int) -> list[str]:
+    word = f"^{word}$"
+    return [word[i : i + n] for i in range(len(word) - n + 1)]
+
+
+class Model:
+    """Per-language log frequencies of words and n-grams."""
+
+    def __init__(self, langs: list[str], words: dict[str, tuple], grams: list[dict[str, tuple]]):
+        self.langs, self.words, self.grams = langs, words, grams
+
+    def vector(self, word: str):
+        if (known := self.words.get(word)) is not None:
+            return known
+        for table in self.grams:  # longest order first
+            if not table:
+                continue
+            n = len(next(iter(table)))
+            parts = grams_of(word, n)
+            found = [table[g] for g in parts if g in table]
+            if found and 2 * len(found) >= len(parts):
+                return np.mean(found, axis=0)
+        return None
+
+
+class Scorer:
+    """Scores texts; remembers up to ``limit`` words."""
+
+    def __init__(self, model: Model, limit: int = 200_000):
+        self.m, self.limit = model, limit
+        self.table = np.zeros((limit + 2, max(1, len(model.langs))))
+        self.reset()
+
+    def reset(self):
+        self.used = 1  # row 0: no evidence
+        scorer = self
+
+        class Seen(dict):
+            def __missing__(self, word):
+                v = scorer.m.vector(word) if any(c.isalpha() for c in word) else None
+                at = 0 if v is None else scorer.used
+                if at:
+                    scorer.table[at] = v
+                    scorer.used += 1
+                self[word] = at
+                return at
+
+        self.seen = Seen()
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        words = words_of(text) if text else []
+        if not words or not self.m.langs or not any(c.isalpha() for c in text):
+            return UNKNOWN, 0.0
+        total = np.zeros(len(self.m.langs))
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            if self.used + len(part) > self.limit or len(self.seen) > 2 * self.limit:
+                self.reset()
+            rows = np.fromiter(map(self.seen.__getitem__, part), np.int64, len(part))
+            total += self.table[rows].sum(axis=0)
+        best = int(np.argmax(total))
+        return self.m.langs[best], float(1 / np.exp(total - total[best]).sum())
+
+
+def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
+    """A model of ``text, lang`` rows; null texts and languages are left out.
+
+    At most about ``train_rows`` rows are used, chosen by a hash of the text, so alike
+    on every cluster; a smaller table is used whole. Only the bounded tables of most
+    frequent words and n-grams come to the driver. Ties in frequency go to the smaller string.
+    """
+    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
+    n = rows.count()
+    if n > settings.train_rows:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(settings.train_rows / n * (1 << 20)))
+    longest = settings.longest
+
+    def tally(batches):
+        counts: dict[tuple, int] = Counter()
+
+        def batch_of():
+            keys = list(counts)
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["lang", "kind", "gram", "n"])
+            counts.clear()
+            return out
+
+        for batch in in_slices(batches, 64):
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for word, c in Counter(words_of(text)).items():
+                    counts[lang, 0, word] += c
+                    for k in range(1, longest + 1):
+                        for g in grams_of(word, k):
+                            counts[lang, k, g] += c
+            if len(counts) > 300_000:
+                yield batch_of()
+        if counts:
+            yield batch_of()
+
+    spark = labelled.sparkSession
+    table = rows.mapInArrow(tally, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    path_rows = table.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    from .common import written
+
+    kept = written(path_rows.where((F.col("all") >= settings.least_count) | (F.col("kind") == 1)), "langid")
+    totals = {(r.lang, r.kind): r.n for r in kept.select("kind", F.explode("by").alias("lang", "n")).groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
+    langs = sorted({k[0] for k in totals})
+
+    def bounded(kinds: str, limit: int):
+        return kept.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(limit).collect()
+
+    a = settings.smoothing
+    sizes = Counter()
+    top = [*bounded("kind = 0", settings.words), *bounded("kind > 0", settings.grams)]
+    for r in top:
+        sizes[r.kind] += 1
+    words: dict[str, tuple] = {}
+    grams: list[dict[str, tuple]] = [{} for _ in range(longest)]
+    for r in top:
+        logs = tuple(float(np.log((r.by.get(x, 0) + a) / (totals.get((x, r.kind), 0) + a * (sizes[r.kind] + 1)))) for x in langs)
+        (words if r.kind == 0 else grams[longest - r.kind])[r.gram] = logs
+    del spark
+    return Model(langs, words, grams)
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``lang_pred, score``: the language and its posterior (0 to 1).
+
+    ``und`` with score 0 for null, empty or letterless texts, or a model without
+    languages. Whole texts are read; equal texts get equal results; ties go to the
+    language that is first in the alphabet. Columns of those names are replaced. A
+    map without a shuffle; the model is bounded by its settings.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+    at = docs.columns.index(text)
+    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+
+    def run(batches):
+        scorer = Scorer(shared.value)
+        for batch in in_slices(batches, 256):
+            found = [scorer(t) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+
+    return docs.mapInArrow(run, schema)

@@ -1,0 +1,35 @@
+"""One query for each operator, over whole standard tables with production parameters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import decontaminate, html_text, langid, warc
+from .common import doc_number
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(doc_number(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"))
+    model = langid.fit(docs.where("doc_id is not null and not held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_language_id, op4_html_text, op6_decontamination)}
+ORACLE_SQL: dict[str, str] = {}
