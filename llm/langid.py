@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import in_slices
+from .common import in_slices, written
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -26,7 +27,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     """``train_rows`` bounds the labelled rows a model is fitted on; ``words`` and ``grams`` bound the model that executors hold."""
 
-    train_rows: int = 20_000
+    train_rows: int = 10_000
     words: int = 200_000
     grams: int = 100_000
     longest: int = 4
@@ -115,8 +116,9 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(settings.train_rows / n * (1 << 20)))
     longest = settings.longest
 
-    def tally(batches):
-        counts: dict[tuple, int] = Counter()
+    def summed(pairs):
+        """Partial sums of ``(key, count)`` pairs as batches; keys are tuples of a language and a string or a kind and a string."""
+        counts: Counter = Counter()
 
         def batch_of():
             keys = list(counts)
@@ -124,23 +126,36 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
             counts.clear()
             return out
 
-        for batch in in_slices(batches, 64):
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word, c in Counter(words_of(text)).items():
-                    counts[lang, 0, word] += c
-                    for k in range(1, longest + 1):
-                        for g in grams_of(word, k):
-                            counts[lang, k, g] += c
-            if len(counts) > 300_000:
+        for key, c in pairs:
+            counts[key] += c
+            if len(counts) > 400_000:
                 yield batch_of()
         if counts:
             yield batch_of()
 
-    spark = labelled.sparkSession
-    table = rows.mapInArrow(tally, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    path_rows = table.groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    from .common import written
+    def words(batches):
+        def pairs():
+            for batch in in_slices(batches, 64):
+                for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for word, c in Counter(words_of(text)).items():
+                        yield (lang, 0, word), c
+
+        return summed(pairs())
+
+    def grams(batches):
+        def pairs():
+            for batch in in_slices(batches, 4096):
+                for lang, word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    for k in range(1, longest + 1):
+                        for g in grams_of(word, k):
+                            yield (lang, k, g), c
+
+        return summed(pairs())
 
+    shape = "lang string, kind int, gram string, n long"
+    by_word = written(rows.mapInArrow(words, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "langid-words")
+    by_gram = by_word.select("lang", "gram", "n").mapInArrow(grams, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    path_rows = by_word.unionByName(by_gram).groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     kept = written(path_rows.where((F.col("all") >= settings.least_count) | (F.col("kind") == 1)), "langid")
     totals = {(r.lang, r.kind): r.n for r in kept.select("kind", F.explode("by").alias("lang", "n")).groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({k[0] for k in totals})
@@ -153,13 +168,12 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     top = [*bounded("kind = 0", settings.words), *bounded("kind > 0", settings.grams)]
     for r in top:
         sizes[r.kind] += 1
-    words: dict[str, tuple] = {}
-    grams: list[dict[str, tuple]] = [{} for _ in range(longest)]
+    known: dict[str, tuple] = {}
+    orders: list[dict[str, tuple]] = [{} for _ in range(longest)]
     for r in top:
         logs = tuple(float(np.log((r.by.get(x, 0) + a) / (totals.get((x, r.kind), 0) + a * (sizes[r.kind] + 1)))) for x in langs)
-        (words if r.kind == 0 else grams[longest - r.kind])[r.gram] = logs
-    del spark
-    return Model(langs, words, grams)
+        (known if r.kind == 0 else orders[longest - r.kind])[r.gram] = logs
+    return Model(langs, known, orders)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -174,7 +188,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         scorer = Scorer(shared.value)
