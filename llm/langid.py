@@ -47,7 +47,7 @@ def grams_of(word: str, n: int) -> list[str]:
 class Model:
     """Per-language log frequencies of words and n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, tuple], grams: list[dict[str, tuple]]):
+    def __init__(self, langs: list[str], words: dict, grams: list[dict]):
         self.langs, self.words, self.grams = langs, words, grams
 
     def vector(self, word: str):
@@ -60,7 +60,7 @@ class Model:
             parts = grams_of(word, n)
             found = [table[g] for g in parts if g in table]
             if found and 2 * len(found) >= len(parts):
-                return np.mean(found, axis=0)
+                return sum(found) / len(found)
         return None
 
 
@@ -78,7 +78,7 @@ class Scorer:
 
         class Seen(dict):
             def __missing__(self, word):
-                v = scorer.m.vector(word) if any(c.isalpha() for c in word) else None
+                v = scorer.m.vector(word) if word[0].isalpha() or any(c.isalpha() for c in word) else None
                 at = 0 if v is None else scorer.used
                 if at:
                     scorer.table[at] = v
@@ -155,24 +155,20 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     shape = "lang string, kind int, gram string, n long"
     by_word = written(rows.mapInArrow(words, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "langid-words")
     by_gram = by_word.select("lang", "gram", "n").mapInArrow(grams, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
-    path_rows = by_word.unionByName(by_gram).groupBy("kind", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    kept = written(path_rows.where((F.col("all") >= settings.least_count) | (F.col("kind") == 1)), "langid")
-    totals = {(r.lang, r.kind): r.n for r in kept.select("kind", F.explode("by").alias("lang", "n")).groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted({k[0] for k in totals})
-
-    def bounded(kinds: str, limit: int):
-        return kept.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(limit).collect()
-
-    a = settings.smoothing
-    sizes = Counter()
-    top = [*bounded("kind = 0", settings.words), *bounded("kind > 0", settings.grams)]
-    for r in top:
-        sizes[r.kind] += 1
-    known: dict[str, tuple] = {}
-    orders: list[dict[str, tuple]] = [{} for _ in range(longest)]
-    for r in top:
-        logs = tuple(float(np.log((r.by.get(x, 0) + a) / (totals.get((x, r.kind), 0) + a * (sizes[r.kind] + 1)))) for x in langs)
-        (known if r.kind == 0 else orders[longest - r.kind])[r.gram] = logs
+    langs = sorted(r[0] for r in by_word.select("lang").distinct().collect())
+    sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
+    table = by_word.unionByName(by_gram).groupBy("kind", "gram").agg(F.sum("n").alias("all"), *sums)
+    kept = written(table.where((F.col("all") >= settings.least_count) | (F.col("kind") == 1)), "langid")
+    totals = {r[0]: np.array(r[1:], float) for r in kept.groupBy("kind").agg(*[F.sum(f"n{k}") for k in range(len(langs))]).collect()}
+    known: dict[str, np.ndarray] = {}
+    orders: list[dict[str, np.ndarray]] = [{} for _ in range(longest)]
+    for kinds, limit in (("kind = 0", settings.words), ("kind > 0", settings.grams)):
+        top = kept.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(limit).toArrow()
+        kind, counts = top.column("kind").to_numpy(), np.stack([top.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1).astype(float) if langs else np.zeros((0, 0))
+        for k in np.unique(kind):
+            own = np.flatnonzero(kind == k)
+            logs = np.log((counts[own] + settings.smoothing) / (totals[k] + settings.smoothing * (len(own) + 1))).astype(np.float32)
+            (known if k == 0 else orders[longest - k]).update(zip(top.column("gram").take(own).to_pylist(), logs, strict=True))
     return Model(langs, known, orders)
 
 
