@@ -100,7 +100,7 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     if not n:
         return hashes
     size = min(size, n)
-    acc = np.full(n - size + 1, np.uint64(0x9E3779B97F4A7C15) * np.uint64(size), np.uint64)
+    acc = np.full(n - size + 1, (0x9E3779B97F4A7C15 * size) & (2**64 - 1), np.uint64)
     for k in range(size):
         acc = mix(acc ^ hashes[k : n - size + 1 + k]) + np.uint64(k)
     return np.unique(acc)

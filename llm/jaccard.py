@@ -1,0 +1,243 @@
+"""Exact similarity join of shingle sets, size-aware: subsets for light sets, inverted lists for heavy ones.
+
+Two sets link when ``100 |A n B| >= percent |A u B|``. A set of ``n`` shingles then
+shares at least ``o(n) = ceil(percent n / 100)`` with any partner, so in a global order of
+shingles the first ``n - o(n) + l`` of each hold the first ``l`` common ones.
+
+* Light sets (``n`` up to a boundary) emit every ``l``-subset (``l = 2``) of that prefix:
+  two light partners share one subset, and a subset is far rarer than a shingle.
+* Heavy sets, and light sets large enough to have a heavy partner, are entered in the
+  inverted lists of their ``l = 1`` prefix, and lists are scanned for pairs.
+
+The boundary is the largest size whose subsets cost no more than the entries its lists
+would be scanned for. The order puts rare shingles first (shingles that make up more than
+``HOT_SHARE`` of all come last, by count), so widely shared passages enter few lists.
+
+Equal sets are one node. In a list, all sets are first compared with one pivot; sets found
+linked fall into components, and only pairs of different components are compared
+afterwards, so a group of near copies costs about its size and no link between different
+components is lost. Every candidate is decided on whole sets.
+
+A node is the 64-bit fingerprint of its sorted shingle fingerprints; ``n`` different sets
+give about ``n^2 / 2^65`` chance collisions.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHasher, as_bytes, components, in_slices, mix, shingle_set, tidy, written
+
+SUBSET = 2
+HOT_SHARE = 1e-6
+LARGEST_LIGHT = 60
+#: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def node_of(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
+def needed(n: int, percent: int) -> int:
+    return -(-percent * n // 100)
+
+
+def prefix(n: int, percent: int, subset: int) -> int:
+    return min(n, n - needed(n, percent) + subset)
+
+
+def sets_of(text: bytes, hasher: WordHasher, size: int) -> np.ndarray:
+    return shingle_set(hasher(text.lower().split()), size)
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def facts(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node, n`` of each document (node null for an empty set), and ``shingle, count`` of shingles frequent in some partition.
+
+    A shingle that makes up ``HOT_SHARE`` of all does so in at least one partition, so
+    no hot one is missed; counts below a partition's share are not added, which can
+    only change the order and no result.
+    """
+
+    def run(batches):
+        hasher, total, pending, seen = WordHasher(), 0, [], 0
+        table = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+        def fold():
+            nonlocal table, pending, seen
+            keys = np.concatenate(pending) if pending else np.zeros(0, np.uint64)
+            keys, counts = np.unique(keys, return_counts=True)
+            keep = counts > 1
+            k = np.concatenate([table[0], keys[keep]])
+            c = np.concatenate([table[1], counts[keep]])
+            k, at = np.unique(k, return_inverse=True)
+            table = (k, np.bincount(at, c, len(k)).astype(np.int64))
+            pending, seen = [], 0
+
+        def batch_of(kind, a, b, c):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
+
+        for batch in in_slices(batches, 512):
+            nodes, sizes = [], []
+            for text in as_bytes(batch.column(1)):
+                s = sets_of(text, hasher, size)
+                nodes.append(node_of(s) if len(s) else None)
+                sizes.append(len(s))
+                total += len(s)
+                pending.append(s)
+                seen += len(s)
+                if seen > 4_000_000:
+                    fold()
+            yield batch_of(0, batch.column(0).to_pylist(), nodes, sizes)
+        fold()
+        keep = table[1] >= max(2, math.ceil(HOT_SHARE * total))
+        yield batch_of(1, _signed(table[0][keep]), table[1][keep], np.zeros(int(keep.sum()), np.int64))
+
+    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, a long, b long, c long"), "jaccard-facts")
+    own = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"))
+    hot = both.where("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("b").alias("count"))
+    return own, hot
+
+
+def boundary(percent: int, list_length: float) -> int:
+    """The largest light size: its subsets cost at most the list entries that its prefix would be compared with."""
+    best = 0
+    for n in range(2, LARGEST_LIGHT + 1):
+        if math.comb(prefix(n, percent, SUBSET), SUBSET) <= prefix(n, percent, 1) * (1 + list_length):
+            best = n
+    return best
+
+
+def entries(docs: DataFrame, hot_keys, light: int, percent: int, size: int) -> DataFrame:
+    """``key, node, n``: the list entries and subsets of each document's set; keys of subsets and of lists never mix."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(hot_keys)
+    heavy_partner = needed(light + 1, percent)  # smaller sets have no heavy partner
+
+    def run(batches):
+        hasher = WordHasher()
+        hot, counts = shared.value
+        for batch in in_slices(batches, 256):
+            keys, nodes, sizes = [], [], []
+            for text in as_bytes(batch.column(0)):
+                s = sets_of(text, hasher, size)
+                n = len(s)
+                if not n or 100 * n < percent * (n + 1):
+                    continue  # only an equal set can be a partner
+                rank = np.zeros(n, np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+                    rank = np.where(hot[at] == s, counts[at], 0)
+                order = s[np.lexsort((s, rank))]
+                node = node_of(s)
+                found = []
+                if n <= light:
+                    p = mix(order[: prefix(n, percent, SUBSET)])
+                    i, j = np.triu_indices(len(p), 1)
+                    found.append(mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]))
+                if n >= heavy_partner:
+                    found.append(order[: prefix(n, percent, 1)])
+                for k in found:
+                    keys.append(k)
+                    nodes.append(np.full(len(k), node))
+                    sizes.append(np.full(len(k), n, np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes), pa.int32())], ["key", "node", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, node long, n int")
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, percent: int, size: int) -> DataFrame:
+    """Of candidate pairs ``a, b`` (nodes) those that link, decided on whole sets."""
+    pairs = written(pairs, "jaccard-pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(own.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted_node")), "jaccard-wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    side = F.broadcast(wanted.select("wanted_id")) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted.select("wanted_id")
+    chosen = texts.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in in_slices(batches, 128):
+            sets = [sets_of(t, hasher, size) for t in as_bytes(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["node", "s"])
+
+    sets = written(chosen.select("text").mapInArrow(run, "node long, s array<long>").join(wanted.select(F.col("wanted_node").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return written(full.withColumn("same", same).where(f"100 * same >= {percent} * (size(sa) + size(sb) - same)").select("a", "b"), "jaccard-links")
+
+
+def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``doc_id, text``.
+
+    Words are cut at ASCII white space and lower-cased in A-Z; a shorter text is one
+    shingle; null, empty or blank texts have none and stay alone. ``component_id`` is
+    the smallest ``doc_id`` reachable by links. Repeated rows, equal ids and null ids
+    are all kept; a null id never becomes a component's id unless all are null. Other
+    columns are left out; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    own, hot = facts(docs, size)
+    total = own.agg(F.sum("n")).first()[0] or 0
+    # fewer than 1 / HOT_SHARE shingles can each make up HOT_SHARE of all
+    top = hot.where(F.col("count") >= max(2, math.ceil(HOT_SHARE * total))).orderBy(F.desc("count"), "shingle").limit(int(1 / HOT_SHARE)).toArrow()
+    keys, counts = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    length = float((counts.astype(float) ** 2).sum() / max(1, total))
+    lists = entries(docs, (keys[order], counts[order]), light := boundary(percent, length), percent, size)
+
+    summed = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"), F.max("node").alias("high")).where("pivot < high").select("key", "pivot", "pivot_n")
+    live_keys = written(summed, "jaccard-keys")
+    live = written(lists.join(live_keys, "key").distinct(), "jaccard-lists")
+    tidy(spark)
+    stars = live.where("node <> pivot").where(_near("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = _linked(stars, docs, own, percent, size)
+    tidy(spark)
+    groups = written(components(links), "jaccard-groups")
+
+    placed = written(live.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "jaccard-placed")
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    rest = written(placed.join(open_keys, "key", "left_semi"), "jaccard-rest")
+    left, right = (rest.select("key", *[F.col(x).alias(x + y) for x in ("node", "n", "c")]) for y in "12")
+    more = left.join(right, "key").where("c1 < c2").where(_near("n1", "n2", percent))
+    tested = F.struct(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+    more = more.select(tested.alias("p")).distinct().select("p.a", "p.b").join(stars_tested(live, percent), ["a", "b"], "left_anti")
+    links2 = _linked(more, docs, own, percent, size)
+    tidy(spark)
+    named = components(links.unionByName(links2).unionByName(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    linked = own.join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    smallest = linked.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    out = linked.join(smallest, "c", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def stars_tested(live: DataFrame, percent: int) -> DataFrame:
+    """The pivot pairs, which need no second comparison."""
+    return live.where("node <> pivot").where(_near("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """One row of each group of ``join``: the one with the smallest ``doc_id``, all columns kept.
+
+    Rows with null, empty or blank text stay, each alone; rows that repeat the
+    smallest ``doc_id`` of a group all stay, as one document; rows with a null id stay.
+    """
+    found = written(join(docs, percent, size).where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")), "jaccard-kept")
+    gone = found.where("doc_id <> c").select(F.col("doc_id").alias("gone"))
+    side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
+    return docs.join(side, docs["doc_id"] == F.col("gone"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, langid, warc
+from . import decontaminate, html_text, jaccard, langid, repeats, warc
 from .common import doc_number
 
 
@@ -31,5 +31,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_language_id, op4_html_text, op6_decontamination)}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), percent=85, size=4)
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_language_id, op4_html_text, op6_decontamination, op8_jaccard_join, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}
