@@ -1,0 +1,176 @@
+"""Mixing sources to target weights by soft membership, in DataFrame operations only.
+
+A Bayes classifier over telling words, word stems and marks of shape, learned from the table of labels, gives every document a
+posterior over domains. Nonnegative document rates are then fitted by projected-gradient
+least squares, so that the expected tokens of each domain (rate x tokens x posterior,
+summed) meet the target weights.
+
+A gradient step is the same for all documents but for their posteriors, so the state of
+the fit is a short list of step vectors (one number per domain); a document's rate is
+that list replayed, ``r = max(0, r - p . g)``. Posteriors have three decimals, so documents of
+equal posteriors have equal rates and are fitted as one cell with their tokens summed; the
+table of cells has a bounded number of rows, however many documents there are. Each
+round sums one number per domain over it; nothing per document is collected.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import SPACE, written
+
+# The domains, as the labels define them, and their default target weights.
+DOMAINS = ("high", "low", "toxic")
+TARGETS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
+
+#: Labelled rows that the classifier is fitted on at most, and features it keeps at most.
+TRAIN_ROWS = 20_000
+FEATURES = 4_000
+#: A feature is kept if, at the lower end of a Wilson interval, this share of its labelled
+#: documents (at least so many) is of one domain that is not the rule anyway. Words
+#: that only tell languages apart tell nothing about a domain and are not kept.
+LEAST_SHARE = 0.6
+LEAST_DOCUMENTS = 8
+Z = 1.96
+STEM = 5
+SMOOTHING = 0.5
+ROUNDS = 25
+#: The fit ends when every domain's tokens are within this share of all tokens.
+TOLERANCE = 1e-3
+
+
+def domain_of() -> F.Column:
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+
+
+def _let(value, body) -> F.Column:
+    """``body(value)`` with ``value`` computed once for each row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """Adds ``x``: ``n_tokens`` and ``features``, which are distinct words without edge punctuation, their first ``STEM`` letters, and marks of a text's shape in steps."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    step = lambda name, value: F.concat(F.lit(f"\t{name}"), F.floor(value).cast("string"))
+    per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    signs = F.char_length(F.regexp_replace(text, r"[\p{L}\s.,]+", ""))
+
+    def with_plain(n, plain, size):
+        marks = F.array(step("signs", 50 * per(signs, size)), step("distinct", 10 * per(F.size(plain), n)), step("length", per(size, n)), step("size", F.log2(n + F.lit(1.0))))
+        stems = F.array_distinct(F.transform(F.filter(plain, lambda w: F.char_length(w) > STEM), lambda w: F.concat(F.lit("\tstem"), F.substring(w, 1, STEM))))
+        return F.struct(n.cast("long").alias("n_tokens"), F.concat(plain, stems, marks).alias("features"))
+
+    def with_words(ws):
+        plain = F.array_distinct(F.transform(ws, lambda w: F.trim(w, F.lit(".,;:!?\"'()|#*$%&"))))
+        return _let(F.struct(plain.alias("plain"), F.size(ws).alias("n"), F.char_length(text).alias("size")), lambda y: with_plain(y["n"], y["plain"], y["size"]))
+
+    return docs.withColumn("x", _let(words, with_words))
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """``feature, w_<domain>`` rows (at most ``FEATURES``), the log priors, and the log shares among rows without any such feature.
+
+    Labelled rows with a null id or no domain are left out. Of more than
+    ``train_rows``, about that many are taken by a hash of the id; they are sent to all
+    executors, so the texts are not shuffled. A domain without labels gets weight zero and a very low prior.
+    """
+    rows = labels.select("doc_id", domain_of().alias("domain")).where("doc_id is not null and domain is not null").dropDuplicates(["doc_id"])
+    n = rows.count()
+    if n > train_rows:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(train_rows / n * (1 << 20)))
+    rows = rows.limit(2 * train_rows)
+    text = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    found = written(featured(text).select(F.monotonically_increasing_id().alias("row"), "domain", "x.features"), "mixing-labelled")
+    sizes = {r[0]: r[1] for r in found.groupBy("domain").count().collect()}
+    total = sum(sizes.values())
+    parts = found.select("row", "domain", F.explode_outer("features").alias("feature"))
+    counts = parts.groupBy("feature").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS], F.count("*").alias("n"))
+    telling, weights = [], []
+    for d in DOMAINS:
+        prior = sizes.get(d, 0) / max(1, total)
+        share, n, zz = F.col(d) / F.col("n"), F.col("n"), Z * Z
+        lower = (share + zz / (2 * n) - Z * F.sqrt(share * (1 - share) / n + zz / (4 * n * n))) / (1 + zz / n)
+        telling.append(F.when(F.lit(0 < prior < LEAST_SHARE), lower).otherwise(0.0))
+        weights.append((F.log((F.col(d) + SMOOTHING) / (F.col("n") + len(DOMAINS) * SMOOTHING)) - math.log(prior) if prior else F.lit(0.0)).alias(f"w_{d}"))
+    scored = counts.select("feature", F.greatest(*telling).alias("told"), "n", *weights).where((F.col("told") >= LEAST_SHARE) & (F.col("n") >= LEAST_DOCUMENTS))
+    model = written(scored.orderBy(F.desc("told"), F.desc("n"), "feature").limit(FEATURES).select("feature", *[f"w_{d}" for d in DOMAINS]), "mixing-model")
+    silent = parts.join(F.broadcast(model), "feature", "left").groupBy("row", "domain").agg(F.count(f"w_{DOMAINS[0]}").alias("hits")).where("hits = 0").groupBy("domain").count()
+    none = {r[0]: r[1] for r in silent.collect()}
+    log = lambda by, d: math.log((by.get(d, 0) + SMOOTHING) / (sum(by.values()) + len(DOMAINS) * SMOOTHING))
+    return model, {d: log(sizes, d) for d in DOMAINS}, {d: log(none, d) for d in DOMAINS}
+
+
+def memberships(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``rid, doc_id, text_hash, n_tokens, p_<domain>`` of every document, as a written table without texts."""
+    model, prior, none = fit_classifier(docs, labels, train_rows)
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))  # below the explode, so once per document
+    rows = featured(rows).select("rid", "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("x.n_tokens"), F.explode_outer("x.features").alias("feature"))
+    # the model has a bounded number of rows; a text always has its marks of shape, so no document is lost
+    sums = rows.join(F.broadcast(model), "feature", "left").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("text_hash").alias("text_hash"), F.first("n_tokens").alias("n_tokens"), F.count(f"w_{DOMAINS[0]}").alias("hits"), *[F.sum(F.coalesce(f"w_{d}", F.lit(0.0))).alias(f"s_{d}") for d in DOMAINS])
+    logits = {d: F.when(F.col("hits") == 0, none[d]).otherwise(F.round(F.col(f"s_{d}") + prior[d], 6)) for d in DOMAINS}
+    top = F.greatest(*logits.values())
+    powers = [F.exp(x - top) for x in logits.values()]
+    p = [F.round(x / sum(powers[1:], powers[0]), 3) for x in powers]
+    p[0] = F.round(1.0 - sum(p[2:], p[1]), 3)
+    return written(sums.select("rid", "doc_id", "text_hash", "n_tokens", *[x.alias(f"p_{d}") for d, x in zip(DOMAINS, p, strict=True)]), "mixing-members")
+
+
+def rate_of(steps: list[list[float]]) -> F.Column:
+    """A document's rate: 1, then each step taken and cut off at zero."""
+    taken = F.array(*[F.array(*map(F.lit, s)) for s in steps]) if steps else F.array().cast("array<array<double>>")
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    return F.aggregate(taken, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - sum((x * F.get(g, k) for k, x in enumerate(p)), F.lit(0.0))))
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> list[list[float]]:
+    """Step vectors of the fit. The gradient of a domain is scaled by its share of tokens, which keeps the step stable."""
+    p = [f"p_{d}" for d in DOMAINS]
+    members = written(members.groupBy(*p).agg(F.sum("n_tokens").alias("n_tokens")).coalesce(8), "mixing-cells")
+    mass = members.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()
+    total = sum(x or 0.0 for x in mass)
+    if not total:
+        return []
+    weight = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
+    goal = [total * targets.get(d, 0.0) / weight for d in DOMAINS]
+    steps: list[list[float]] = []
+    for _ in range(rounds):
+        rated = members.withColumn("r", rate_of(steps))
+        now = rated.agg(*[F.sum(F.col("r") * F.col("n_tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first()
+        error = [(a or 0.0) - b for a, b in zip(now, goal, strict=True)]
+        if max(map(abs, error)) <= TOLERANCE * total:
+            break
+        steps.append([round(e / m, 9) if m else 0.0 for e, m in zip(error, mass, strict=True)])
+    return steps
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, n_tokens, p_<domain>, domain, rate, expected_tokens`` for each row of ``doc_id, text``.
+
+    Null, empty and blank texts have no tokens and a rate that moves no total; repeated
+    rows each have their own; without labels all domains are equally likely; an empty
+    table gives no rows; other columns are left out. Posteriors and rates are rounded to 6 places.
+    """
+    return rated(memberships(docs, labels, train_rows), targets).drop("rid", "text_hash")
+
+
+def rated(members: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    steps = fit_rates(members, TARGETS if targets is None else targets)
+    best = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+    domain = F.lit(None).cast("string")
+    for d in reversed(DOMAINS):
+        domain = F.when(F.col(f"p_{d}") == best, d).otherwise(domain)
+    out = members.withColumn("rate", rate_of(steps)).withColumn("domain", domain)
+    return out.select("rid", "doc_id", "text_hash", "n_tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in DOMAINS], "domain", F.round("rate", 6).alias("rate"), F.round(F.col("rate") * F.col("n_tokens"), 3).alias("expected_tokens"))
+
+
+def sampled_at(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """``docs`` with ``domain`` and ``rate``, without the rows whose rate is zero."""
+    found = rated(memberships(docs, labels), targets).where("rate > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.first("domain").alias("domain"), F.first("rate").alias("rate"))
+    found = written(found, "mixing-rates")
+    docs = docs.drop("domain", "rate")
+    on = docs["doc_id"].eqNullSafe(F.col("m_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("m_hash"))
+    return docs.join(found, on).drop("m_id", "m_hash")

@@ -1,11 +1,15 @@
-"""One query for each operator, over whole standard tables with production parameters."""
+"""One query for each operator, over whole standard tables with production parameters.
+
+No query has SQL here: each is tested against a brute-force version, an exact round
+trip or held-out accuracy in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, jaccard, langid, repeats, warc
+from . import ann, decontaminate, html_text, jaccard, langid, mixing, repeats, secrets, suffix_tree, warc
 from .common import doc_number
 
 
@@ -23,21 +27,39 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = doc_number(F.col("doc_id")) % 10 == 0
+    return suffix_tree.scores(table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), percent=85, size=4)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_language_id, op4_html_text, op6_decontamination, op8_jaccard_join, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_language_id, op3_projection_forest, op4_html_text, op5_suffix_tree, op6_decontamination, op7_mixing, op8_jaccard_join, op9_secrets, op10_repeats)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,276 @@
+"""Language-model scores by a probabilistic suffix tree over words.
+
+Every node is a context (the last words before a symbol) with a next-symbol distribution.
+The root holds all training tokens, additively smoothed. A longer context is a node if it
+is frequent enough and passes a divergence test: the training tokens that follow it must
+gain at least ``LEAST_GAIN`` nats (and ``GAIN_PER_ENTRY`` per entry) over its parent, the
+context without its first word. A node keeps the symbols seen often after it, discounted
+by ``DISCOUNT``; the mass left over is spread like the parent, so every distribution sums to
+one. A symbol is scored in the longest context that is a node.
+
+All counts are over all training documents, summed in Spark. Only what a share of all
+training tokens bounds comes to the driver and is sent to executors: words that make up
+``HEAVY_SHARE`` of all, contexts ``CONTEXT_SHARE``, entries ``ENTRY_SHARE`` (at most one over the share
+of each, however large the corpus). Rarer words are looked up by a join on the full
+table of counts; they occur in no entry, so their score is the left-over mass times
+their root probability, which is what the join adds.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import WordHasher, as_bytes, in_slices, tidy, written
+
+HEAVY_SHARE = 1e-6
+CONTEXT_SHARE = 1e-6
+ENTRY_SHARE = 5e-7
+LEAST_CONTEXT = 8
+DISCOUNT = 0.5
+LEAST_GAIN = 6.0
+GAIN_PER_ENTRY = 1.0
+ALPHA = 0.1
+#: The end of a text, as a token; no word has a space.
+END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end")).astype(np.int64))
+_KEYS = 4_000_000
+
+
+def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
+    return np.append(hasher(text.lower().split()).view(np.int64), END)
+
+
+def _counted(arrays, names=("k", "n")):
+    """Batches of distinct values and their counts; each pass holds a bounded number of values."""
+    held, size = [], 0
+
+    def batch_of():
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], list(names))
+
+    for x in arrays:
+        held.append(x)
+        size += len(x)
+        if size >= _KEYS:
+            yield batch_of()
+            held, size = [], 0
+    if size:
+        yield batch_of()
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``k, n``: fingerprints and counts of all tokens of ``text``."""
+
+    def run(batches):
+        hasher = WordHasher()
+        yield from _counted(tokens(t, hasher) for batch in in_slices(batches, 256) for t in as_bytes(batch.column(0)))
+
+    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Places of ``of`` in sorted ``keys``; -1 where absent."""
+    if not len(keys):
+        return np.full(len(of), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+    return np.where(keys[at] == of, at, -1)
+
+
+class Tree:
+    """Nodes of one and two words of context below the root."""
+
+    def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int, documents: int):
+        self.heavy, self.counts = heavy, counts
+        self.total, self.distinct = total, distinct
+        self.start = len(heavy)
+        self.root = (counts + ALPHA) / (total + ALPHA * (distinct + 1))
+        self.context = np.append(counts, documents).astype(float)  # the start of a text is a context too
+        self.keys1, self.p1 = np.zeros(0, np.int64), np.zeros(0)
+        self.left1 = np.ones(len(heavy) + 1)
+        self.pairs2, self.left2 = np.zeros(0, np.int64), np.zeros(0)
+        self.keys2, self.p2 = np.zeros(0, np.int64), np.zeros(0)
+
+    @staticmethod
+    def _nodes(context: np.ndarray, n: np.ndarray, size: np.ndarray, parent: np.ndarray):
+        """Entry probabilities, and for each context its left-over mass and whether it passes the divergence test."""
+        share = (n - DISCOUNT) / size[context]
+        left = np.clip(1 - np.bincount(context, share, len(size)), 1e-12, 1)
+        p = share + left[context] * parent
+        gain = np.bincount(context, n * np.log(p / parent), len(size)) + np.maximum(0, size - np.bincount(context, n, len(size))) * np.log(left)
+        good = gain >= LEAST_GAIN + GAIN_PER_ENTRY * np.bincount(context, minlength=len(size))
+        return p, np.where(good, left, 1.0), good & (np.bincount(context, minlength=len(size)) > 0)
+
+    def grow_one(self, keys: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(float)
+        context, word = keys >> 32, keys & 0xFFFFFFFF
+        p, self.left1, good = self._nodes(context, n, self.context, self.root[word])
+        keep = good[context]
+        self.keys1, self.p1, self.n1 = keys[keep], p[keep], n[keep]
+
+    def contexts_two(self, least: float) -> None:
+        """Pairs that can be nodes: the last word is a node, and the pair is frequent."""
+        word = self.keys1 & 0xFFFFFFFF
+        is_node = np.zeros(len(self.context), bool)
+        is_node[self.keys1 >> 32] = True
+        keep = (self.n1 >= least) & is_node[word]
+        self.pairs2, self.size2 = self.keys1[keep], self.n1[keep]
+        self.left2 = np.ones(len(self.pairs2))
+
+    def grow_two(self, keys: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order].astype(float)
+        context, word = keys >> 32, keys & 0xFFFFFFFF
+        last = self.pairs2[context] & 0xFFFFFFFF if len(keys) else context
+        p, self.left2, good = self._nodes(context, n, self.size2, np.exp(self._one(last, word)))
+        keep = good[context]
+        self.keys2, self.p2 = keys[keep], p[keep]
+        del self.n1
+
+    def _one(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Log probability of heavy words after one word; for light words (-1) the left-over mass alone."""
+        light = word < 0
+        at = _find(self.keys1, context * (1 << 32) + word)
+        spread = np.log(np.where(context < 0, 1.0, self.left1[context])) + np.where(light, 0.0, np.log(self.root[np.where(light, 0, word)]) if len(self.root) else 0.0)
+        return np.where((at >= 0) & (context >= 0) & ~light, np.log(self.p1[at]) if len(self.p1) else 0.0, spread)
+
+    def score(self, word: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        """Natural log probabilities given the last word and the one before it (-1: light or none)."""
+        one = self._one(before, word)
+        if not len(self.pairs2):
+            return one
+        at = np.where((before2 >= 0) & (before >= 0), _find(self.pairs2, before2 * (1 << 32) + before), -1)
+        entry = np.where((at >= 0) & (word >= 0), _find(self.keys2, at * (1 << 32) + word), -1)
+        spread = one + np.where(at >= 0, np.log(self.left2[at]), 0.0)
+        return np.where(entry >= 0, np.log(self.p2[entry]) if len(self.p2) else 0.0, spread)
+
+
+def _contexts(ids: np.ndarray, offsets: np.ndarray, start: int):
+    """The words one and two before each token of a flat array of documents."""
+    before, before2 = np.empty_like(ids), np.empty_like(ids)
+    before[1:], before2[2:] = ids[:-1], ids[:-2]
+    first = offsets[:-1]
+    before[first] = start
+    before2[first] = -1
+    second = first + 1
+    second = second[second < offsets[1:]]
+    before2[second] = start
+    return before, before2
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column without nulls; every list has a value (the end)."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.diff(column.offsets.to_numpy())
+    return values, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
+    """``rid, doc_id, held_out, learn, ids, light``: heavy words by number, others as -1 and as fingerprints."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def run(batches):
+        hasher = WordHasher()
+        for batch in in_slices(batches, 256):
+            ids, light = [], []
+            for t in as_bytes(batch.column(4)):
+                h = tokens(t, hasher)
+                i = _find(shared.value, h)
+                ids.append(i.astype(np.int32))
+                light.append(h[i < 0])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in a])]), pa.int32()), pa.array(np.concatenate(a) if a else [], k)) for a, k in ((ids, pa.int32()), (light, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["rid", "doc_id", "held_out", "learn", "ids", "light"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "learn", "text")
+    return written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, learn boolean, ids array<int>, light array<long>"), "lm-encoded")
+
+
+def _collected(counts: DataFrame, least: float, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of at least ``least``; fewer than ``1 / share`` can reach that share of all."""
+    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "k").limit(int(1 / share)).toArrow()
+    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+
+
+def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
+    """The tree, the table of word counts and the encoded documents of ``doc_id, held_out, learn, text``."""
+    spark = texts.sparkSession
+    counts = written(word_counts(texts.where("learn")), "lm-words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    documents = (counts.where(F.col("k") == END).agg(F.sum("n")).first()[0]) or 0
+    heavy, n = _collected(counts, max(2, math.ceil(HEAVY_SHARE * total)), HEAVY_SHARE)
+    order = np.argsort(heavy)
+    tree = Tree(heavy[order], n[order], total, distinct, documents)
+    docs = encoded(texts, tree.heavy)
+    tidy(spark)
+    start = tree.start
+    learned = docs.where("learn").select("ids")
+
+    def pairs(batches):
+        def keys():
+            for batch in in_slices(batches, 2048):
+                ids, offsets = _flat(batch.column(0))
+                before, _ = _contexts(ids, offsets, start)
+                good = (ids >= 0) & (before >= 0)
+                yield before[good] * (1 << 32) + ids[good]
+
+        return _counted(keys())
+
+    least = max(2, math.ceil(ENTRY_SHARE * total))
+    two = learned.mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    tree.grow_one(*_collected(two, least, ENTRY_SHARE))
+    tidy(spark)
+    tree.contexts_two(max(LEAST_CONTEXT, CONTEXT_SHARE * total))
+    frequent = spark.sparkContext.broadcast(tree.pairs2)
+
+    def triples(batches):
+        def keys():
+            for batch in in_slices(batches, 2048):
+                ids, offsets = _flat(batch.column(0))
+                before, before2 = _contexts(ids, offsets, start)
+                good = (ids >= 0) & (before >= 0) & (before2 >= 0)
+                at = _find(frequent.value, before2[good] * (1 << 32) + before[good])
+                yield (at * (1 << 32) + ids[good])[at >= 0]
+
+        return _counted(keys())
+
+    three = learned.mapInArrow(triples, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    tree.grow_two(*_collected(three, least, ENTRY_SHARE))
+    tidy(spark)
+    return tree, counts, docs
+
+
+def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``doc_id, text``.
+
+    The model learns from the rows where ``learn`` is true. Null, empty and blank texts are
+    their end alone; very long texts are scored whole; repeated rows each count and are
+    each scored; null ids are allowed; other columns are left out; an empty table gives
+    no rows, and with nothing to learn from every token has probability one.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
+    tree, counts, coded = fit(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches):
+        tree = shared.value
+        for batch in in_slices(batches, 256):
+            ids, offsets = _flat(batch.column(3))
+            p = tree.score(ids, *_contexts(ids, offsets, tree.start))
+            known = ids >= 0
+            base = np.where(known, np.log10(tree.root[np.where(known, ids, 0)]), 0.0) if len(tree.root) else np.zeros(len(ids))
+            per = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(p) / math.log(10), pa.float64())], ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score"])
+
+    heavy = coded.select("rid", "doc_id", "held_out", "ids").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
+    light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
+    c = F.coalesce(F.col("n"), F.lit(0))
+    value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
+    light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
+    out = written(heavy, "lm-heavy").join(light, "rid", "left")
+    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base")).alias("score"))
