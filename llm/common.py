@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_llm_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="llm-"), "llm_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"llm/{name}")
+    sc.addPyFile(target)
+    sc._llm_shipped = True
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
