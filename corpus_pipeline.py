@@ -1,20 +1,30 @@
-"""A corpus pipeline over ``documents``: each stage works on all that the one before kept."""
+"""A corpus pipeline over ``documents``: each stage works on all that the one before kept.
+
+Stages take ``(spark, docs, sf_dir)``; what one returns is written as Parquet and read
+again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import decontaminate, langid
-from llm.common import fresh_path
+from llm import decontaminate, jaccard, langid, mixing, secrets
+from llm.common import fresh_path, ship
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose language is less sure than this is rejected, besides those without any.
+LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language (no text, no letters, or an undecided posterior)."""
-    model = langid.fit(docs)
-    return langid.predict(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    """Drops documents without a recognisable language: no text, no letter, or an undecided posterior."""
+    found = langid.predict(docs, langid.fit(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each group of documents linked by a similarity of 0.8 of five-word shingles."""
+    return jaccard.deduplicate(docs, percent=80, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +32,29 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("language ID", language_id), ("benchmark decontamination", decontamination)]
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces live secrets in the texts; every document stays."""
+    return secrets.redact(docs)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds each document's domain and fitted rate, and drops those whose rate is zero."""
+    return mixing.sampled_at(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("mixing to target weights", mix_to_targets),
+]
+#: SQL can't express the first and last stages; tests hold the others against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))
