@@ -156,6 +156,8 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     by_word = written(rows.mapInArrow(words, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")), "langid-words")
     by_gram = by_word.select("lang", "gram", "n").mapInArrow(grams, shape).groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
     langs = sorted(r[0] for r in by_word.select("lang").distinct().collect())
+    if not langs:
+        return Model([], {}, [{} for _ in range(longest)])
     sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{k}") for k, x in enumerate(langs)]
     table = by_word.unionByName(by_gram).groupBy("kind", "gram").agg(F.sum("n").alias("all"), *sums)
     kept = written(table.where((F.col("all") >= settings.least_count) | (F.col("kind") == 1)), "langid")
@@ -164,7 +166,7 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     orders: list[dict[str, np.ndarray]] = [{} for _ in range(longest)]
     for kinds, limit in (("kind = 0", settings.words), ("kind > 0", settings.grams)):
         top = kept.where(kinds).orderBy(F.desc("all"), "kind", "gram").limit(limit).toArrow()
-        kind, counts = top.column("kind").to_numpy(), np.stack([top.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1).astype(float) if langs else np.zeros((0, 0))
+        kind, counts = top.column("kind").to_numpy(), np.stack([top.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1).astype(float)
         for k in np.unique(kind):
             own = np.flatnonzero(kind == k)
             logs = np.log((counts[own] + settings.smoothing) / (totals[k] + settings.smoothing * (len(own) + 1))).astype(np.float32)
