@@ -213,6 +213,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     order = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
     lists = best.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("found"))
+    lists = written(lists, "ann-lists")  # two plain exchanges: a vector that many queries share can be split
     hits = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("qid")).join(lists, "qid")
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return hits.select("query_id", F.posexplode(others).alias("pos", "x")).select("query_id", (F.col("pos") + 1).alias("rank"), "x.vec_id", "x.score")

@@ -127,9 +127,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """``node, component`` (the smallest node reachable) for every node of an undirected edge table.
 
     Alternating large-star and small-star steps; each round is written to the shared
-    folder. A round only aggregates (with partial sums) and joins on the node, so a
-    node with very many links is split by Spark like any skewed key. Self links and
-    nulls are ignored.
+    folder. A round only aggregates (with partial sums) and joins on the node; the minima
+    are dealt anew before the join, as Spark splits a skewed key (a node with very many
+    links) only between two plain exchanges. Self links and nulls are ignored.
     """
     spark = links.sparkSession
     e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
@@ -140,9 +140,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         before = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("m")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", F.col("m").alias("w")), F.struct(F.col("u").alias("v"), F.col("m").alias("w")))).alias("x"))
         e = written(small.select(F.col("x.v").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
     else:

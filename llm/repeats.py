@@ -166,6 +166,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     facts = both.where("kind = 0").select("doc_id", "cls", F.col("pos").cast("long").alias("n_words"), "sha")
     symbols = both.where("kind = 1").select("doc_id", "cls", "key", "pos")
     classes = facts.where("doc_id is not null").groupBy(F.col("sha").alias("of")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("of", "first")
+    classes = written(classes, "repeats-classes")  # here and below: a join of two plain exchanges can split a skewed key
     facts = written(facts.join(classes, facts.sha == F.col("of"), "left").select("doc_id", "cls", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")), "repeats-facts")
 
     shared = symbols.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
@@ -206,6 +207,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     found = texts_of.mapInArrow(windows, "h long, doc_id long, cls long, at int")
     least = found.groupBy(F.col("h").alias("of")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("of", "low")
+    least = written(least, "repeats-least")
     covered = found.join(least, (found.h == F.col("of")) & (F.col("doc_id") > F.col("low")), "left_semi")
     covered = written(covered.groupBy("doc_id", "cls").agg(F.collect_set("at").alias("at")).select(F.col("doc_id").alias("id"), F.col("cls").alias("c"), "at"), "repeats-covered")
     tidy(spark)

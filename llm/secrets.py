@@ -84,7 +84,7 @@ def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     touches = F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(begins < F.col("stop"), F.lit(False))
     rows = rows.withColumn("touches", touches).where(base | ~F.col("touches")).drop("touches")
     rows = written(rows, "secrets-candidates")
-    counted = rows.join(ownership(rows), "hash")
+    counted = rows.join(written(ownership(rows), "secrets-owned"), "hash")  # two plain exchanges: a skewed key can be split
     random = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_DISTINCT
     live = (F.col("n_owners") <= max_owners) & random & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     counted = counted.withColumn("live", live)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, in_slices
+from .common import fresh_path, in_slices, written
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -82,6 +82,7 @@ def deduplicated(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     own = records.withColumn("digest", F.sha1(F.coalesce(F.col("payload"), F.lit(b""))))
     size = F.coalesce(F.octet_length("payload"), F.lit(0))
     first = own.where(size >= min_bytes).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
+    first = written(first, "warc-copied")  # a join of two plain exchanges can split a skewed key
     joined = own.join(first, (own.digest == first.of) & (size >= min_bytes), "left")
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return joined.select(*own.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
