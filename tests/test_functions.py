@@ -109,3 +109,24 @@ def test_full_match(spark):
 def test_first_value_of_a_fold(spark):
     s = value(spark, statistics.ewma(F.array(F.lit(5.0)), 0.3))
     assert (s.expect, s.var) == (5.0, 0.0)
+
+
+def test_nested_text():
+    from weftline.operators.nesting import leaves
+
+    found, closed = leaves('<a>x y<b>"p q", r</b></a> (1 [2] 3)')
+    assert closed and [v for _, _, v in found] == [["x", "y"], ['"p q"', "r"], ["1"], ["2"], ["3"]]
+    assert [d for _, d, _ in found] == [["a"], ["a", "b"], ["("], ["(", "["], ["("]]
+    assert leaves("a } b")[0] == [([1], [], ["a", "}", "b"])] and not leaves("{ a")[1]
+
+
+def test_templates():
+    from weftline.functions.templates import render
+
+    data = {"x": "<&>", "l": [1, 2], "o": {"k": "v"}, "f": False, "e": []}
+    assert render("{{x}} {{{x}}} {{&x}}", data) == "&lt;&amp;&gt; <&> <&>"
+    assert render("{{#l}}[{{.}}]{{/l}}{{^e}}none{{/e}}{{#f}}no{{/f}}{{! note }}", data) == "[1][2]none"
+    assert render("{{$o}}|{{#o}}{{k}}{{/o}}|{{o.k}}", data) == '{"k":"v"}|v|v'
+    assert render("{{=<% %>=}}<% x %>{{x}}", {"x": 1}) == "1{{x}}"
+    with pytest.raises(ValueError):
+        render("{{#a}}", {})

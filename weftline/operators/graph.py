@@ -87,3 +87,36 @@ def stories(edges_: DataFrame, starts: DataFrame, depth: int, types: tuple[int,
         level = level.select(F.concat("path", F.array("_dst")).alias("path"), F.concat("types", F.array(F.col("_type").cast("int"))).alias("types"))
         found = found.unionByName(level)
     return found.withColumn("hops", F.size("types").cast("long"))
+
+
+def _tuple(src, atype: int, fwd: str, dst, bwd: str, context=None) -> Column:
+    return F.struct(src.alias("src"), F.lit(atype).alias("atype"), F.lit(fwd).alias("fwd"), dst.alias("dst"), F.lit(bwd).alias("bwd"), (context if context is not None else F.lit("any")).alias("context"))
+
+
+def event_clue(who: Column, what: Column, when: Column, where: Column, how: Column, why: Column) -> Column:
+    """An event as a hub of its six aspects: the hub expresses each aspect, and contains their values."""
+    parts = {"who": who, "what": what, "when": when, "where": where, "how": how, "why": why}
+    hub = F.concat_ws(" ", *parts.values())
+    roles = [_tuple(value, EXPRESSES, "has the role of", F.lit(name), "is a role fulfilled by", why) for name, value in parts.items()]
+    held = [_tuple(hub, EXPRESSES, "has attribute", value, "is an attribute of", why) for value in parts.values()]
+    return F.array(*held, *roles)
+
+
+def whereabouts(address: Column, host: Column, domain: Column, ip: Column) -> Column:
+    """Where something is: the host is in its domain, and host, address and IP name one another."""
+    return F.array(
+        _tuple(domain, CONTAINS, "contains", host, "is in"),
+        _tuple(address, CONTAINS, "contains", host, "is in"),
+        _tuple(host, NEAR, "also known as", ip, "also known as"),
+        _tuple(host, EXPRESSES, "has the role of", F.lit("host"), "is a role fulfilled by"),
+    )
+
+
+def service(name: Column, port: Column, client: Column, server: Column) -> Column:
+    """A service is a name on a port, with a server that gives and a client that uses it."""
+    hub = F.concat(name, F.lit(" on port "), port.cast("string"))
+    return F.array(
+        _tuple(hub, EXPRESSES, "has attribute", name, "is an attribute of"),
+        _tuple(server, EXPRESSES, "gives", hub, "is given by"),
+        _tuple(client, FOLLOWS, "depends on", hub, "is used by"),
+    )

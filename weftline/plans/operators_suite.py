@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import lists, times
-from ..operators import anomaly, graph, guards, lines, logs, statistics
+from ..functions import lists, templates, times
+from ..operators import anomaly, graph, guards, lines, logs, nesting, statistics
 from ..sources import files
 from .registry import query, text_of
 
@@ -559,3 +559,53 @@ def _(t):
     cust, new = t("customer"), F.lit("NEW").alias("c_mktsegment")
     wanted = cust.where("c_custkey % 3 = 0").select("c_custkey", new).unionByName(t("supplier").select((-c("s_suppkey") - 1).alias("c_custkey"), new))
     return files.converge(cust.select("c_custkey", "c_mktsegment"), wanted, ["c_custkey"], "c_mktsegment")
+
+
+@query("G10_event_clue", "SELECT event_id, unnest(['u' || user_id, event_type, 'd' || day(ts), 'web', 'http', 'log']) AS dst FROM events")
+def _(t):
+    parts = (F.concat(F.lit("u"), c("user_id").cast("string")), c("event_type"), F.concat(F.lit("d"), F.dayofmonth("ts").cast("string")), F.lit("web"), F.lit("http"), F.lit("log"))
+    return t("events").select("event_id", F.explode(graph.event_clue(*parts)).alias("x")).where("x.fwd = 'has attribute'").select("event_id", "x.dst")
+
+
+@query("G9_whereabouts", "SELECT c_custkey, n_name AS src, c_name AS dst FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(t):
+    rows = t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey"))
+    return rows.select("c_custkey", F.explode(graph.whereabouts(c("c_mktsegment"), c("c_name"), c("n_name"), F.lit("10.0.0.1"))).alias("x")).where("x.src = n_name").select("c_custkey", "x.src", "x.dst")
+
+
+@query("G11_service", "SELECT s_suppkey, s_name || ' on port ' || s_nationkey AS dst FROM supplier")
+def _(t):
+    return t("supplier").select("s_suppkey", F.explode(graph.service(c("s_name"), c("s_nationkey"), F.lit("a"), F.lit("b"))).alias("x")).where("x.fwd = 'gives'").select("s_suppkey", "x.dst")
+
+
+@query("L11_segments", "SELECT CAST(p_partkey AS VARCHAR) AS doc, unnest(['a', p_brand, p_type, 'z']) AS item, unnest(['1', '2,1', '2,2,1', '3']) AS coords FROM part")
+def _(t):
+    text = F.concat(F.lit("a {"), "p_brand", F.lit(" ["), "p_type", F.lit("]} z"))
+    rows = nesting.segments(t("part").select("p_partkey", text.alias("text")), "p_partkey", "text")
+    return rows.select("doc", F.array_join("vals", " ").alias("item"), text_of(c("coords")).alias("coords"))
+
+
+@query("S24_template", "SELECT event_id, 'k=' || json_extract_string(props, '$.k') || '!' AS out FROM events")
+def _(t):
+    return t("events").select("event_id", templates.rendered("k={{k}}{{#none}}x{{/none}}{{^none}}!{{/none}}", c("props")).alias("out"))
+
+
+@query("R5_ranges", "SELECT event_type, printf('%.2f .. %.2f', min(value), max(value)) AS range FROM events GROUP BY 1")
+def _(t):
+    return t("events").groupBy("event_type").agg(F.format_string("%.2f .. %.2f", F.min("value"), F.max("value")).alias("range"))
+
+
+@query("R3_last_event", "SELECT event_type, max(event_id) FILTER (ts = m) AS event_id FROM (SELECT *, max(ts) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
+def _(t):
+    return t("events").groupBy("event_type").agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("event_id"))
+
+
+@query("A9_process_ewma", _fold(0.7, "user_id", "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events") + " SELECT f.user_id, round(expect, 4) AS av, round(var, 3) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
+def _(t):
+    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.ewma(c("q"), 0.7)).select("user_id", F.round("s.expect", 4).alias("av"), F.round("s.var", 3).alias("var"))
+
+
+@query("S8_unexpired", f"SELECT user_id FROM events GROUP BY 1 HAVING max({SECONDS}) >= 1706659200 - 691200 * 0.02")
+def _(t):
+    last = t("events").groupBy("user_id").agg(F.max(seconds()).alias("s"))
+    return files.unexpired(last, "s", F.lit(1706659200), int(691200 * 0.02)).select("user_id")
