@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lists, templates, times
 from ..operators import anomaly, graph, guards, lines, logs, nesting, statistics
-from ..sources import files
+from ..sources import captures, files, xml
+from . import reports
 from .registry import query, text_of
 
 c = F.col
@@ -609,3 +610,21 @@ def _(t):
 def _(t):
     last = t("events").groupBy("user_id").agg(F.max(seconds()).alias("s"))
     return files.unexpired(last, "s", F.lit(1706659200), int(691200 * 0.02)).select("user_id")
+
+
+@query("R4_promises", "SELECT p_partkey, 'default:' || p_type AS namespacepath, p_brand AS handle FROM part WHERE regexp_matches('default:' || p_type || ':' || p_brand, 'Brand#1')")
+def _(t):
+    compliance = t("part").select("p_partkey", F.concat(F.lit("default:"), "p_type", F.lit(":"), "p_brand").alias("handle"), F.lit(1.0).alias("q"), F.lit(1.0).alias("expect"), F.lit(0.0).alias("var"))
+    return reports.promises(compliance, "Brand#1", "p_partkey").select("p_partkey", "namespacepath", "handle")
+
+
+@query("S18_process_table", "SELECT p_partkey, CAST(p_partkey AS VARCHAR) AS pid, p_name AS command FROM part")
+def _(t):
+    lines_ = t("part").select("p_partkey", F.format_string("%-8s%9d %s", F.lit("root"), c("p_partkey"), c("p_name")).alias("value"))
+    return captures.process_table(lines_, "USER          PID COMMAND", keep=("p_partkey",)).select("p_partkey", "pid", "command")
+
+
+@query("E6_xml", "SELECT p_partkey, '<p><n>' || p_name || '</n></p>' AS out FROM part")
+def _(t):
+    doc = F.concat(F.lit("<p><n>x</n></p>"))
+    return t("part").select("p_partkey", F.replace(xml.edited(doc, "set_text", "n", value="NAME"), F.lit("NAME"), c("p_name")).alias("out"))
