@@ -16,7 +16,10 @@ would be scanned for. The order puts rare shingles first (shingles that make up
 Equal sets are one node. In a list, all sets are first compared with one pivot; sets found
 linked fall into components, and only pairs of different components are compared
 afterwards, so a group of near copies costs about its size and no link between different
-components is lost. Every candidate is decided on whole sets.
+components is lost. A node carries the parity of its shingles in cells, about twice as many
+as it has shingles: two sets differ in at least as many shingles as their parities in
+cells, which discards most pairs without their sets. Every other candidate is decided on
+whole sets.
 
 A node is the 64-bit fingerprint of its sorted shingle fingerprints; ``n`` different sets
 give about ``n^2 / 2^65`` chance collisions.
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import WordHasher, as_bytes, components, in_slices, mix, shingle_set, tidy, written
 
 SUBSET = 2
+PARITY, MOST_PARITY = 1024, 1 << 17
 HOT_SHARE = 1e-6
 LARGEST_LIGHT = 60
 #: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
@@ -61,6 +65,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """For each of some cells, whether it has an odd number of shingles: at least twice as many cells as shingles, from ``PARITY`` to ``MOST_PARITY``."""
+    cells = PARITY
+    while cells < min(2 * len(shingles), MOST_PARITY):
+        cells *= 2
+    return np.packbits(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % cells, minlength=cells) & 1).tobytes()
+
+
+def cells_apart(a: bytes, b: bytes) -> int:
+    """In how many cells two parities differ; the longer one is folded to the length of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, size = int.from_bytes(a, "big"), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    return (x ^ int.from_bytes(b, "big")).bit_count()
+
+
 def facts(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node, n`` of each document (node null for an empty set), and ``shingle, count`` of shingles frequent in some partition.
 
@@ -84,13 +107,14 @@ def facts(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             table = (k, np.bincount(at, c, len(k)).astype(np.int64))
             pending, seen = [], 0
 
-        def batch_of(kind, a, b, c):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["kind", "a", "b", "c"])
+        def batch_of(kind, a, b, c, d):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["kind", "a", "b", "c", "cells"])
 
         for batch in in_slices(batches, 512):
-            nodes, sizes = [], []
+            nodes, sizes, cells = [], [], []
             for text in as_bytes(batch.column(1)):
                 s = sets_of(text, hasher, size)
+                cells.append(parity(s) if len(s) else None)
                 nodes.append(node_of(s) if len(s) else None)
                 sizes.append(len(s))
                 total += len(s)
@@ -98,13 +122,13 @@ def facts(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                 seen += len(s)
                 if seen > 4_000_000:
                     fold()
-            yield batch_of(0, batch.column(0).to_pylist(), nodes, sizes)
+            yield batch_of(0, batch.column(0).to_pylist(), nodes, sizes, cells)
         fold()
         keep = table[1] >= max(2, math.ceil(HOT_SHARE * total))
-        yield batch_of(1, _signed(table[0][keep]), table[1][keep], np.zeros(int(keep.sum()), np.int64))
+        yield batch_of(1, _signed(table[0][keep]), table[1][keep], np.zeros(int(keep.sum()), np.int64), [None] * int(keep.sum()))
 
-    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, a long, b long, c long"), "jaccard-facts")
-    own = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"))
+    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, a long, b long, c long, cells binary"), "jaccard-facts")
+    own = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), "cells")
     hot = both.where("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("b").alias("count"))
     return own, hot
 
@@ -163,7 +187,18 @@ def _near(a: str, b: str, percent: int) -> str:
 
 def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, percent: int, size: int) -> DataFrame:
     """Of candidate pairs ``a, b`` (nodes) those that link, decided on whole sets."""
-    pairs = written(pairs, "jaccard-pairs")
+    cells = written(own.where("node is not null").select("node", "n", "cells").dropDuplicates(["node"]), "jaccard-cells")
+    left, right = (cells.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
+
+    def possible(batches):
+        for batch in in_slices(batches, 1024):
+            na, ca, nb, cb = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [(100 + percent) * cells_apart(x, y) <= (100 - percent) * (n + m) for n, x, m, y in zip(na, ca, nb, cb, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(possible, "a long, b long")
+    pairs = written(near, "jaccard-pairs")
+    tidy(docs.sparkSession)
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(own.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted_node")), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -222,6 +257,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     named = components(links.unionByName(links2).unionByName(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
     linked = own.join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
     smallest = linked.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    smallest = written(smallest, "jaccard-smallest")  # a join of two plain exchanges can split a skewed key
     out = linked.join(smallest, "c", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
