@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, written
+from .common import written
 
 # The domains, as the labels define them, and their default target weights.
 DOMAINS = ("high", "low", "toxic")
@@ -36,6 +36,8 @@ LEAST_SHARE = 0.6
 LEAST_DOCUMENTS = 8
 Z = 1.96
 STEM = 5
+#: What parts words: blanks and common signs.
+BETWEEN = r"""[\x20\x09-\x0D.,;:!?"'()|#*$%&]+"""
 SMOOTHING = 0.5
 ROUNDS = 25
 #: The fit ends when every domain's tokens are within this share of all tokens.
@@ -52,21 +54,20 @@ def _let(value, body) -> F.Column:
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """Adds ``x``: ``n_tokens`` and ``features``, which are distinct words without edge punctuation, their first ``STEM`` letters, and marks of a text's shape in steps."""
+    """Adds ``x``: ``n_tokens``, the words between blanks and common signs, and ``features``: the distinct words, their first ``STEM`` letters, and marks of a text's shape in steps."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), BETWEEN), "")
     step = lambda name, value: F.concat(F.lit(f"\t{name}"), F.floor(value).cast("string"))
     per = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     signs = F.char_length(F.regexp_replace(text, r"[\p{L}\s.,]+", ""))
 
     def with_plain(n, plain, size):
         marks = F.array(step("signs", 50 * per(signs, size)), step("distinct", 10 * per(F.size(plain), n)), step("length", per(size, n)), step("size", F.log2(n + F.lit(1.0))))
-        stems = F.array_distinct(F.transform(F.filter(plain, lambda w: F.char_length(w) > STEM), lambda w: F.concat(F.lit("\tstem"), F.substring(w, 1, STEM))))
-        return F.struct(n.cast("long").alias("n_tokens"), F.concat(plain, stems, marks).alias("features"))
+        heads = F.transform(plain, lambda w: F.substring(w, 1, STEM))
+        return F.struct(n.cast("long").alias("n_tokens"), F.concat(F.array_union(plain, heads), marks).alias("features"))
 
     def with_words(ws):
-        plain = F.array_distinct(F.transform(ws, lambda w: F.trim(w, F.lit(".,;:!?\"'()|#*$%&"))))
-        return _let(F.struct(plain.alias("plain"), F.size(ws).alias("n"), F.char_length(text).alias("size")), lambda y: with_plain(y["n"], y["plain"], y["size"]))
+        return _let(F.struct(F.array_distinct(ws).alias("plain"), F.size(ws).alias("n"), F.char_length(text).alias("size")), lambda y: with_plain(y["n"], y["plain"], y["size"]))
 
     return docs.withColumn("x", _let(words, with_words))
 
