@@ -2,18 +2,19 @@
 
 Every node is a context (the last words before a symbol) with a next-symbol distribution.
 The root holds all training tokens, additively smoothed. A longer context is a node if it
-is frequent enough and passes a divergence test: the training tokens that follow it must
-gain at least ``LEAST_GAIN`` nats (and ``GAIN_PER_ENTRY`` per entry) over its parent, the
-context without its first word. A node keeps the symbols seen often after it, discounted
-by ``DISCOUNT``; the mass left over is spread like the parent, so every distribution sums to
-one. A symbol is scored in the longest context that is a node.
-
-All counts are over all training documents, summed in Spark. Only what a share of all
-training tokens bounds comes to the driver and is sent to executors: words that make up
-``HEAVY_SHARE`` of all, contexts ``CONTEXT_SHARE``, entries ``ENTRY_SHARE`` (at most one over the share
-of each, however large the corpus). Rarer words are looked up by a join on the full
-table of counts; they occur in no entry, so their score is the left-over mass times
-their root probability, which is what the join adds.
+occurs ``LEAST_CONTEXT`` times, its parent (the context without its first word) is a node,
+and it passes a divergence test: the training tokens that follow it must gain at least
+``LEAST_GAIN`` nats (and ``GAIN_PER_ENTRY`` per entry) over the parent. A node keeps the
+symbols seen ``LEAST_ENTRY`` times after it, discounted by ``DISCOUNT``; the mass left over
+is spread like the parent, so every distribution sums to one. A symbol is scored in the
+longest context that is a node. Depth grows until no context passes.
+
+All counts are over all training documents, summed in Spark, and nodes and entries are
+tables there. The logarithm of a score is a sum of values, one for the word, one for each
+node on the way down and one for each entry met, so scoring looks up keys and adds. Only
+the ``SHIPPED`` most frequent values (and ``SHIPPED_WORDS`` words) are sent to executors;
+the others are joined. Bitmaps of bounded size tell which keys can't be in a table; a key
+they let through in error finds no row, so they change no result.
 """
 
 from __future__ import annotations
@@ -26,36 +27,46 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, in_slices, tidy, written
+from .common import WordHasher, as_bytes, in_slices, mix, tidy, written
 
-HEAVY_SHARE = 1e-6
-CONTEXT_SHARE = 1e-6
-ENTRY_SHARE = 5e-7
+SHIPPED_WORDS = 1_000_000
+SHIPPED = 2_000_000
 LEAST_CONTEXT = 8
+LEAST_ENTRY = 2
 DISCOUNT = 0.5
 LEAST_GAIN = 6.0
 GAIN_PER_ENTRY = 1.0
 ALPHA = 0.1
 #: The end of a text, as a token; no word has a space.
 END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end")).astype(np.int64))
+#: What stands before the first word of a text.
+START = int(np.uint64(xxhash.xxh3_64_intdigest(b" start")).astype(np.int64))
 _KEYS = 4_000_000
+_MOST_BITS = 1 << 28
 
 
 def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
     return np.append(hasher(text.lower().split()).view(np.int64), END)
 
 
-def _counted(arrays, names=("k", "n")):
-    """Batches of distinct values and their counts; each pass holds a bounded number of values."""
+def _counted(arrays):
+    """Batches ``k, n`` of distinct values and their counts; each pass holds a bounded number of values."""
+    return _counted_rows(((x,) for x in arrays), ("k",))
+
+
+def _counted_rows(rows, names):
+    """Batches of distinct rows and their counts ``n``, where rows are equal if the first column is."""
     held, size = [], 0
 
     def batch_of():
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64())], list(names))
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        _, at, n = np.unique(columns[0], return_index=True, return_counts=True)
+        out = [x[at].view(np.int64) for x in columns][-len(names) :]
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(n, pa.int64())], [*names, "n"])
 
-    for x in arrays:
+    for x in rows:
         held.append(x)
-        size += len(x)
+        size += len(x[0])
         if size >= _KEYS:
             yield batch_of()
             held, size = [], 0
@@ -81,86 +92,130 @@ def _find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == of, at, -1)
 
 
+def _longer(context: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Keys of contexts with a word put before them."""
+    return mix(context ^ mix(first + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of a word after a context."""
+    return mix(context + mix(word ^ np.uint64(0xD1B54A32D192ED03)))
+
+
+class Bits:
+    """A bitmap of keys: false for most of the keys that a table does not have, never for one that it has."""
+
+    def __init__(self, table: DataFrame, key: str = "k"):
+        size = 64
+        while size < min(_MOST_BITS, 16 * table.count()):
+            size *= 2
+        self.mask = size // 64 - 1
+        place = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(self.mask).cast("long"))
+        rows = table.select(place.alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        self.words = np.zeros(self.mask + 1, np.uint64)
+        self.words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        return (self.words[(keys >> np.uint64(6)) & np.uint64(self.mask)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _walk(words: np.ndarray, offsets: np.ndarray, nodes: list[Bits]):
+    """``place, context, first, longer`` for each depth: a longer context is looked at where the one before can be a node."""
+    at = np.arange(len(words))
+    place = at - np.repeat(offsets[:-1], np.diff(offsets))
+    context = np.zeros(len(words), np.uint64)
+    for depth in range(1, len(nodes) + 2):
+        far = place >= depth - 1
+        at, place, context = at[far], place[far], context[far]
+        first = np.where(place == depth - 1, np.int64(START).astype(np.uint64), words[np.maximum(at - depth, 0)])
+        longer = _longer(context, first)
+        yield at, context, first, longer
+        if depth <= len(nodes):
+            good = nodes[depth - 1].has(longer)
+            at, place, context = at[good], place[good], longer[good]
+
+
 class Tree:
-    """Nodes of one and two words of context below the root."""
+    """What executors are sent: frequent words, frequent values and bitmaps of nodes and entries. ``tables`` has all nodes and entries."""
 
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int, documents: int):
-        self.heavy, self.counts = heavy, counts
-        self.total, self.distinct = total, distinct
+    def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+        self.heavy, self.total, self.distinct = heavy, total, distinct
         self.start = len(heavy)
         self.root = (counts + ALPHA) / (total + ALPHA * (distinct + 1))
-        self.context = np.append(counts, documents).astype(float)  # the start of a text is a context too
-        self.keys1, self.p1 = np.zeros(0, np.int64), np.zeros(0)
-        self.left1 = np.ones(len(heavy) + 1)
-        self.pairs2, self.left2 = np.zeros(0, np.int64), np.zeros(0)
-        self.keys2, self.p2 = np.zeros(0, np.int64), np.zeros(0)
-
-    @staticmethod
-    def _nodes(context: np.ndarray, n: np.ndarray, size: np.ndarray, parent: np.ndarray):
-        """Entry probabilities, and for each context its left-over mass and whether it passes the divergence test."""
-        share = (n - DISCOUNT) / size[context]
-        left = np.clip(1 - np.bincount(context, share, len(size)), 1e-12, 1)
-        p = share + left[context] * parent
-        gain = np.bincount(context, n * np.log(p / parent), len(size)) + np.maximum(0, size - np.bincount(context, n, len(size))) * np.log(left)
-        good = gain >= LEAST_GAIN + GAIN_PER_ENTRY * np.bincount(context, minlength=len(size))
-        return p, np.where(good, left, 1.0), good & (np.bincount(context, minlength=len(size)) > 0)
-
-    def grow_one(self, keys: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context, word = keys >> 32, keys & 0xFFFFFFFF
-        p, self.left1, good = self._nodes(context, n, self.context, self.root[word])
-        keep = good[context]
-        self.keys1, self.p1, self.n1 = keys[keep], p[keep], n[keep]
-
-    def contexts_two(self, least: float) -> None:
-        """Pairs that can be nodes: the last word is a node, and the pair is frequent."""
-        word = self.keys1 & 0xFFFFFFFF
-        is_node = np.zeros(len(self.context), bool)
-        is_node[self.keys1 >> 32] = True
-        keep = (self.n1 >= least) & is_node[word]
-        self.pairs2, self.size2 = self.keys1[keep], self.n1[keep]
-        self.left2 = np.ones(len(self.pairs2))
-
-    def grow_two(self, keys: np.ndarray, n: np.ndarray) -> None:
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order].astype(float)
-        context, word = keys >> 32, keys & 0xFFFFFFFF
-        last = self.pairs2[context] & 0xFFFFFFFF if len(keys) else context
-        p, self.left2, good = self._nodes(context, n, self.size2, np.exp(self._one(last, word)))
-        keep = good[context]
-        self.keys2, self.p2 = keys[keep], p[keep]
-        del self.n1
-
-    def _one(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log probability of heavy words after one word; for light words (-1) the left-over mass alone."""
-        light = word < 0
-        at = _find(self.keys1, context * (1 << 32) + word)
-        spread = np.log(np.where(context < 0, 1.0, self.left1[context])) + np.where(light, 0.0, np.log(self.root[np.where(light, 0, word)]) if len(self.root) else 0.0)
-        return np.where((at >= 0) & (context >= 0) & ~light, np.log(self.p1[at]) if len(self.p1) else 0.0, spread)
+        self.nodes: list[Bits] = []
+        self.entries: list[Bits] = []
+        self.tables: list[tuple[DataFrame, DataFrame]] = []
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def __getstate__(self):
+        return self.__dict__ | {"tables": []}
+
+    def all_values(self) -> DataFrame | None:
+        """``k, n, v`` of all nodes and entries."""
+        out = None
+        for pair in self.tables:
+            for t in pair:
+                t = t.select("k", "n", "v")
+                out = t if out is None else out.unionByName(t)
+        return out
+
+    def _keys_of(self, depth: int) -> np.ndarray:
+        return self.tables[depth - 1][1].select("k").toArrow().column(0).to_numpy() if depth <= len(self.tables) else np.zeros(0, np.int64)
+
+    @property
+    def keys1(self) -> np.ndarray:
+        return self._keys_of(1)
+
+    @property
+    def keys2(self) -> np.ndarray:
+        return self._keys_of(2)
+
+    @property
+    def pairs2(self) -> np.ndarray:
+        """Nodes of two frequent words, by the numbers of the words."""
+        if len(self.tables) < 2:
+            return np.zeros(0, np.int64)
+        one = self.tables[0][0].select(F.col("k").alias("c"), F.col("f").alias("last"))
+        rows = self.tables[1][0].select("c", "f").join(one, "c").toArrow()
+        number = lambda x: np.where(x == START, self.start, _find(self.heavy, x))
+        two, one = number(rows.column("f").to_numpy()), number(rows.column("last").to_numpy())
+        good = (one >= 0) & (two >= 0)
+        return np.sort(two[good] * (1 << 32) + one[good])
+
+    def _add(self, keys: np.ndarray, bits: Bits):
+        """Values of keys as far as they are here, and which of the others may be in a table."""
+        at = _find(self.keys, keys)
+        here = at >= 0
+        return np.where(here, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys)), ~here & bits.has(keys)
+
+    def gains(self, words: np.ndarray, offsets: np.ndarray):
+        """Sums of values below the root for each place, and places and keys that are to be joined."""
+        total, places, keys = np.zeros(len(words)), [], []
+        for depth, (at, _, _, context) in enumerate(_walk(words, offsets, self.nodes)):
+            if depth == len(self.nodes):
+                break
+            good = self.nodes[depth].has(context)
+            at, context = at[good], context[good]
+            for k, bits in ((context, self.nodes[depth]), (_entry(context, words[at]), self.entries[depth])):
+                v, open_ = self._add(k, bits)
+                total[at] += v
+                places.append(at[open_])
+                keys.append(k[open_])
+        none = np.zeros(0, np.int64)
+        return total, np.concatenate([none, *places]), np.concatenate([none.view(np.uint64), *keys])
 
     def score(self, word: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """Natural log probabilities given the last word and the one before it (-1: light or none)."""
-        one = self._one(before, word)
-        if not len(self.pairs2):
-            return one
-        at = np.where((before2 >= 0) & (before >= 0), _find(self.pairs2, before2 * (1 << 32) + before), -1)
-        entry = np.where((at >= 0) & (word >= 0), _find(self.keys2, at * (1 << 32) + word), -1)
-        spread = one + np.where(at >= 0, np.log(self.left2[at]), 0.0)
-        return np.where(entry >= 0, np.log(self.p2[entry]) if len(self.p2) else 0.0, spread)
-
-
-def _contexts(ids: np.ndarray, offsets: np.ndarray, start: int):
-    """The words one and two before each token of a flat array of documents."""
-    before, before2 = np.empty_like(ids), np.empty_like(ids)
-    before[1:], before2[2:] = ids[:-1], ids[:-2]
-    first = offsets[:-1]
-    before[first] = start
-    before2[first] = -1
-    second = first + 1
-    second = second[second < offsets[1:]]
-    before2[second] = start
-    return before, before2
+        """Natural log probabilities given the last word and the one before it, all by number (-1: another word, of which the mass left over is given)."""
+        print_of = np.append(self.heavy, [START, 0]).view(np.uint64)
+        out = np.where(word >= 0, np.log(self.root[np.maximum(word, 0)]), 0.0)
+        context, good = np.zeros(len(word), np.uint64), np.ones(len(word), bool)
+        for x in (before, before2):
+            good &= x >= 0
+            context = _longer(context, print_of[x])
+            at, e = _find(self.keys, context), _find(self.keys, _entry(context, print_of[word]))
+            good &= at >= 0
+            out += np.where(good, self.values[at], 0.0) + np.where(good & (e >= 0) & (word >= 0), self.values[e], 0.0)
+        return out
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +245,71 @@ def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     return written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, learn boolean, ids array<int>, light array<long>"), "lm-encoded")
 
 
-def _collected(counts: DataFrame, least: float, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of at least ``least``; fewer than ``1 / share`` can reach that share of all."""
-    rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "k").limit(int(1 / share)).toArrow()
-    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+def _words(batch, heavy: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words of encoded documents (columns ``ids, light`` from ``at`` on), and offsets."""
+    ids, offsets = _flat(batch.column(at))
+    light = batch.column(at + 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    words = heavy[ids] if len(heavy) else np.zeros(len(ids), np.int64)
+    words[ids < 0] = light
+    return words.view(np.uint64), offsets
+
+
+def _grow(tree: Tree, learned: DataFrame, above: DataFrame, heavy) -> bool:
+    """Adds the nodes of the next depth, given ``up, parent``: entries of the depth before; false if there are none."""
+    spark = learned.sparkSession
+    nodes, top = spark.sparkContext.broadcast(tree.nodes), not tree.nodes
+
+    def last(batches):
+        for batch in in_slices(batches, 256):
+            words, offsets = _words(batch, heavy.value)
+            *_, found = _walk(words, offsets, nodes.value)
+            yield words, *found
+
+    def contexts(batches):
+        return _counted(longer for _, _, _, _, longer in last(batches))
+
+    sizes = learned.mapInArrow(contexts, "k long, n long").groupBy("k").agg(F.sum("n").alias("size"))
+    sizes = written(sizes.where(F.col("size") >= LEAST_CONTEXT), "lm-contexts")
+    tidy(spark)
+    large = spark.sparkContext.broadcast(Bits(sizes))
+
+    def symbols(batches):
+        def rows():
+            for words, at, context, first, longer in last(batches):
+                good = large.value.has(longer)
+                word = words[at[good]]
+                yield _entry(longer[good], word), context[good], first[good], word
+
+        return _counted_rows(rows(), ("c", "f", "w"))
+
+    def keyed(batches):
+        for batch in batches:
+            c, f, w = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            k = _longer(c, f)
+            up = w if top else _entry(c, w)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, _entry(k, w), up, c, f)] + [batch.column(3)], ["k", "e", "up", "c", "f", "n"])
+
+    rows = learned.mapInArrow(symbols, "c long, f long, w long, n long").groupBy("c", "f", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ENTRY)
+    rows = written(rows.mapInArrow(keyed, "k long, e long, up long, c long, f long, n long"), "lm-symbols")
+    tidy(spark)
+    # the parent of an entry is an entry of the parent, if that is a node
+    rows = written(rows.join(above, "up").drop("up").join(sizes, "k"), "lm-symbols")
+    held = rows.groupBy("k").agg(F.first("c").alias("c"), F.first("f").alias("f"), F.first("size").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("held"), F.sum("n").alias("known"), F.count("*").alias("m"))
+    held = written(held.withColumn("left", F.greatest(1 - F.col("held") / F.col("n"), F.lit(1e-12))).withColumn("rest", F.greatest(F.col("n") - F.col("known"), F.lit(0)) * F.log("left")), "lm-held")
+    p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("parent")
+    rows = written(rows.join(held.select("k", "left"), "k").select("k", "e", "n", "left", "parent", p.alias("p")), "lm-symbols")
+    gain = rows.groupBy("k").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
+    good = held.join(gain, "k").where(F.col("gain") + F.col("rest") >= LEAST_GAIN + GAIN_PER_ENTRY * F.col("m"))
+    good = written(good.select("k", "c", "f", "n", F.log("left").alias("v")), "lm-nodes")
+    if good.isEmpty():
+        return False
+    entries = rows.join(good.select("k"), "k").select(F.col("e").alias("k"), "n", (F.log(F.col("p") / F.col("parent")) - F.log("left")).alias("v"), "p")
+    entries = written(entries, "lm-entries")
+    tree.tables.append((good, entries))
+    tree.nodes.append(Bits(good))
+    tree.entries.append(Bits(entries))
+    tidy(spark)
+    return True
 
 
 def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
@@ -201,45 +317,22 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     spark = texts.sparkSession
     counts = written(word_counts(texts.where("learn")), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    documents = (counts.where(F.col("k") == END).agg(F.sum("n")).first()[0]) or 0
-    heavy, n = _collected(counts, max(2, math.ceil(HEAVY_SHARE * total)), HEAVY_SHARE)
+    often = counts.where(F.col("n") >= LEAST_ENTRY).orderBy(F.desc("n"), "k").limit(SHIPPED_WORDS).toArrow()
+    heavy, n = often.column(0).to_numpy(), often.column(1).to_numpy()
     order = np.argsort(heavy)
-    tree = Tree(heavy[order], n[order], total, distinct, documents)
+    tree = Tree(heavy[order], n[order], total, distinct)
     docs = encoded(texts, tree.heavy)
     tidy(spark)
-    start = tree.start
-    learned = docs.where("learn").select("ids")
-
-    def pairs(batches):
-        def keys():
-            for batch in in_slices(batches, 2048):
-                ids, offsets = _flat(batch.column(0))
-                before, _ = _contexts(ids, offsets, start)
-                good = (ids >= 0) & (before >= 0)
-                yield before[good] * (1 << 32) + ids[good]
-
-        return _counted(keys())
-
-    least = max(2, math.ceil(ENTRY_SHARE * total))
-    two = learned.mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    tree.grow_one(*_collected(two, least, ENTRY_SHARE))
-    tidy(spark)
-    tree.contexts_two(max(LEAST_CONTEXT, CONTEXT_SHARE * total))
-    frequent = spark.sparkContext.broadcast(tree.pairs2)
-
-    def triples(batches):
-        def keys():
-            for batch in in_slices(batches, 2048):
-                ids, offsets = _flat(batch.column(0))
-                before, before2 = _contexts(ids, offsets, start)
-                good = (ids >= 0) & (before >= 0) & (before2 >= 0)
-                at = _find(frequent.value, before2[good] * (1 << 32) + before[good])
-                yield (at * (1 << 32) + ids[good])[at >= 0]
-
-        return _counted(keys())
-
-    three = learned.mapInArrow(triples, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    tree.grow_two(*_collected(three, least, ENTRY_SHARE))
+    learned = docs.where("learn").select("ids", "light")
+    words = spark.sparkContext.broadcast(tree.heavy)
+    above = counts.select(F.col("k").alias("up"), ((F.col("n") + ALPHA) / F.lit(float(total + ALPHA * (distinct + 1)))).alias("parent"))
+    while _grow(tree, learned, above, words):
+        above = tree.tables[-1][1].select(F.col("k").alias("up"), F.col("p").alias("parent"))
+    if tree.tables:
+        rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
+        keys = rows.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        tree.keys, tree.values = keys[order], rows.column(1).to_numpy()[order]
     tidy(spark)
     return tree, counts, docs
 
@@ -259,18 +352,33 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     def run(batches):
         tree = shared.value
         for batch in in_slices(batches, 256):
-            ids, offsets = _flat(batch.column(3))
-            p = tree.score(ids, *_contexts(ids, offsets, tree.start))
+            ids, _ = _flat(batch.column(3))
+            words, offsets = _words(batch, tree.heavy, 3)
             known = ids >= 0
             base = np.where(known, np.log10(tree.root[np.where(known, ids, 0)]), 0.0) if len(tree.root) else np.zeros(len(ids))
+            gain = tree.gains(words, offsets)[0] / math.log(10)
             per = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(p) / math.log(10), pa.float64())], ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(base + gain), pa.float64())], ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score"])
+
+    def rest(batches):
+        tree = shared.value
+        for batch in in_slices(batches, 256):
+            words, offsets = _words(batch, tree.heavy, 1)
+            _, places, keys = tree.gains(words, offsets)
+            rid = batch.column(0).to_numpy()[np.searchsorted(offsets, places, "right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(keys.view(np.int64))], ["rid", "k"])
 
-    heavy = coded.select("rid", "doc_id", "held_out", "ids").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
+    heavy = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
     light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
     out = written(heavy, "lm-heavy").join(light, "rid", "left")
+    if tree.tables:
+        joined = coded.select("rid", "ids", "light").mapInArrow(rest, "rid long, k long").join(tree.all_values().select("k", "v"), "k")
+        deep = written(joined.groupBy("rid").agg((F.sum("v") / math.log(10)).alias("deep")), "lm-deep")
+        out = out.join(deep, "rid", "left")
+    else:
+        out = out.withColumn("deep", F.lit(0.0))
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base")).alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base") + zero("deep")).alias("score"))
