@@ -2,7 +2,11 @@
 
 Each block of a page is a line. Markup, and lines of page furniture, count as no text.
 Text lengths are summed over sliding windows of lines; text is kept from a surge
-(a window whose sum passes a threshold) to the next dive (a window of no text).
+(a window whose sum passes a threshold) to the next dive (a window of no text), on every
+page. An article or main element is evidence: its text weighs ``CONTENT_WEIGHT`` times,
+and the heaviest region tells whether the main text is inside such elements or outside.
+Regions of the other side are kept if they weigh ``OTHER_SIDE`` of the heaviest. Short text
+that furniture parts from a region goes with it if both stand in the same element.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from .common import in_slices
 WINDOW = 3
 SURGE_CHARS = 86
 LINK_SHARE = 0.6
+CONTENT_WEIGHT = 2
+OTHER_SIDE = 0.5
 
 # Element names of HTML by their part in a page.
 RAW = "script style noscript template svg math iframe object canvas head title textarea select option button".split()
@@ -35,17 +41,19 @@ _SPACE = re.compile(r"\s+")
 
 
 def lines_of(page: str):
-    """``(text, characters inside links, furniture, inside an article or main element)`` for each block with text, in page order."""
+    """``(text, characters inside links, furniture, article or main element, element)`` for each block with text, in page order.
+
+    Elements are numbered; the outermost article or main element counts, 0 where there is none.
+    """
     out, buf, linked = [], [], 0
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, content
-    junk = inside = links = 0
-    any_content = False
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, content, number
+    junk = inside = links = number = content = 0
 
     def flush():
         nonlocal buf, linked
         text = _SPACE.sub(" ", "".join(buf)).strip()
         if text:
-            out.append((text, linked, junk > 0, inside > 0))
+            out.append((text, linked, junk > 0, content if inside else 0, stack[-1][3] if stack else 0))
         buf, linked = [], 0
 
     def add(raw):
@@ -92,44 +100,59 @@ def lines_of(page: str):
             bad = name in FURNITURE and not (name == "header" and inside) or bool(marks and name not in ("html", "body", *CONTENT) and MARKS.search(marks))
             good = name in CONTENT and not junk
             if not m["attrs"].rstrip().endswith("/") and (name in BLOCKS and name not in ("p", "li") or bad):
-                stack.append((name, bad, good))
+                number += 1
+                if good and not inside:
+                    content = number
+                stack.append((name, bad, good, number))
                 junk += bad
                 inside += good
-                any_content |= good
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, bad, good in stack[k:]:
+                    for _, bad, good, _ in stack[k:]:
                         junk -= bad
                         inside -= good
                     del stack[k:]
                     break
     flush()
-    return out, any_content
+    return out
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE_CHARS) -> str:
-    lines, has_content = lines_of(page)
-    sizes = []
-    for text, linked, bad, inside in lines:
-        drop = bad or (has_content and not inside) or (not inside and linked >= LINK_SHARE * len(text))
-        sizes.append(0 if drop else len(text))
+    lines = lines_of(page)
+    sizes = [0 if bad or (not content and linked >= LINK_SHARE * len(text)) else len(text) for text, linked, bad, content, _ in lines]
     if not any(sizes):
         return ""
-    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    # marked content needs no minimum; elsewhere a surge is relative where a page has little text
-    least = 1 if has_content else min(surge, max(1, max(sums) // 4))
-    kept, i, n = [], 0, len(sizes)
+    # regions of text up to the dive (a window without text); an article or main element begins and ends one
+    n, regions, i = len(sizes), [], 0
     while i < n:
         if not sizes[i]:
             i += 1
             continue
-        j = i
-        while j < n and sums[j]:  # up to the dive: a window without text
+        content, at, j = lines[i][3], [i], i + 1
+        while j < n and j - at[-1] <= window:
+            if sizes[j]:
+                if lines[j][3] != content:
+                    break
+                at.append(j)
             j += 1
-        if max(sums[i:j]) >= least:
-            kept.extend(lines[k][0] for k in range(i, j) if sizes[k])
-        i = j + 1
+        regions.append(at)
+        i = at[-1] + 1
+    sums = [max(sum(sizes[k] for k in at if f <= k < f + window) for f in at) for at in regions]
+    least = min(surge, max(1, max(sums) // 4))  # relative where a page has little text
+    whole: dict[int, int] = {}
+    for (_, _, _, content, _), size in zip(lines, sizes, strict=True):
+        whole[content] = whole.get(content, 0) + size
+    contents = [lines[at[0]][3] for at in regions]
+    weights = [CONTENT_WEIGHT * whole[c] if c else sum(sizes[k] for k in at) for c, at in zip(contents, regions, strict=True)]
+    side = contents[weights.index(max(weights))] > 0
+    allowed = [(c > 0) == side or w >= OTHER_SIDE * max(weights) for c, w in zip(contents, weights, strict=True)]
+    surges = [good and x >= least for good, x in zip(allowed, sums, strict=True)]
+    # where text surges: the whole article or main element, and elsewhere the elements that hold its lines
+    homes = {lines[k][3] or -lines[k][4] for at, good in zip(regions, surges, strict=True) if good for k in at}
+    kept = []
+    for at, good, may in zip(regions, surges, allowed, strict=True):
+        kept.extend(lines[k][0] for k in at if good or (may and (lines[k][3] or -lines[k][4]) in homes))
     return "\n\n".join(kept)
 
 

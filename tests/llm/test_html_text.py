@@ -17,6 +17,24 @@ def test_without_marks_the_distribution_decides():
     assert html_text.main_text(page) == f"{long}\n\n{long}"
 
 
+def test_body_outside_cards():
+    long = "This paragraph has a good deal of text, as those of articles do, and no links at all in it."
+    card = "<article><h3>Another story</h3><p>Read what else went on.</p></article>"
+    assert html_text.main_text(f"<body><div>{f'<p>{long}</p>' * 4}</div>{card * 3}</body>") == "\n\n".join([long] * 4)
+
+
+def test_surge_decides_between_articles():
+    long = "This paragraph has a good deal of text, as those of articles do, and no links at all in it."
+    page = f"<body><article><p>{long}</p><p>{long}</p></article><article><p>More</p></article></body>"
+    assert html_text.main_text(page) == f"{long}\n\n{long}"
+
+
+def test_short_paragraph_after_furniture():
+    long = "This paragraph has a good deal of text, as those of articles do, and no links at all in it."
+    furniture = '<div class="ad">Buy this</div>' * 4
+    assert html_text.main_text(f"<div><p>{long}</p><p>{long}</p>{furniture}<p>It ended well.</p></div>") == f"{long}\n\n{long}\n\nIt ended well."
+
+
 def test_broken_pages():
     assert html_text.main_text("<article><p>whole</p><p>cut o") == "whole\n\ncut o"
     assert html_text.main_text("<article><p>whole</p><p clas") == "whole"
