@@ -39,3 +39,7 @@ def test_edges(spark):
 def test_nothing_to_learn(spark):
     m = langid.fit(spark.createDataFrame([("x", None)], "text string, lang string"))
     assert langid.predict(spark.createDataFrame([("abc",)], "text string"), m).first().lang_pred == "und"
+
+
+def test_sample_is_not_halved():
+    assert langid.Settings().train_rows == 20_000
