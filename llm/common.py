@@ -77,6 +77,38 @@ def as_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def own_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def released(run):
+    """``run`` for ``mapInArrow``; at its end memory that Python has freed goes back to the system, as workers are used again."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has its own way
+        pass
+
+
 def in_slices(batches, rows: int = 256):
     """Arrow batches cut small, so that Python holds few whole texts at a time."""
     for batch in batches:

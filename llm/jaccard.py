@@ -10,19 +10,28 @@ shingles the first ``n - o(n) + l`` of each hold the first ``l`` common ones.
   inverted lists of their ``l = 1`` prefix, and lists are scanned for pairs.
 
 The boundary is the largest size whose subsets cost no more than the entries its lists
-would be scanned for. The order puts rare shingles first (shingles that make up more than
-``HOT_SHARE`` of all come last, by count), so widely shared passages enter few lists.
-
-Equal sets are one node. In a list, all sets are first compared with one pivot; sets found
-linked fall into components, and only pairs of different components are compared
-afterwards, so a group of near copies costs about its size and no link between different
-components is lost. A node carries the parity of its shingles in cells, about twice as many
-as it has shingles: two sets differ in at least as many shingles as their parities in
-cells, which discards most pairs without their sets. Every other candidate is decided on
-whole sets.
-
-A node is the 64-bit fingerprint of its sorted shingle fingerprints; ``n`` different sets
-give about ``n^2 / 2^65`` chance collisions.
+would be scanned for.
+
+Texts are read once for their sets. Of each set the shingles of least fingerprint are
+kept: all below a threshold that is the same everywhere (a share ``sampled`` of all
+shingles, more than a partner may lack), and never fewer than the prefix. Below the
+threshold the exact number of texts of every shingle is counted in Spark, which does two
+things without losing a link. A set that has more shingles of its own there than it may
+differ from a partner in has no partner and goes no further. And the order of shingles is
+by that number, so prefixes hold the rarest shingles and a passage that many texts share
+enters few lists. Shingles over the threshold come after all others.
+
+Equal word sequences are one class. In a list, all sets are first compared with one
+pivot, chosen by a hash in each list; sets found linked fall into components. The same is
+done with a second pivot, and only then are pairs of different components compared, so a
+group of near copies costs about its size and no link between different components is
+lost. List entries carry their place in the order, which bounds what two
+sets can share from there on, and a sketch: the parity of a set's shingles in cells. Two
+sets differ in at least as many shingles as their parities in cells, which discards most
+pairs within the join and, with more cells, before whole sets are fetched. Every other
+candidate is decided on whole sets.
+
+Classes are told apart by 128 bits of the words; shingles are 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -35,20 +44,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, components, in_slices, mix, shingle_set, tidy, written
+from .common import WordHasher, as_bytes, components, in_slices, mix, own_name, released, shingle_set, tidy, written
 
 SUBSET = 2
 PARITY, MOST_PARITY = 1024, 1 << 17
-HOT_SHARE = 1e-6
-LARGEST_LIGHT = 60
+#: Words of 64 cells in the sketch of a list entry.
+SKETCH = 4
+ENTRY_COST = 20
+PIVOTS = 2
 #: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def node_of(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
-
-
 def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -57,20 +64,25 @@ def prefix(n: int, percent: int, subset: int) -> int:
     return min(n, n - needed(n, percent) + subset)
 
 
-def sets_of(text: bytes, hasher: WordHasher, size: int) -> np.ndarray:
-    return shingle_set(hasher(text.lower().split()), size)
+def sampled(percent: int) -> int:
+    """The threshold below which shingles are counted: half as many again as a partner may lack, as a signed 64-bit number."""
+    share = min(1.0, 1.5 * (100 - percent) / 100)
+    return min(int(share * 2**64) - 2**63, 2**63 - 1)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def class_of(words: list[bytes]) -> tuple[int, int]:
+    """128 bits that tell word sequences apart, as two signed numbers."""
+    both = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def parity(shingles: np.ndarray) -> bytes:
+def parity(shingles: np.ndarray, cells: int = 0) -> bytes:
     """For each of some cells, whether it has an odd number of shingles: at least twice as many cells as shingles, from ``PARITY`` to ``MOST_PARITY``."""
-    cells = PARITY
-    while cells < min(2 * len(shingles), MOST_PARITY):
-        cells *= 2
-    return np.packbits(np.bincount((shingles >> np.uint64(32)).astype(np.int64) % cells, minlength=cells) & 1).tobytes()
+    if not cells:
+        cells = PARITY
+        while cells < min(2 * len(shingles), MOST_PARITY):
+            cells *= 2
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % cells, minlength=cells) & 1).tobytes()
 
 
 def cells_apart(a: bytes, b: bytes) -> int:
@@ -84,111 +96,133 @@ def cells_apart(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "big")).bit_count()
 
 
-def facts(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, node, n`` of each document (node null for an empty set), and ``shingle, count`` of shingles frequent in some partition.
+def facts(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """``rid, doc_id, t1, t2, n, low, cells, sketch`` of each document: its class, the size of its set, the least shingles and two parities.
 
-    A shingle that makes up ``HOT_SHARE`` of all does so in at least one partition, so
-    no hot one is missed; counts below a partition's share are not added, which can
-    only change the order and no result.
+    ``low`` is sorted by fingerprint as a signed number; an empty set has ``n`` 0.
     """
+    below = sampled(percent)
 
     def run(batches):
-        hasher, total, pending, seen = WordHasher(), 0, [], 0
-        table = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def fold():
-            nonlocal table, pending, seen
-            keys = np.concatenate(pending) if pending else np.zeros(0, np.uint64)
-            keys, counts = np.unique(keys, return_counts=True)
-            keep = counts > 1
-            k = np.concatenate([table[0], keys[keep]])
-            c = np.concatenate([table[1], counts[keep]])
-            k, at = np.unique(k, return_inverse=True)
-            table = (k, np.bincount(at, c, len(k)).astype(np.int64))
-            pending, seen = [], 0
-
-        def batch_of(kind, a, b, c, d):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["kind", "a", "b", "c", "cells"])
-
-        for batch in in_slices(batches, 512):
-            nodes, sizes, cells = [], [], []
+        hasher = WordHasher()
+        for batch in in_slices(batches, 256):
+            rows = []
             for text in as_bytes(batch.column(1)):
-                s = sets_of(text, hasher, size)
-                cells.append(parity(s) if len(s) else None)
-                nodes.append(node_of(s) if len(s) else None)
-                sizes.append(len(s))
-                total += len(s)
-                pending.append(s)
-                seen += len(s)
-                if seen > 4_000_000:
-                    fold()
-            yield batch_of(0, batch.column(0).to_pylist(), nodes, sizes, cells)
-        fold()
-        keep = table[1] >= max(2, math.ceil(HOT_SHARE * total))
-        yield batch_of(1, _signed(table[0][keep]), table[1][keep], np.zeros(int(keep.sum()), np.int64), [None] * int(keep.sum()))
-
-    both = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "kind int, a long, b long, c long, cells binary"), "jaccard-facts")
-    own = both.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("node"), F.col("c").alias("n"), "cells")
-    hot = both.where("kind = 1").groupBy(F.col("a").alias("shingle")).agg(F.sum("b").alias("count"))
-    return own, hot
+                words = text.lower().split()
+                s = np.sort(shingle_set(hasher(words), size).view(np.int64))
+                least = int(np.searchsorted(s, below))
+                u = s.view(np.uint64)
+                rows.append((*class_of(words), len(s), s[: max(least, prefix(len(s), percent, SUBSET))], parity(u), np.frombuffer(parity(u, 64 * SKETCH), ">i8").astype(np.int64)))
+            t1, t2, n, low, cells, sketch = zip(*rows, strict=True) if rows else [()] * 6
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in a])]), pa.int32()), pa.array(np.concatenate(a) if a else np.zeros(0, np.int64))) for a in (low, sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(n, pa.int64()), lists[0], pa.array(cells, pa.binary()), lists[1]], ["doc_id", "t1", "t2", "n", "low", "cells", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, t1 long, t2 long, n long, low array<long>, cells binary, sketch array<long>")
+    # numbered as it is written, so the numbers stay
+    return written(rows.withColumn("rid", F.monotonically_increasing_id()), "jaccard-facts")
 
 
 def boundary(percent: int, list_length: float) -> int:
-    """The largest light size: its subsets cost at most the list entries that its prefix would be compared with."""
-    best = 0
-    for n in range(2, LARGEST_LIGHT + 1):
-        if math.comb(prefix(n, percent, SUBSET), SUBSET) <= prefix(n, percent, 1) * (1 + list_length):
+    """The largest light size: its subsets cost at most the list entries that its prefix would be compared with.
+
+    An entry is shuffled, joined and grouped, which costs about ``ENTRY_COST`` comparisons.
+    """
+    best, n = 1, 2
+    while n <= 2 * best + 100:
+        if ENTRY_COST * math.comb(prefix(n, percent, SUBSET), SUBSET) <= prefix(n, percent, 1) * (ENTRY_COST + list_length):
             best = n
+        n += 1
     return best
 
 
-def entries(docs: DataFrame, hot_keys, light: int, percent: int, size: int) -> DataFrame:
-    """``key, node, n``: the list entries and subsets of each document's set; keys of subsets and of lists never mix."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(hot_keys)
+def possible_sets(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The classes that may have a partner (``cid, t1, t2, n, id``, one row each), and ``h, df`` of shingles that several texts share below the threshold."""
+    below = sampled(percent)
+    parts = own.select("t1", F.explode("low").alias("h")).where(F.col("h") < below)
+    # a shingle of one class only counts for that class; any other keeps its number of texts
+    seen = parts.groupBy("h").agg(F.min("t1").alias("low"), F.max("t1").alias("high"), F.count("*").alias("df"))
+    alone = F.col("low") == F.col("high")
+    seen = seen.select((~alone).alias("shared"), F.when(alone, F.col("low")).otherwise(F.col("h")).alias("key"), F.when(alone, 1).otherwise(F.col("df")).cast("long").alias("x"))
+    seen = written(seen.groupBy("shared", "key").agg(F.sum("x").alias("x")), "jaccard-seen")
+    tidy(own.sparkSession)
+    classes = own.where("n > 0").groupBy("t1", "t2").agg(F.min("rid").alias("cid"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min_by("doc_id", "rid").alias("id"))
+    # of two classes with the same first half both stay: their own shingles can't be told apart above
+    twice = F.count("*").over(_by("t1")) > 1
+    classes = classes.withColumn("twice", twice)
+    alone = seen.where("not shared").select(F.col("key").alias("t"), F.col("x").alias("alone"))
+    # copies repeat a class's shingles, but each shingle counts once as it is one class
+    kept = classes.join(alone, F.col("t1") == F.col("t"), "left").where(f"twice or coalesce(alone, 0) <= n - ceil({percent} * n / 100.0)")
+    return written(kept.select("cid", "t1", "t2", "n", "id"), "jaccard-classes"), seen.where("shared").select(F.col("key").alias("h"), F.col("x").alias("df"))
+
+
+def _by(column: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(column)
+
+
+def ordered(own: DataFrame, classes: DataFrame, df: DataFrame, percent: int) -> DataFrame:
+    """``cid, n, alone, shared, over, sketch``: how many counted shingles of a set are its own, the shared ones rarest first, and those over the threshold."""
+    below = sampled(percent)
+    side = classes.select("cid")
+    side = F.broadcast(side) if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else side
+    sets = own.join(side, own.rid == F.col("cid")).select("cid", "n", "low", "sketch")
+    sets = written(sets.select("cid", "n", F.filter("low", lambda h: h < below).alias("under"), F.filter("low", lambda h: h >= below).alias("over"), "sketch"), "jaccard-sets")
+    parts = sets.select("cid", F.explode("under").alias("h"))
+    found = parts.join(df, "h").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    rows = sets.join(found.withColumnRenamed("cid", "of"), F.col("cid") == F.col("of"), "left")
+    shared = F.coalesce(F.transform("shared", lambda x: x["h"]), F.array().cast("array<long>"))
+    out = rows.select("cid", "n", (F.size("under") - F.size(shared)).alias("alone"), shared.alias("shared"), F.coalesce(F.transform("shared", lambda x: x["df"]), F.array().cast("array<long>")).alias("df"), "over", "sketch")
+    out = written(out.where(f"alone <= n - ceil({percent} * n / 100.0)"), "jaccard-ordered")
+    tidy(own.sparkSession)
+    return out
+
+
+def entries(sets: DataFrame, light: int, percent: int) -> DataFrame:
+    """``key, cid, n, pos, sketch``: the list entries and subsets of each set; keys of subsets and of lists never mix."""
     heavy_partner = needed(light + 1, percent)  # smaller sets have no heavy partner
 
     def run(batches):
-        hasher = WordHasher()
-        hot, counts = shared.value
-        for batch in in_slices(batches, 256):
-            keys, nodes, sizes = [], [], []
-            for text in as_bytes(batch.column(0)):
-                s = sets_of(text, hasher, size)
-                n = len(s)
-                if not n or 100 * n < percent * (n + 1):
-                    continue  # only an equal set can be a partner
-                rank = np.zeros(n, np.int64)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    rank = np.where(hot[at] == s, counts[at], 0)
-                order = s[np.lexsort((s, rank))]
-                node = node_of(s)
+        for batch in in_slices(batches, 512):
+            cids, ns, alone, sketch = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5)
+            out = [[], [], [], [], []]
+            for at, (cid, n, own, shared, over) in enumerate(zip(cids, ns, alone, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                order = np.array(shared + over, np.int64)
                 found = []
                 if n <= light:
-                    p = mix(order[: prefix(n, percent, SUBSET)])
+                    p = mix(order[: max(0, prefix(n, percent, SUBSET) - own)].view(np.uint64))
                     i, j = np.triu_indices(len(p), 1)
-                    found.append(mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]))
+                    found.append((mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]).view(np.int64), i + own))
                 if n >= heavy_partner:
-                    found.append(order[: prefix(n, percent, 1)])
-                for k in found:
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node))
-                    sizes.append(np.full(len(k), n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes), pa.int32())], ["key", "node", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, node long, n int")
-
-
-def _near(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, percent: int, size: int) -> DataFrame:
-    """Of candidate pairs ``a, b`` (nodes) those that link, decided on whole sets."""
-    cells = written(own.where("node is not null").select("node", "n", "cells").dropDuplicates(["node"]), "jaccard-cells")
-    left, right = (cells.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
+                    p = order[: max(0, prefix(n, percent, 1) - own)]
+                    found.append((p, np.arange(len(p)) + own))
+                for k, pos in found:
+                    for col, x in zip(out, (k, np.full(len(k), cid), np.full(len(k), n), pos, np.full(len(k), at)), strict=True):
+                        col.append(x)
+            if out[0]:
+                key, cid, n, pos, at = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), sketch.take(pa.array(at, pa.int64()))], ["key", "cid", "n", "pos", "sketch"])
+
+    rows = sets.select("cid", "n", "alone", "shared", "over", "sketch").mapInArrow(released(run), "key long, cid long, n int, pos int, sketch array<long>")
+    return rows.select("key", "cid", "n", "pos", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)])
+
+
+def near(a: str, b: str, percent: int) -> str:
+    """What two list entries of one key must meet to be the first place where linked sets meet: sizes, what is left from there on, parities."""
+    left = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    apart = " + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(SKETCH))
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * {left} >= {percent} * ({a}.n + {b}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)"
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
+    """Of candidate pairs ``a, b`` (classes) those that link, decided on whole sets."""
+    pairs = written(pairs, "jaccard-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    wanted = written(classes.join(wanted, F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
+    cells = written(own.select("rid", "n", "cells").join(side(wanted.select("cid")), F.col("rid") == F.col("cid")).select("cid", "n", "cells"), "jaccard-cells")
+    left, right = (cells.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
 
     def possible(batches):
         for batch in in_slices(batches, 1024):
@@ -196,25 +230,30 @@ def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, percent: int, siz
             keep = [(100 + percent) * cells_apart(x, y) <= (100 - percent) * (n + m) for n, x, m, y in zip(na, ca, nb, cb, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(possible, "a long, b long")
-    pairs = written(near, "jaccard-pairs")
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(released(possible), "a long, b long")
+    pairs = written(pairs, "jaccard-pairs")
     tidy(docs.sparkSession)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(own.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select(F.col("doc_id").alias("wanted_id"), F.col("node").alias("wanted_node")), "jaccard-wanted")
+    left_over = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+    wanted = written(wanted.join(left_over, F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    side = F.broadcast(wanted.select("wanted_id")) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted.select("wanted_id")
-    chosen = texts.join(side, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    side = wanted.select(F.col("id").alias("wanted_id")).distinct()
+    chosen = texts.join(F.broadcast(side) if few else side, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
     def run(batches):
         hasher = WordHasher()
         for batch in in_slices(batches, 128):
-            sets = [sets_of(t, hasher, size) for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([_signed(s) for s in sets], pa.list_(pa.int64()))], ["node", "s"])
-
-    sets = written(chosen.select("text").mapInArrow(run, "node long, s array<long>").join(wanted.select(F.col("wanted_node").alias("node")), "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+            words = [t.lower().split() for t in as_bytes(batch.column(0))]
+            t1, t2 = zip(*map(class_of, words), strict=True) if words else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array([shingle_set(hasher(w), size).view(np.int64) for w in words], pa.list_(pa.int64()))], ["u1", "u2", "s"])
+
+    sets = chosen.select("text").mapInArrow(released(run), "u1 long, u2 long, s array<long>")
+    sets = sets.join(F.broadcast(wanted) if few else wanted, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2"))).select("cid", "s").dropDuplicates(["cid"])
+    sets = written(sets, "jaccard-sets")
+    full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
-    return written(full.withColumn("same", same).where(f"100 * same >= {percent} * (size(sa) + size(sb) - same)").select("a", "b"), "jaccard-links")
+    found = written(full.withColumn("same", same).where(f"100 * same >= {percent} * (size(sa) + size(sb) - same)").select("a", "b"), "jaccard-links")
+    tidy(docs.sparkSession)
+    return found
 
 
 def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
@@ -224,56 +263,59 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     shingle; null, empty or blank texts have none and stay alone. ``component_id`` is
     the smallest ``doc_id`` reachable by links. Repeated rows, equal ids and null ids
     are all kept; a null id never becomes a component's id unless all are null. Other
-    columns are left out; an empty table gives no rows.
+    columns are left out, whatever their names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    own, hot = facts(docs, size)
-    total = own.agg(F.sum("n")).first()[0] or 0
-    # fewer than 1 / HOT_SHARE shingles can each make up HOT_SHARE of all
-    top = hot.where(F.col("count") >= max(2, math.ceil(HOT_SHARE * total))).orderBy(F.desc("count"), "shingle").limit(int(1 / HOT_SHARE)).toArrow()
-    keys, counts = top.column(0).to_numpy().astype(np.int64).view(np.uint64), top.column(1).to_numpy().astype(np.int64)
-    order = np.argsort(keys)
-    length = float((counts.astype(float) ** 2).sum() / max(1, total))
-    lists = entries(docs, (keys[order], counts[order]), light := boundary(percent, length), percent, size)
-
-    summed = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("pivot_n"), F.max("node").alias("high")).where("pivot < high").select("key", "pivot", "pivot_n")
-    live_keys = written(summed, "jaccard-keys")
-    live = written(lists.join(live_keys, "key").distinct(), "jaccard-lists")
-    tidy(spark)
-    stars = live.where("node <> pivot").where(_near("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = _linked(stars, docs, own, percent, size)
-    tidy(spark)
-    groups = written(components(links), "jaccard-groups")
-
-    placed = written(live.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "jaccard-placed")
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = written(placed.join(open_keys, "key", "left_semi"), "jaccard-rest")
-    left, right = (rest.select("key", *[F.col(x).alias(x + y) for x in ("node", "n", "c")]) for y in "12")
-    more = left.join(right, "key").where("c1 < c2").where(_near("n1", "n2", percent))
-    tested = F.struct(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
-    more = more.select(tested.alias("p")).distinct().select("p.a", "p.b").join(stars_tested(live, percent), ["a", "b"], "left_anti")
-    links2 = _linked(more, docs, own, percent, size)
-    tidy(spark)
-    named = components(links.unionByName(links2).unionByName(groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    linked = own.join(named, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    smallest = linked.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    smallest = written(smallest, "jaccard-smallest")  # a join of two plain exchanges can split a skewed key
-    out = linked.join(smallest, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def stars_tested(live: DataFrame, percent: int) -> DataFrame:
-    """The pivot pairs, which need no second comparison."""
-    return live.where("node <> pivot").where(_near("n", "pivot_n", percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    docs = docs.select("doc_id", "text")
+    own = facts(docs, percent, size)
+    classes, df = possible_sets(own, percent)
+    sets = ordered(own, classes, df, percent)
+    # mean length of the list that an entry is in: what scanning costs against subsets
+    entered = F.slice("df", 1, F.greatest(F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - alone as int)"), F.lit(0)))
+    length = sets.select(F.explode(entered).alias("x")).agg(F.avg("x")).first()[0] or 0.0
+    entry = F.struct("cid", "n", "pos", *[f"s{k}" for k in range(SKETCH)]).alias("x")
+    live = written(entries(sets, boundary(percent, length), percent).select("key", entry, F.col("cid").alias("c")), "jaccard-entries")
+    tidy(docs.sparkSession)
+
+    def open_lists(live, *more):
+        """Entries of the lists that hold several components, with what is summed of each list; written, as a join of two plain exchanges can split a skewed key."""
+        ends = live.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *more).where("low < high").drop("low", "high")
+        ends = written(ends.withColumnRenamed("key", "k"), "jaccard-keys")
+        return written(live.join(ends, F.col("key") == F.col("k")).drop("k"), "jaccard-lists")
+
+    def as_pairs(rows):
+        return rows.select(F.struct(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).alias("p")).distinct().select("p.a", "p.b")
+
+    linked = None
+    for turn in range(PIVOTS):
+        live = open_lists(live, F.min_by("x", F.xxhash64("x.cid", "key", F.lit(turn))).alias("y"))
+        links = _linked(as_pairs(live.where(f"x.cid <> y.cid and {near('x', 'y', percent)}")), docs, own, classes, percent, size)
+        linked = links if linked is None else linked.unionByName(links)
+        groups = written(components(linked), "jaccard-groups")
+        live = written(live.join(groups, F.col("x.cid") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.cid").alias("c")), "jaccard-placed")
+    rest = open_lists(live)
+    left, right = (rest.select(F.col("key").alias(f"k{y}"), F.col("x").alias(y), F.col("c").alias(f"c{y}")) for y in "xy")
+    more = left.join(right, F.expr(f"kx = ky and cx < cy and {near('x', 'y', percent)}"))
+    links = _linked(as_pairs(more), docs, own, classes, percent, size)
+    named = written(components(linked.unionByName(links)), "jaccard-groups")
+
+    firsts = own.where("n > 0").groupBy("t1", "t2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first"))
+    firsts = written(firsts.join(named, F.col("cid") == F.col("node"), "left").select("t1", "t2", "first", F.coalesce("component", "cid").alias("c")), "jaccard-firsts")
+    smallest = firsts.groupBy("c").agg(F.min("first").alias("component_id"))
+    smallest = written(smallest, "jaccard-smallest")
+    placed = written(firsts.join(smallest, "c").select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "component_id"), "jaccard-placed")
+    rows = own.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"))
+    out = rows.join(placed, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """One row of each group of ``join``: the one with the smallest ``doc_id``, all columns kept.
+    """One row of each group of ``join``: the one with the smallest ``doc_id``, all columns kept, whatever their names.
 
     Rows with null, empty or blank text stay, each alone; rows that repeat the
-    smallest ``doc_id`` of a group all stay, as one document; rows with a null id stay.
+    smallest ``doc_id`` of a group all stay, as one document; rows with a null id stay;
+    an empty table gives no rows.
     """
     found = written(join(docs, percent, size).where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")), "jaccard-kept")
-    gone = found.where("doc_id <> c").select(F.col("doc_id").alias("gone"))
+    gone = found.where("doc_id <> c").select(F.col("doc_id").alias(own_name(docs, "gone")))
     side = F.broadcast(gone) if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"] == F.col("gone"), "left_anti")
+    return docs.join(side, docs["doc_id"] == side[side.columns[0]], "left_anti")
