@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = jsc.getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -52,20 +55,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_let_go(spark: SparkSession):
+    """Within, Spark removes the shuffle files of an action as soon as it has ended."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    with shuffles_let_go(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
-def tidy(spark: SparkSession) -> None:
-    """Let go of shuffle files of finished steps; Spark removes them once the JVM has collected their owners."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what :func:`written` has written, once nothing reads it any more."""
+    for t in tables:
+        if path := getattr(t, "_written_at", None):
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def doc_number(doc_id) -> F.Column:
@@ -163,7 +183,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     are dealt anew before the join, as Spark splits a skewed key (a node with very many
     links) only between two plain exchanges. Self links and nulls are ignored.
     """
-    spark = links.sparkSession
     e = written(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
@@ -176,7 +195,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("m")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", F.col("m").alias("w")), F.struct(F.col("u").alias("v"), F.col("m").alias("w")))).alias("x"))
-        e = written(small.select(F.col("x.v").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
+        last, e = e, written(small.select(F.col("x.v").alias("u"), F.col("x.w").alias("v")).where("u <> v").distinct(), "edges")
+        dropped(last)
     else:
         raise RuntimeError("components: no fixed point")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -44,14 +44,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, components, in_slices, mix, own_name, released, shingle_set, tidy, written
+from .common import WordHasher, as_bytes, components, dropped, in_slices, mix, own_name, released, shingle_set, written
 
 SUBSET = 2
 PARITY, MOST_PARITY = 1024, 1 << 17
 #: Words of 64 cells in the sketch of a list entry.
 SKETCH = 4
 ENTRY_COST = 20
+#: Turns in which lists are compared with pivots, and how many pivots a group of sets has in each.
 PIVOTS = 2
+PIVOTS_OF_GROUP = 16
 #: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -144,7 +146,6 @@ def possible_sets(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     alone = F.col("low") == F.col("high")
     seen = seen.select((~alone).alias("shared"), F.when(alone, F.col("low")).otherwise(F.col("h")).alias("key"), F.when(alone, 1).otherwise(F.col("df")).cast("long").alias("x"))
     seen = written(seen.groupBy("shared", "key").agg(F.sum("x").alias("x")), "jaccard-seen")
-    tidy(own.sparkSession)
     classes = own.where("n > 0").groupBy("t1", "t2").agg(F.min("rid").alias("cid"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min_by("doc_id", "rid").alias("id"))
     # of two classes with the same first half both stay: their own shingles can't be told apart above
     twice = F.count("*").over(_by("t1")) > 1
@@ -174,7 +175,7 @@ def ordered(own: DataFrame, classes: DataFrame, df: DataFrame, percent: int) ->
     shared = F.coalesce(F.transform("shared", lambda x: x["h"]), F.array().cast("array<long>"))
     out = rows.select("cid", "n", (F.size("under") - F.size(shared)).alias("alone"), shared.alias("shared"), F.coalesce(F.transform("shared", lambda x: x["df"]), F.array().cast("array<long>")).alias("df"), "over", "sketch")
     out = written(out.where(f"alone <= n - ceil({percent} * n / 100.0)"), "jaccard-ordered")
-    tidy(own.sparkSession)
+    dropped(sets)
     return out
 
 
@@ -214,11 +215,14 @@ def near(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * {left} >= {percent} * ({a}.n + {b}.n) and {100 + percent} * ({apart}) <= {100 - percent} * ({a}.n + {b}.n)"
 
 
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFrame, percent: int, size: int) -> DataFrame:
     """Of candidate pairs ``a, b`` (classes) those that link, decided on whole sets."""
     pairs = written(pairs, "jaccard-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    wanted = written(classes.join(wanted, F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
+    wanted = written(classes.join(_members(pairs), F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     side = (lambda x: F.broadcast(x)) if few else (lambda x: x)
     cells = written(own.select("rid", "n", "cells").join(side(wanted.select("cid")), F.col("rid") == F.col("cid")).select("cid", "n", "cells"), "jaccard-cells")
@@ -230,11 +234,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFram
             keep = [(100 + percent) * cells_apart(x, y) <= (100 - percent) * (n + m) for n, x, m, y in zip(na, ca, nb, cb, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(released(possible), "a long, b long")
-    pairs = written(pairs, "jaccard-pairs")
-    tidy(docs.sparkSession)
-    left_over = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
-    wanted = written(wanted.join(left_over, F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
+    kept = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "ca", "nb", "cb").mapInArrow(released(possible), "a long, b long")
+    kept = written(kept, "jaccard-pairs")
+    dropped(pairs, cells)
+    pairs, before = kept, wanted
+    wanted = written(wanted.join(_members(pairs), F.col("cid") == F.col("w"), "left_semi"), "jaccard-wanted")
+    dropped(before)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     side = wanted.select(F.col("id").alias("wanted_id")).distinct()
     chosen = texts.join(F.broadcast(side) if few else side, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
@@ -252,7 +257,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, own: DataFrame, classes: DataFram
     full = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
     same = F.size(F.array_intersect("sa", "sb"))
     found = written(full.withColumn("same", same).where(f"100 * same >= {percent} * (size(sa) + size(sb) - same)").select("a", "b"), "jaccard-links")
-    tidy(docs.sparkSession)
+    dropped(pairs, wanted, sets)
     return found
 
 
@@ -274,29 +279,38 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     length = sets.select(F.explode(entered).alias("x")).agg(F.avg("x")).first()[0] or 0.0
     entry = F.struct("cid", "n", "pos", *[f"s{k}" for k in range(SKETCH)]).alias("x")
     live = written(entries(sets, boundary(percent, length), percent).select("key", entry, F.col("cid").alias("c")), "jaccard-entries")
-    tidy(docs.sparkSession)
+    dropped(sets)
 
     def open_lists(live, *more):
         """Entries of the lists that hold several components, with what is summed of each list; written, as a join of two plain exchanges can split a skewed key."""
         ends = live.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), *more).where("low < high").drop("low", "high")
         ends = written(ends.withColumnRenamed("key", "k"), "jaccard-keys")
-        return written(live.join(ends, F.col("key") == F.col("k")).drop("k"), "jaccard-lists")
+        out = written(live.join(ends, F.col("key") == F.col("k")).drop("k"), "jaccard-lists")
+        dropped(ends)
+        return out
 
     def as_pairs(rows):
         return rows.select(F.struct(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).alias("p")).distinct().select("p.a", "p.b")
 
-    linked = None
+    linked = named = None
     for turn in range(PIVOTS):
-        live = open_lists(live, F.min_by("x", F.xxhash64("x.cid", "key", F.lit(turn))).alias("y"))
+        # a few pivots for all lists of a group, not one more for each list
+        by = F.xxhash64("x.cid", F.pmod("key", F.lit(PIVOTS_OF_GROUP)), F.lit(turn))
+        last, live = live, open_lists(live, F.min_by("x", by).alias("y"))
+        dropped(last)
         links = _linked(as_pairs(live.where(f"x.cid <> y.cid and {near('x', 'y', percent)}")), docs, own, classes, percent, size)
-        linked = links if linked is None else linked.unionByName(links)
-        groups = written(components(linked), "jaccard-groups")
-        live = written(live.join(groups, F.col("x.cid") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.cid").alias("c")), "jaccard-placed")
+        # a component found before is a star, so links never have to be looked at again
+        linked = links if named is None else links.unionByName(named.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        named = written(components(linked), "jaccard-groups")
+        last, live = live, written(live.join(named, F.col("x.cid") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.cid").alias("c")), "jaccard-placed")
+        dropped(last, links)
     rest = open_lists(live)
     left, right = (rest.select(F.col("key").alias(f"k{y}"), F.col("x").alias(y), F.col("c").alias(f"c{y}")) for y in "xy")
     more = left.join(right, F.expr(f"kx = ky and cx < cy and {near('x', 'y', percent)}"))
     links = _linked(as_pairs(more), docs, own, classes, percent, size)
-    named = written(components(linked.unionByName(links)), "jaccard-groups")
+    dropped(live, rest)
+    linked = links.unionByName(named.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    named = written(components(linked), "jaccard-groups")
 
     firsts = own.where("n > 0").groupBy("t1", "t2").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("first"))
     firsts = written(firsts.join(named, F.col("cid") == F.col("node"), "left").select("t1", "t2", "first", F.coalesce("component", "cid").alias("c")), "jaccard-firsts")

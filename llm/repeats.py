@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, in_slices, mix, tidy, written
+from .common import WordHasher, as_bytes, in_slices, mix, written
 
 WINDOW = 50
 #: Rows of ids up to which a side is sent to all executors (16 bytes each).
@@ -171,7 +171,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     shared = symbols.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key")
     shared = written(shared, "repeats-shared")
-    tidy(spark)
     places = symbols.join(shared, "key", "left_semi").select("doc_id", "cls", "pos")
     places = places.groupBy("doc_id", "cls").agg(F.collect_set("pos").alias("places"))
     first = facts.where("not copy and doc_id is not null").select("doc_id", "cls").distinct()
@@ -187,7 +186,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts_of = written(texts_of.mapInArrow(only_own, "doc_id long, of long, text string, places array<int>"), "repeats-texts")
-    tidy(spark)
 
     def windows(batches):
         p = Parser(window)
@@ -210,7 +208,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
     least = written(least, "repeats-least")
     covered = found.join(least, (found.h == F.col("of")) & (F.col("doc_id") > F.col("low")), "left_semi")
     covered = written(covered.groupBy("doc_id", "cls").agg(F.collect_set("at").alias("at")).select(F.col("doc_id").alias("id"), F.col("cls").alias("c"), "at"), "repeats-covered")
-    tidy(spark)
 
     def cut(batches):
         for batch in in_slices(batches, 64):
