@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, in_slices, mix, tidy, written
+from .common import WordHasher, as_bytes, dropped, in_slices, mix, released, written
 
 SHIPPED_WORDS = 1_000_000
 SHIPPED = 2_000_000
@@ -42,6 +42,8 @@ END = int(np.uint64(xxhash.xxh3_64_intdigest(b" end")).astype(np.int64))
 #: What stands before the first word of a text.
 START = int(np.uint64(xxhash.xxh3_64_intdigest(b" start")).astype(np.int64))
 _KEYS = 4_000_000
+#: Rows of keys up to which a table is sent to all executors.
+BROADCAST_ROWS = 500_000
 _MOST_BITS = 1 << 28
 
 
@@ -51,22 +53,15 @@ def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
 
 def _counted(arrays):
     """Batches ``k, n`` of distinct values and their counts; each pass holds a bounded number of values."""
-    return _counted_rows(((x,) for x in arrays), ("k",))
-
-
-def _counted_rows(rows, names):
-    """Batches of distinct rows and their counts ``n``, where rows are equal if the first column is."""
     held, size = [], 0
 
     def batch_of():
-        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-        _, at, n = np.unique(columns[0], return_index=True, return_counts=True)
-        out = [x[at].view(np.int64) for x in columns][-len(names) :]
-        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(n, pa.int64())], [*names, "n"])
+        k, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["k", "n"])
 
-    for x in rows:
+    for x in arrays:
         held.append(x)
-        size += len(x[0])
+        size += len(x)
         if size >= _KEYS:
             yield batch_of()
             held, size = [], 0
@@ -74,6 +69,63 @@ def _counted_rows(rows, names):
         yield batch_of()
 
 
+def packed_counts(docs: DataFrame, rows, width: int, least: int, total: int, finish, schema: str) -> DataFrame:
+    """Distinct rows that occur ``least`` times, with their counts, as ``finish(columns, counts)`` gives them.
+
+    ``rows`` makes tuples of ``width`` arrays from batches of ``docs``. Each task counts
+    what it has, a bounded number of rows at a time, and sends the distinct ones as
+    packed arrays, dealt out by their fingerprints; there is one group of them for each
+    half million of ``total`` rows. A row that occurs everywhere is one row from each pass.
+    """
+    bits = max(8, math.ceil(math.log2(max(1, total / 500_000))))
+
+    def keys(columns):
+        out = mix(columns[0])
+        for c in columns[1:]:
+            out = mix(out + mix(c ^ np.uint64(0xD1B54A32D192ED03)))
+        return out
+
+    def send(batches):
+        held, size = [], 0
+
+        def flush():
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            key, at, n = np.unique(keys(columns), return_index=True, return_counts=True)
+            columns, n = [c[at] for c in columns], n.astype(np.uint32)
+            cuts = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(key)]
+            group, data, counts = [], [], []
+            for g, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if i < j:
+                    group.append(g)
+                    data.append(b"".join(c[i:j].tobytes() for c in columns))
+                    counts.append(n[i:j].tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(data, pa.binary()), pa.array(counts, pa.binary())], ["g", "data", "counts"])
+
+        for x in rows(batches):
+            held.append(x)
+            size += len(x[0])
+            if size >= _KEYS:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def add(table):
+        n = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+        data = [np.frombuffer(x, np.uint64).reshape(width, -1) for x in table.column("data").to_pylist()]
+        columns, n = np.concatenate(data, axis=1), np.concatenate(n).astype(np.int64)
+        key = keys(columns)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, columns = np.add.reduceat(n[order], first), columns[:, order[first]]
+        good = n >= least
+        return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in finish(list(columns[:, good]), n[good])], names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return docs.mapInArrow(released(send), "g int, data binary, counts binary").groupBy("g").applyInArrow(add, schema)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``k, n``: fingerprints and counts of all tokens of ``text``."""
 
@@ -81,7 +133,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         hasher = WordHasher()
         yield from _counted(tokens(t, hasher) for batch in in_slices(batches, 256) for t in as_bytes(batch.column(0)))
 
-    return docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 def _find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -97,9 +149,9 @@ def _longer(context: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(context ^ mix(first + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _entry(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys of a word after a context."""
-    return mix(context + mix(word ^ np.uint64(0xD1B54A32D192ED03)))
+def _entry(context: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Keys of a word after a context, given those of the word after the next shorter context (at the root, the word)."""
+    return mix(context + mix(above ^ np.uint64(0xD1B54A32D192ED03)))
 
 
 class Bits:
@@ -120,27 +172,31 @@ class Bits:
 
 
 def _walk(words: np.ndarray, offsets: np.ndarray, nodes: list[Bits]):
-    """``place, context, first, longer`` for each depth: a longer context is looked at where the one before can be a node."""
+    """``place, context, entry, longer`` for each depth: a longer context is looked at where the one before can be a node.
+
+    ``entry`` is the key of the place's word after ``context``.
+    """
     at = np.arange(len(words))
     place = at - np.repeat(offsets[:-1], np.diff(offsets))
-    context = np.zeros(len(words), np.uint64)
+    context, entry = np.zeros(len(words), np.uint64), words
     for depth in range(1, len(nodes) + 2):
         far = place >= depth - 1
-        at, place, context = at[far], place[far], context[far]
+        at, place, context, entry = at[far], place[far], context[far], entry[far]
         first = np.where(place == depth - 1, np.int64(START).astype(np.uint64), words[np.maximum(at - depth, 0)])
         longer = _longer(context, first)
-        yield at, context, first, longer
+        yield at, context, entry, longer
         if depth <= len(nodes):
             good = nodes[depth - 1].has(longer)
-            at, place, context = at[good], place[good], longer[good]
+            at, place, context, entry = at[good], place[good], longer[good], _entry(longer[good], entry[good])
 
 
 class Tree:
     """What executors are sent: frequent words, frequent values and bitmaps of nodes and entries. ``tables`` has all nodes and entries."""
 
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int = 0):
         self.heavy, self.total, self.distinct = heavy, total, distinct
         self.start = len(heavy)
+        self.counts = np.append(counts, docs)
         self.root = (counts + ALPHA) / (total + ALPHA * (distinct + 1))
         self.nodes: list[Bits] = []
         self.entries: list[Bits] = []
@@ -170,18 +226,6 @@ class Tree:
     def keys2(self) -> np.ndarray:
         return self._keys_of(2)
 
-    @property
-    def pairs2(self) -> np.ndarray:
-        """Nodes of two frequent words, by the numbers of the words."""
-        if len(self.tables) < 2:
-            return np.zeros(0, np.int64)
-        one = self.tables[0][0].select(F.col("k").alias("c"), F.col("f").alias("last"))
-        rows = self.tables[1][0].select("c", "f").join(one, "c").toArrow()
-        number = lambda x: np.where(x == START, self.start, _find(self.heavy, x))
-        two, one = number(rows.column("f").to_numpy()), number(rows.column("last").to_numpy())
-        good = (one >= 0) & (two >= 0)
-        return np.sort(two[good] * (1 << 32) + one[good])
-
     def _add(self, keys: np.ndarray, bits: Bits):
         """Values of keys as far as they are here, and which of the others may be in a table."""
         at = _find(self.keys, keys)
@@ -191,12 +235,12 @@ class Tree:
     def gains(self, words: np.ndarray, offsets: np.ndarray):
         """Sums of values below the root for each place, and places and keys that are to be joined."""
         total, places, keys = np.zeros(len(words)), [], []
-        for depth, (at, _, _, context) in enumerate(_walk(words, offsets, self.nodes)):
+        for depth, (at, _, above, context) in enumerate(_walk(words, offsets, self.nodes)):
             if depth == len(self.nodes):
                 break
             good = self.nodes[depth].has(context)
             at, context = at[good], context[good]
-            for k, bits in ((context, self.nodes[depth]), (_entry(context, words[at]), self.entries[depth])):
+            for k, bits in ((context, self.nodes[depth]), (_entry(context, above[good]), self.entries[depth])):
                 v, open_ = self._add(k, bits)
                 total[at] += v
                 places.append(at[open_])
@@ -208,11 +252,12 @@ class Tree:
         """Natural log probabilities given the last word and the one before it, all by number (-1: another word, of which the mass left over is given)."""
         print_of = np.append(self.heavy, [START, 0]).view(np.uint64)
         out = np.where(word >= 0, np.log(self.root[np.maximum(word, 0)]), 0.0)
-        context, good = np.zeros(len(word), np.uint64), np.ones(len(word), bool)
+        context, good, entry = np.zeros(len(word), np.uint64), np.ones(len(word), bool), print_of[word]
         for x in (before, before2):
             good &= x >= 0
             context = _longer(context, print_of[x])
-            at, e = _find(self.keys, context), _find(self.keys, _entry(context, print_of[word]))
+            entry = _entry(context, entry)
+            at, e = _find(self.keys, context), _find(self.keys, entry)
             good &= at >= 0
             out += np.where(good, self.values[at], 0.0) + np.where(good & (e >= 0) & (word >= 0), self.values[e], 0.0)
         return out
@@ -242,7 +287,7 @@ def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["rid", "doc_id", "held_out", "learn", "ids", "light"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "learn", "text")
-    return written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, learn boolean, ids array<int>, light array<long>"), "lm-encoded")
+    return written(rows.mapInArrow(released(run), "rid long, doc_id long, held_out boolean, learn boolean, ids array<int>, light array<long>"), "lm-encoded")
 
 
 def _words(batch, heavy: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -254,64 +299,158 @@ def _words(batch, heavy: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarra
     return words.view(np.uint64), offsets
 
 
-def _grow(tree: Tree, learned: DataFrame, above: DataFrame, heavy) -> bool:
-    """Adds the nodes of the next depth, given ``up, parent``: entries of the depth before; false if there are none."""
+def _first_symbols(tree: Tree, learned: DataFrame, counts: DataFrame, shared) -> DataFrame:
+    """``k, e, n, size, parent, k2, c2`` of all words after one word that occurs often enough.
+
+    Pairs of shipped words go by number. ``k2`` and its parent ``c2`` are the key of the
+    pair as a context, where the pair occurs often enough.
+    """
+    spark = learned.sparkSession
+    start, names = len(tree.heavy), "k long, e long, n long, size long, parent double, k2 long, c2 long"
+    any_spare = start >= SHIPPED_WORDS
+    if any_spare:
+        shipped = spark.createDataFrame(pa.table({"k": pa.array(tree.heavy, pa.int64())}))  # as many rows as are shipped at most
+        spare = written(counts.where((F.col("n") >= LEAST_ENTRY) & (F.col("n") <= tree.least)).select("k", "n").join(shipped, "k", "left_anti"), "lm-spare")
+        any_spare = not spare.isEmpty()
+    light = spark.sparkContext.broadcast(Bits(spare) if any_spare else None)
+
+    def numbers(batch):
+        ids, offsets = _flat(batch.column(0))
+        before = np.empty(len(ids), np.int64)
+        before[1:] = ids[:-1]
+        before[offsets[:-1]] = start
+        return ids, before, offsets
+
+    def pairs(batches):
+        often = shared.value.counts >= LEAST_CONTEXT
+        for batch in in_slices(batches, 256):
+            w, f, _ = numbers(batch)
+            good = (w >= 0) & (f >= 0)
+            w, f = w[good], f[good]
+            good = often[f] & (shared.value.counts[w] >= LEAST_ENTRY)
+            yield ((f[good] << 32 | w[good]).astype(np.uint64),)
+
+    def longer_pairs(f, w, n):
+        """Keys of pairs as contexts of two words, null where they are too rare or end a text."""
+        none = (n < LEAST_CONTEXT) | (w == np.int64(END).astype(np.uint64))
+        c2 = _longer(np.zeros(len(w), np.uint64), w)
+        return pa.array(_longer(c2, f).view(np.int64), mask=none), pa.array(c2.view(np.int64), mask=none)
+
+    def named(columns, n):
+        tree = shared.value
+        prints = np.append(tree.heavy, START).view(np.uint64)
+        at, to = (columns[0] >> np.uint64(32)).astype(np.int64), (columns[0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        f, w = prints[at], prints[to]
+        k = _longer(np.zeros(len(f), np.uint64), f)
+        return k.view(np.int64), _entry(k, w).view(np.int64), n, tree.counts[at], tree.root[to], *longer_pairs(f, w, n)
+
+    found = packed_counts(learned, pairs, 1, LEAST_ENTRY, tree.total, named, names)
+    if not any_spare:
+        return found
+
+    def spare_pairs(batches):
+        for batch in in_slices(batches, 256):
+            words, offsets = _words(batch, shared.value.heavy)
+            w, f, _ = numbers(batch)
+            before = np.empty(len(words), np.uint64)
+            before[1:] = words[:-1]
+            before[offsets[:-1]] = np.int64(START).astype(np.uint64)
+            good = ((w < 0) | (f < 0)) & ((w >= 0) | light.value.has(words)) & ((f >= 0) | light.value.has(before))
+            yield before[good], words[good]
+
+    def keyed(columns, n):
+        f, w = columns
+        k = _longer(np.zeros(len(f), np.uint64), f)
+        return f.view(np.int64), w.view(np.int64), k.view(np.int64), _entry(k, w).view(np.int64), n, *longer_pairs(f, w, n)
+
+    rows = packed_counts(learned, spare_pairs, 2, LEAST_ENTRY, tree.total, keyed, "f long, w long, k long, e long, n long, k2 long, c2 long")
+    rows = written(rows, "lm-spare-pairs")
+    starts = spark.createDataFrame([(START, int(tree.counts[-1]))], "k long, n long")
+    sizes = counts.unionByName(starts).where(F.col("n") >= LEAST_CONTEXT).select(F.col("k").alias("f"), F.col("n").alias("size"))
+    above = counts.select(F.col("k").alias("w"), ((F.col("n") + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1)))).alias("parent"))
+    return found.unionByName(rows.join(sizes, "f").join(above, "w").select("k", "e", "n", "size", "parent", "k2", "c2"))
+
+
+def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared) -> DataFrame:
+    """``k, up, n`` of all words after contexts of the next depth that may be among ``candidates``; ``up`` is the entry of the parent."""
     spark = learned.sparkSession
-    nodes, top = spark.sparkContext.broadcast(tree.nodes), not tree.nodes
+    nodes, large = spark.sparkContext.broadcast(tree.nodes), spark.sparkContext.broadcast(Bits(candidates))
 
-    def last(batches):
+    def rows(batches):
         for batch in in_slices(batches, 256):
-            words, offsets = _words(batch, heavy.value)
-            *_, found = _walk(words, offsets, nodes.value)
-            yield words, *found
+            words, offsets = _words(batch, shared.value.heavy)
+            *_, (_, _, entry, longer) = _walk(words, offsets, nodes.value)
+            good = large.value.has(longer)
+            yield longer[good], entry[good]
 
-    def contexts(batches):
-        return _counted(longer for _, _, _, _, longer in last(batches))
+    return packed_counts(learned, rows, 2, LEAST_ENTRY, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, up long, n long")
 
-    sizes = learned.mapInArrow(contexts, "k long, n long").groupBy("k").agg(F.sum("n").alias("size"))
-    sizes = written(sizes.where(F.col("size") >= LEAST_CONTEXT), "lm-contexts")
-    tidy(spark)
-    large = spark.sparkContext.broadcast(Bits(sizes))
 
-    def symbols(batches):
-        def rows():
-            for words, at, context, first, longer in last(batches):
-                good = large.value.has(longer)
-                word = words[at[good]]
-                yield _entry(longer[good], word), context[good], first[good], word
+def _contexts(tree: Tree, learned: DataFrame, shared) -> DataFrame:
+    """``k, c, size`` of contexts of the next depth that occur often enough, with their parents."""
+    nodes = learned.sparkSession.sparkContext.broadcast(tree.nodes)
 
-        return _counted_rows(rows(), ("c", "f", "w"))
+    def rows(batches):
+        for batch in in_slices(batches, 256):
+            words, offsets = _words(batch, shared.value.heavy)
+            *_, (_, context, _, longer) = _walk(words, offsets, nodes.value)
+            yield longer, context
 
-    def keyed(batches):
-        for batch in batches:
-            c, f, w = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
-            k = _longer(c, f)
-            up = w if top else _entry(c, w)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (k, _entry(k, w), up, c, f)] + [batch.column(3)], ["k", "e", "up", "c", "f", "n"])
-
-    rows = learned.mapInArrow(symbols, "c long, f long, w long, n long").groupBy("c", "f", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ENTRY)
-    rows = written(rows.mapInArrow(keyed, "k long, e long, up long, c long, f long, n long"), "lm-symbols")
-    tidy(spark)
-    # the parent of an entry is an entry of the parent, if that is a node
-    rows = written(rows.join(above, "up").drop("up").join(sizes, "k"), "lm-symbols")
-    held = rows.groupBy("k").agg(F.first("c").alias("c"), F.first("f").alias("f"), F.first("size").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("held"), F.sum("n").alias("known"), F.count("*").alias("m"))
-    held = written(held.withColumn("left", F.greatest(1 - F.col("held") / F.col("n"), F.lit(1e-12))).withColumn("rest", F.greatest(F.col("n") - F.col("known"), F.lit(0)) * F.log("left")), "lm-held")
+    return packed_counts(learned, rows, 2, LEAST_CONTEXT, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, c long, size long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _tested(tree: Tree, rows: DataFrame) -> bool:
+    """Adds the nodes and entries of ``k, e, n, size, parent`` that pass the divergence test; false if none does."""
+    held = rows.groupBy("k").agg(F.first("size").alias("n"), F.sum(F.col("n") - DISCOUNT).alias("held"), F.sum("n").alias("known"), F.count("*").alias("m"))
+    held = held.withColumn("left", F.greatest(1 - F.col("held") / F.col("n"), F.lit(1e-12))).withColumn("rest", F.greatest(F.col("n") - F.col("known"), F.lit(0)) * F.log("left"))
+    held = written(held.select(F.col("k").alias("of"), F.col("n").alias("size_"), "m", "left", "rest"), "lm-held")
     p = (F.col("n") - DISCOUNT) / F.col("size") + F.col("left") * F.col("parent")
-    rows = written(rows.join(held.select("k", "left"), "k").select("k", "e", "n", "left", "parent", p.alias("p")), "lm-symbols")
-    gain = rows.groupBy("k").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain"))
-    good = held.join(gain, "k").where(F.col("gain") + F.col("rest") >= LEAST_GAIN + GAIN_PER_ENTRY * F.col("m"))
-    good = written(good.select("k", "c", "f", "n", F.log("left").alias("v")), "lm-nodes")
+    with_left = rows.join(_small(held.select("of", "left")), F.col("k") == F.col("of")).select("k", "e", "n", "left", "parent", p.alias("p"))
+    gain = written(with_left.groupBy("k").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("parent"))).alias("gain")), "lm-gains")
+    good = held.join(gain, F.col("of") == F.col("k")).where(F.col("gain") + F.col("rest") >= LEAST_GAIN + GAIN_PER_ENTRY * F.col("m"))
+    good = written(good.select("k", F.col("size_").alias("n"), F.log("left").alias("v")), "lm-nodes")
     if good.isEmpty():
         return False
-    entries = rows.join(good.select("k"), "k").select(F.col("e").alias("k"), "n", (F.log(F.col("p") / F.col("parent")) - F.log("left")).alias("v"), "p")
+    entries = with_left.join(_small(good.select(F.col("k").alias("good"))), F.col("k") == F.col("good")).select(F.col("e").alias("k"), "n", (F.log(F.col("p") / F.col("parent")) - F.log("left")).alias("v"), "p")
     entries = written(entries, "lm-entries")
+    dropped(held, gain)
     tree.tables.append((good, entries))
     tree.nodes.append(Bits(good))
     tree.entries.append(Bits(entries))
-    tidy(spark)
     return True
 
 
+def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
+    """Adds one depth after the other until no context passes."""
+    spark = learned.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    rows = written(_first_symbols(tree, learned, counts, shared), "lm-symbols")
+
+    def keyed(batches):
+        for batch in batches:
+            k, up = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_entry(k, up).view(np.int64)), *batch.columns[2:]], ["k", "e", "n", "size", "parent"])
+
+    while _tested(tree, rows):
+        nodes, entries = tree.tables[-1]
+        if len(tree.nodes) == 1:  # the counts of pairs are those of contexts of two words
+            contexts = rows.where("k2 is not null").select(F.col("k2").alias("k"), F.col("c2").alias("c"), F.col("n").alias("size"))
+        else:
+            contexts = _contexts(tree, learned, shared)
+        # what the bitmaps let through in error has no parent among the nodes
+        contexts = written(contexts.join(_small(nodes.select(F.col("k").alias("c"))), "c").select(F.col("k").alias("of"), "size"), "lm-contexts")
+        if contexts.isEmpty():
+            return
+        found = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared).join(_small(contexts), F.col("k") == F.col("of"))
+        found = found.join(entries.select(F.col("k").alias("up"), F.col("p").alias("parent")), "up").select("k", "up", "n", "size", "parent")
+        last, rows = rows, written(found.mapInArrow(keyed, "k long, e long, n long, size long, parent double"), "lm-symbols")
+        dropped(last, contexts)
+
+
 def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     """The tree, the table of word counts and the encoded documents of ``doc_id, held_out, learn, text``."""
     spark = texts.sparkSession
@@ -320,20 +459,16 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     often = counts.where(F.col("n") >= LEAST_ENTRY).orderBy(F.desc("n"), "k").limit(SHIPPED_WORDS).toArrow()
     heavy, n = often.column(0).to_numpy(), often.column(1).to_numpy()
     order = np.argsort(heavy)
-    tree = Tree(heavy[order], n[order], total, distinct)
+    tree = Tree(heavy[order], n[order], total, distinct, texts.where("learn").count())
+    tree.least = int(n.min()) if len(n) else 0
     docs = encoded(texts, tree.heavy)
-    tidy(spark)
-    learned = docs.where("learn").select("ids", "light")
-    words = spark.sparkContext.broadcast(tree.heavy)
-    above = counts.select(F.col("k").alias("up"), ((F.col("n") + ALPHA) / F.lit(float(total + ALPHA * (distinct + 1)))).alias("parent"))
-    while _grow(tree, learned, above, words):
-        above = tree.tables[-1][1].select(F.col("k").alias("up"), F.col("p").alias("parent"))
+    if total:
+        _grow(tree, docs.where("learn").select("ids", "light"), counts)
     if tree.tables:
         rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
         keys = rows.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tree.keys, tree.values = keys[order], rows.column(1).to_numpy()[order]
-    tidy(spark)
     return tree, counts, docs
 
 
@@ -368,14 +503,14 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
             rid = batch.column(0).to_numpy()[np.searchsorted(offsets, places, "right") - 1]
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(keys.view(np.int64))], ["rid", "k"])
 
-    heavy = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
+    heavy = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
     light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
     out = written(heavy, "lm-heavy").join(light, "rid", "left")
     if tree.tables:
-        joined = coded.select("rid", "ids", "light").mapInArrow(rest, "rid long, k long").join(tree.all_values().select("k", "v"), "k")
+        joined = coded.select("rid", "ids", "light").mapInArrow(released(rest), "rid long, k long").join(tree.all_values().select("k", "v"), "k")
         deep = written(joined.groupBy("rid").agg((F.sum("v") / math.log(10)).alias("deep")), "lm-deep")
         out = out.join(deep, "rid", "left")
     else:

@@ -40,11 +40,11 @@ def test_distributions_sum_to_one(spark):
     tree, _, _ = suffix_tree.fit(df.select("doc_id", F.lit(False).alias("held_out"), F.lit(True).alias("learn"), "text"))
     assert len(tree.keys1) and len(tree.keys2)
     w, light = np.arange(len(tree.heavy)), 1 - tree.root.sum()
-    for pair in tree.pairs2:
-        b2, b1 = int(pair >> 32), int(pair & 0xFFFFFFFF)
-        full = lambda x: np.full(len(w), x)
-        total = np.exp(tree.score(w, full(b1), full(b2))).sum() + light * np.exp(tree.score(np.array([-1]), np.array([b1]), np.array([b2])))[0]
-        assert abs(total - 1) < 1e-9
+    for b1 in range(len(w)):
+        for b2 in [*range(len(w)), -1]:  # contexts that are no nodes give the distribution of a shorter one
+            full = lambda x: np.full(len(w), x)
+            total = np.exp(tree.score(w, full(b1), full(b2))).sum() + light * np.exp(tree.score(np.array([-1]), np.array([b1]), np.array([b2])))[0]
+            assert abs(total - 1) < 1e-9
 
 
 def test_edges(spark):
