@@ -25,7 +25,7 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(doc_number(F.col("doc_id")) % 5 == 0, F.lit(False)).alias("held_out"))
     model = langid.fit(docs.where("doc_id is not null and not held_out"))
-    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+    return langid.predict(docs, model, carry=["doc_id", "held_out"])
 
 
 def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

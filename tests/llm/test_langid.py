@@ -14,9 +14,15 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def model(langs, rows, grams=()):
+    """A model with a row of log frequencies for each of ``rows`` (words) and ``grams``."""
+    words = {w: i for i, w in enumerate(rows)}
+    parts = {g: len(words) + i for i, g in enumerate(grams)}
+    return langid.Model(langs, words, parts, np.array([*dict(rows).values(), *dict(grams).values()], np.float32).reshape(-1, len(langs)), 3)
+
+
 def test_backoff():
-    v = lambda *x: np.array(x)
-    m = langid.Model(["a", "b"], {"foo": v(0.0, -9.0)}, [{"^ba": v(-9.0, 0.0), "bar": v(-9.0, -2.0)}, {"zz": v(-5.0, -1.0)}, {"z": v(-1.0, -3.0)}])
+    m = model(["a", "b"], {"foo": (0.0, -9.0)}, {"^ba": (-9.0, 0.0), "bar": (-9.0, -2.0), "zz": (-5.0, -1.0), "z": (-1.0, -3.0)})
     assert list(m.vector("foo")) == [0.0, -9.0]
     assert list(m.vector("bar")) == [-9.0, -1.0]  # two of three trigrams
     assert list(m.vector("zzz")) == [-5.0, -1.0]  # two of four pairs
@@ -27,7 +33,7 @@ def test_backoff():
 def test_edges(spark):
     rows = [(1, None, "x"), (2, "", None), (3, "12 34 ²!", "x"), (4, "foo " * 200_000, "x"), (5, "qqq", "x"), (5, "qqq", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    m = langid.Model(["a", "b"], {"foo": (0.0, -9.0)}, [])
+    m = model(["a", "b"], {"foo": (0.0, -9.0)})
     out = langid.predict(df, m).collect()
     got = {r.doc_id: (r.lang_pred, r.score) for r in out}
     assert len(out) == 6 and got[1] == got[2] == got[3] == ("und", 0.0)
@@ -43,3 +49,24 @@ def test_nothing_to_learn(spark):
 
 def test_sample_is_not_halved():
     assert langid.Settings().train_rows == 20_000
+
+
+def test_quotas():
+    assert langid.quotas({"a": 10, "b": 10**11, "c": 3 * 10**11}, 1000) == {"a": 10, "b": 495, "c": 495}
+    # a share of a very large table is never nothing
+    assert langid.share(20_000 / 1e13) > -(2**63) and langid.share(1.0) == 2**63 - 1
+
+
+def test_copies_and_rare_languages(spark):
+    rows = [("same text of many copies", "en")] * 500 + [(f"some text number w{k}", "en") for k in range(300)] + [("rare words here", "xx")]
+    got = langid.sample(spark.createDataFrame(rows, "text string, lang string").repartition(4), 100).collect()
+    assert sum(r.lang == "xx" for r in got) == 1
+    assert len({r.text for r in got}) == len(got) and 50 <= len(got) <= 160
+
+
+def test_recognised_keeps_columns_as_they_are(spark):
+    rows = [(1, "foo foo", -7.0, "u", 5), (2, "qqq", 1.0, "v", 6), (3, None, 2.0, "w", 7), (4, "", 3.0, "x", 8), (1, "foo foo", -7.0, "u", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, lang_pred string, held_out int")
+    m = model(["a", "b"], {"foo": (0.0, -9.0)})
+    assert sorted(map(tuple, langid.recognised(df, m, 0.6).collect())) == [rows[0], rows[0]]
+    assert langid.recognised(df, m, 0.6).columns == df.columns
