@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import in_slices, released
 
 Q = 10
 MAX_ERROR = 0.06
@@ -196,7 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR,
                     kinds = [pa.int64()] * 4 + [pa.int32()] * 2
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start_char", "end_char", "edits", "max_edits"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), FOUND)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -213,5 +213,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, b
             for batch in in_slices(batches, 512):
                 yield batch.filter(pa.array([not index.matches(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs

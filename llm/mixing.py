@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_name, written
 
 # The domains, as the labels define them, and their default target weights.
 DOMAINS = ("high", "low", "toxic")
@@ -169,9 +169,14 @@ def rated(members: DataFrame, targets: dict[str, float] | None = None) -> DataFr
 
 
 def sampled_at(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with ``domain`` and ``rate``, without the rows whose rate is zero."""
-    found = rated(memberships(docs, labels), targets).where("rate > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.first("domain").alias("domain"), F.first("rate").alias("rate"))
+    """``docs`` with ``domain`` and ``rate``, without the rows whose rate is zero.
+
+    Where ``docs`` has columns of those names, the new ones are lengthened by ``_``. Null
+    and empty texts are judged by what an empty text looks like; null ids take part;
+    repeated rows are treated alike; an empty table gives no rows.
+    """
+    names = {k: own_name(docs, k) for k in ("domain", "rate", "m_id", "m_hash")}
+    found = rated(memberships(docs, labels), targets).where("rate > 0").groupBy(F.col("doc_id").alias(names["m_id"]), F.col("text_hash").alias(names["m_hash"])).agg(F.first("domain").alias(names["domain"]), F.first("rate").alias(names["rate"]))
     found = written(found, "mixing-rates")
-    docs = docs.drop("domain", "rate")
-    on = docs["doc_id"].eqNullSafe(F.col("m_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("m_hash"))
-    return docs.join(found, on).drop("m_id", "m_hash")
+    on = docs["doc_id"].eqNullSafe(found[names["m_id"]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found[names["m_hash"]])
+    return docs.join(found, on).drop(names["m_id"], names["m_hash"])

@@ -4,7 +4,8 @@ Candidates are found per kind by regular expressions: ``split`` gives the gaps b
 matches and ``regexp_extract_all`` the matches, and running sums of their lengths give
 places in code points. The values are hashed and counted over the corpus by distinct
 repositories and owners. A value that more than ``MAX_OWNERS`` owners hold is a copied
-example; one that looks random and belongs to few is live. Besides the base kinds,
+example; one that belongs to few is live if it stands in an assignment, has a provider's
+prefix or looks random. Besides the base kinds,
 long mixed tokens count as secrets of kind ``owned`` where they are live and touch no base span.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import own_name, written
 
 # The base kinds in their order, then the kind that the method adds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -85,8 +86,9 @@ def judged(docs: DataFrame, repository: str = "doc_id", owner: str = "source", m
     rows = rows.withColumn("touches", touches).where(base | ~F.col("touches")).drop("touches")
     rows = written(rows, "secrets-candidates")
     counted = rows.join(written(ownership(rows), "secrets-owned"), "hash")  # two plain exchanges: a skewed key can be split
-    random = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_DISTINCT
-    live = (F.col("n_owners") <= max_owners) & random & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    random = (F.size(F.array_distinct(F.split("value", ""))) >= LIVE_DISTINCT) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
+    # what stands in an assignment or has a provider's prefix is a secret by its place; anything else must look random
+    live = (F.col("n_owners") <= max_owners) & (F.col("kind").isin(0, 1) | random)
     counted = counted.withColumn("live", live)
     return own, counted.where(base | F.col("live"))
 
@@ -122,22 +124,34 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max
 
 
 def redact(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``docs`` with every live value replaced by ``<SECRET>`` in the texts that hold it, and ``n_chars`` counted anew there.
+    """``docs`` with every live value replaced by ``<SECRET>`` where it was found, and ``n_chars`` counted anew there.
 
-    All rows and columns stay; examples that many owners hold stay as they are.
+    All rows and columns stay, whatever their names; examples that many owners hold stay
+    as they are. Null and empty texts hold nothing; rows that repeat are changed alike;
+    an empty table gives no rows.
     """
     _, rows = judged(docs, repository, owner, max_owners)
-    held = rows.where("live").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct((-F.char_length("value")).alias("n"), F.col("value").alias("v"))).alias("held"))
-    held = written(held.select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash"), F.transform(F.sort_array("held"), lambda x: x["v"]).alias("held")), "secrets-held")
+    names = {k: own_name(docs, k) for k in ("held", "held_id", "held_hash")}
+    value = F.struct((F.col("stop") - F.char_length("value")).cast("int").alias("a"), F.col("stop").cast("int").alias("b"))
+    held = rows.where("live").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(value)).alias(names["held"]))
+    held = written(held.withColumnsRenamed({"doc_id": names["held_id"], "text_hash": names["held_hash"]}), "secrets-held")
     side = F.broadcast(held) if held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else held
-    out = docs.join(side, docs["doc_id"].eqNullSafe(F.col("held_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("held_hash")), "left")
-    text = F.when(F.col("held").isNotNull(), F.aggregate("held", docs["text"], lambda t, v: F.replace(t, v, F.lit(REDACTED)))).otherwise(docs["text"])
+    out = docs.join(side, docs["doc_id"].eqNullSafe(side[names["held_id"]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == side[names["held_hash"]]), "left")
+    values, whole = side[names["held"]], docs["text"]
+
+    def cut(state, x):
+        """Text up to the value and its mark; a value that begins within one before it only lengthens that one."""
+        more = F.concat(state["out"], F.substr(whole, state["at"] + 1, x["a"] - state["at"]), F.lit(REDACTED))
+        return F.when(x["a"] >= state["at"], F.struct(x["b"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(state["at"], x["b"]).alias("at"), state["out"].alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.when(values.isNotNull(), F.aggregate(values, start, cut, lambda state: F.concat(state["out"], F.substr(whole, state["at"] + 1)))).otherwise(whole)
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(text.alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("held").isNotNull(), F.char_length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(values.isNotNull(), F.char_length(text)).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(docs[c])
+            columns.append(docs[f"`{c}`"])
     return out.select(*columns)

@@ -3,6 +3,7 @@ import random
 import re
 
 from llm import secrets
+from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -45,3 +46,21 @@ def test_copied_examples_are_not_live(spark):
 def test_added_spans(spark):
     df = spark.createDataFrame([(1, "key Ab3dE5fG7hJ9kL1mNoPqRs7t end", "s")], "doc_id long, text string, source string")
     assert secrets.scan(df).first().spans == "owned:4:28"
+
+
+def test_redaction_by_place_and_clashing_names(spark):
+    rows = [
+        (1, "the hunter says password: hunter, token='ab12cd' é𝒳 secret=abcdefg", "s", "h", 1),
+        (2, None, "s", "h", 2),
+        (3, "", None, None, 3),
+        (1, "the hunter says password: hunter, token='ab12cd' é𝒳 secret=abcdefg", "s", "h", 1),
+        (None, "key Ab3dE5fG7hJ9kL1mNoPqRs7t end", "s", "h", 4),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, held string, n_chars long")
+    df = df.withColumn("held_id", F.lit(1)).withColumn("held_hash", F.lit(2)).withColumn("kind", F.lit("k"))
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r.n_chars, r.held) for r in out.collect()), key=str)
+    cut = "the hunter says password: <SECRET>, token='<SECRET>' é𝒳 secret=<SECRET>"
+    assert got == sorted([(1, cut, len(cut), "h")] * 2 + [(2, None, 2, "h"), (3, "", 3, None), (None, "key <SECRET> end", 16, "h")], key=str)
+    assert secrets.redact(df.limit(0)).count() == 0
