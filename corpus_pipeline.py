@@ -7,7 +7,6 @@ again as the next one's ``docs``. All but the last return the columns of ``docum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from llm import decontaminate, jaccard, langid, mixing, secrets
 from llm.common import fresh_path, ship
@@ -17,28 +16,48 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: no text, no letter, or an undecided posterior."""
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Drops documents without a recognisable language: no text, no letter, or an undecided posterior.
+
+    Null and empty texts go; nulls elsewhere, very long texts, repeated rows and columns
+    of any name stay as they are; an empty table gives no rows.
+    """
+    return langid.recognised(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents linked by a similarity of 0.8 of five-word shingles."""
+    """Keeps the smallest id of each group of documents linked by a similarity of 0.8 of five-word shingles.
+
+    Empty texts and null ids stay, each alone; rows that repeat a kept id stay; columns of
+    any name stay as they are; an empty table gives no rows.
+    """
     return jaccard.deduplicate(docs, percent=80, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item.
+
+    Null and empty texts and null ids stay; repeated rows stay or go together; columns of
+    any name stay as they are; an empty table, or an empty benchmark, drops nothing.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces live secrets in the texts; every document stays."""
+    """Replaces live secrets in the texts and counts ``n_chars`` anew there; every document stays.
+
+    Null and empty texts stay; repeated rows are changed alike; other columns of any name
+    stay as they are; an empty table gives no rows.
+    """
     return secrets.redact(docs)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's domain and fitted rate, and drops those whose rate is zero."""
+    """Adds each document's domain and fitted rate, and drops those whose rate is zero.
+
+    The two columns are ``domain`` and ``rate``, lengthened by ``_`` where documents have
+    such columns of their own. Empty texts move no total and keep their rate; repeated rows
+    are treated alike; without labels all domains are equally likely; an empty table gives no rows.
+    """
     return mixing.sampled_at(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
