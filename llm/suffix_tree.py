@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, dropped, in_slices, mix, released, written
+from .common import WordHasher, as_bytes, dropped, in_slices, mix, released, shuffles_let_go, written
 
 SHIPPED_WORDS = 1_000_000
 SHIPPED = 2_000_000
@@ -144,9 +144,18 @@ def _find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == of, at, -1)
 
 
-def _longer(context: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of contexts with a word put before them."""
-    return mix(context ^ mix(first + np.uint64(0x9E3779B97F4A7C15)))
+#: Contexts are named by a sum over their words, the last one first, each times a power of this.
+_POWER = 0x9E3779B97F4A7C15
+
+
+def _times(word: np.ndarray, depth: int) -> np.ndarray:
+    """What a word adds to the sum of a context that it is ``depth`` words back in."""
+    return word * np.uint64(pow(_POWER, depth, 1 << 64))
+
+
+def _key(sums: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of contexts of a depth, from their sums."""
+    return mix(sums + np.uint64(depth))
 
 
 def _entry(context: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -163,7 +172,8 @@ class Bits:
             size *= 2
         self.mask = size // 64 - 1
         place = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(self.mask).cast("long"))
-        rows = table.select(place.alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+        with shuffles_let_go(table.sparkSession):
+            rows = table.select(place.alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
         self.words = np.zeros(self.mask + 1, np.uint64)
         self.words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
 
@@ -171,23 +181,39 @@ class Bits:
         return (self.words[(keys >> np.uint64(6)) & np.uint64(self.mask)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _walk(words: np.ndarray, offsets: np.ndarray, nodes: list[Bits]):
-    """``place, context, entry, longer`` for each depth: a longer context is looked at where the one before can be a node.
+class Places:
+    """The words of documents, each with ``START`` before it, and their contexts."""
 
-    ``entry`` is the key of the place's word after ``context``.
-    """
-    at = np.arange(len(words))
-    place = at - np.repeat(offsets[:-1], np.diff(offsets))
-    context, entry = np.zeros(len(words), np.uint64), words
-    for depth in range(1, len(nodes) + 2):
-        far = place >= depth - 1
-        at, place, context, entry = at[far], place[far], context[far], entry[far]
-        first = np.where(place == depth - 1, np.int64(START).astype(np.uint64), words[np.maximum(at - depth, 0)])
-        longer = _longer(context, first)
-        yield at, context, entry, longer
-        if depth <= len(nodes):
-            good = nodes[depth - 1].has(longer)
-            at, place, context, entry = at[good], place[good], longer[good], _entry(longer[good], entry[good])
+    def __init__(self, words: np.ndarray, offsets: np.ndarray):
+        n = np.diff(offsets)
+        self.words = np.insert(words, offsets[:-1], np.int64(START).astype(np.uint64))
+        #: Where each word of the documents is among these, and how many it has before it in its document.
+        self.at = np.arange(len(words)) + np.repeat(np.arange(len(n)), n) + 1
+        self.before = np.arange(len(words)) - np.repeat(offsets[:-1], n) + 1
+
+    def sums(self, at: np.ndarray, depth: int) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for j in range(1, depth + 1):
+            out += _times(self.words[at - j], j)
+        return out
+
+    def entries(self, at: np.ndarray, depth: int) -> np.ndarray:
+        """Keys of the words at places after their contexts of ``depth`` words."""
+        out, sums = self.words[at], np.zeros(len(at), np.uint64)
+        for j in range(1, depth + 1):
+            sums += _times(self.words[at - j], j)
+            out = _entry(_key(sums, j), out)
+        return out
+
+    def within(self, node: Bits | None, depth: int):
+        """``at, sums, key``: places whose context of ``depth`` words can be a node (any, at the root) and is followed by one more word back."""
+        at = self.at[self.before > depth]
+        sums = self.sums(at, depth)
+        if not depth:
+            return at, sums, sums
+        key = _key(sums, depth)
+        good = node.has(key)
+        return at[good], sums[good], key[good]
 
 
 class Tree:
@@ -235,15 +261,22 @@ class Tree:
     def gains(self, words: np.ndarray, offsets: np.ndarray):
         """Sums of values below the root for each place, and places and keys that are to be joined."""
         total, places, keys = np.zeros(len(words)), [], []
-        for depth, (at, _, above, context) in enumerate(_walk(words, offsets, self.nodes)):
-            if depth == len(self.nodes):
-                break
-            good = self.nodes[depth].has(context)
-            at, context = at[good], context[good]
-            for k, bits in ((context, self.nodes[depth]), (_entry(context, above[good]), self.entries[depth])):
+        p = Places(words, offsets)
+        own, above = np.arange(len(words)), words
+        sums = np.zeros(len(words), np.uint64)
+        for depth, (node, entry) in enumerate(zip(self.nodes, self.entries, strict=True), 1):
+            far = p.before[own] >= depth
+            own, sums, above = own[far], sums[far], above[far]
+            at = p.at[own]
+            sums = sums + _times(p.words[at - depth], depth)
+            key = _key(sums, depth)
+            good = node.has(key)
+            own, sums, key = own[good], sums[good], key[good]
+            above = _entry(key, above[good])
+            for k, bits in ((key, node), (above, entry)):
                 v, open_ = self._add(k, bits)
-                total[at] += v
-                places.append(at[open_])
+                total[own] += v
+                places.append(own[open_])
                 keys.append(k[open_])
         none = np.zeros(0, np.int64)
         return total, np.concatenate([none, *places]), np.concatenate([none.view(np.uint64), *keys])
@@ -252,12 +285,13 @@ class Tree:
         """Natural log probabilities given the last word and the one before it, all by number (-1: another word, of which the mass left over is given)."""
         print_of = np.append(self.heavy, [START, 0]).view(np.uint64)
         out = np.where(word >= 0, np.log(self.root[np.maximum(word, 0)]), 0.0)
-        context, good, entry = np.zeros(len(word), np.uint64), np.ones(len(word), bool), print_of[word]
-        for x in (before, before2):
+        sums, good, entry = np.zeros(len(word), np.uint64), np.ones(len(word), bool), print_of[word]
+        for depth, x in enumerate((before, before2), 1):
             good &= x >= 0
-            context = _longer(context, print_of[x])
-            entry = _entry(context, entry)
-            at, e = _find(self.keys, context), _find(self.keys, entry)
+            sums = sums + _times(print_of[x], depth)
+            key = _key(sums, depth)
+            entry = _entry(key, entry)
+            at, e = _find(self.keys, key), _find(self.keys, entry)
             good &= at >= 0
             out += np.where(good, self.values[at], 0.0) + np.where(good & (e >= 0) & (word >= 0), self.values[e], 0.0)
         return out
@@ -333,15 +367,15 @@ def _first_symbols(tree: Tree, learned: DataFrame, counts: DataFrame, shared) ->
     def longer_pairs(f, w, n):
         """Keys of pairs as contexts of two words, null where they are too rare or end a text."""
         none = (n < LEAST_CONTEXT) | (w == np.int64(END).astype(np.uint64))
-        c2 = _longer(np.zeros(len(w), np.uint64), w)
-        return pa.array(_longer(c2, f).view(np.int64), mask=none), pa.array(c2.view(np.int64), mask=none)
+        last = _times(w, 1)
+        return pa.array(_key(last + _times(f, 2), 2).view(np.int64), mask=none), pa.array(_key(last, 1).view(np.int64), mask=none)
 
     def named(columns, n):
         tree = shared.value
         prints = np.append(tree.heavy, START).view(np.uint64)
         at, to = (columns[0] >> np.uint64(32)).astype(np.int64), (columns[0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         f, w = prints[at], prints[to]
-        k = _longer(np.zeros(len(f), np.uint64), f)
+        k = _key(_times(f, 1), 1)
         return k.view(np.int64), _entry(k, w).view(np.int64), n, tree.counts[at], tree.root[to], *longer_pairs(f, w, n)
 
     found = packed_counts(learned, pairs, 1, LEAST_ENTRY, tree.total, named, names)
@@ -360,7 +394,7 @@ def _first_symbols(tree: Tree, learned: DataFrame, counts: DataFrame, shared) ->
 
     def keyed(columns, n):
         f, w = columns
-        k = _longer(np.zeros(len(f), np.uint64), f)
+        k = _key(_times(f, 1), 1)
         return f.view(np.int64), w.view(np.int64), k.view(np.int64), _entry(k, w).view(np.int64), n, *longer_pairs(f, w, n)
 
     rows = packed_counts(learned, spare_pairs, 2, LEAST_ENTRY, tree.total, keyed, "f long, w long, k long, e long, n long, k2 long, c2 long")
@@ -371,32 +405,35 @@ def _first_symbols(tree: Tree, learned: DataFrame, counts: DataFrame, shared) ->
     return found.unionByName(rows.join(sizes, "f").join(above, "w").select("k", "e", "n", "size", "parent", "k2", "c2"))
 
 
-def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared) -> DataFrame:
-    """``k, up, n`` of all words after contexts of the next depth that may be among ``candidates``; ``up`` is the entry of the parent."""
-    spark = learned.sparkSession
-    nodes, large = spark.sparkContext.broadcast(tree.nodes), spark.sparkContext.broadcast(Bits(candidates))
+def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared, node: Bits) -> DataFrame:
+    """``k, up, n`` of all words after contexts of the next depth that may be among ``candidates``; ``up`` is the entry of the parent, in ``node``."""
+    depth = len(tree.nodes)
+    large = learned.sparkSession.sparkContext.broadcast((node, Bits(candidates)))
 
     def rows(batches):
+        node, wanted = large.value
         for batch in in_slices(batches, 256):
-            words, offsets = _words(batch, shared.value.heavy)
-            *_, (_, _, entry, longer) = _walk(words, offsets, nodes.value)
-            good = large.value.has(longer)
-            yield longer[good], entry[good]
+            p = Places(*_words(batch, shared.value.heavy))
+            at, sums, _ = p.within(node, depth)
+            longer = _key(sums + _times(p.words[at - depth - 1], depth + 1), depth + 1)
+            good = wanted.has(longer)
+            yield longer[good], p.entries(at[good], depth)
 
-    return packed_counts(learned, rows, 2, LEAST_ENTRY, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, up long, n long")
+    return packed_counts(learned, rows, 2, LEAST_ENTRY, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, up long, n long"), large
 
 
-def _contexts(tree: Tree, learned: DataFrame, shared) -> DataFrame:
+def _contexts(tree: Tree, learned: DataFrame, shared, node: Bits):
     """``k, c, size`` of contexts of the next depth that occur often enough, with their parents."""
-    nodes = learned.sparkSession.sparkContext.broadcast(tree.nodes)
+    depth = len(tree.nodes)
+    sent = learned.sparkSession.sparkContext.broadcast(node)
 
     def rows(batches):
         for batch in in_slices(batches, 256):
-            words, offsets = _words(batch, shared.value.heavy)
-            *_, (_, context, _, longer) = _walk(words, offsets, nodes.value)
-            yield longer, context
+            p = Places(*_words(batch, shared.value.heavy))
+            at, sums, key = p.within(sent.value, depth)
+            yield _key(sums + _times(p.words[at - depth - 1], depth + 1), depth + 1), key
 
-    return packed_counts(learned, rows, 2, LEAST_CONTEXT, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, c long, size long")
+    return packed_counts(learned, rows, 2, LEAST_CONTEXT, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, c long, size long"), sent
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -437,18 +474,25 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
 
     while _tested(tree, rows):
         nodes, entries = tree.tables[-1]
+        sent = None
         if len(tree.nodes) == 1:  # the counts of pairs are those of contexts of two words
             contexts = rows.where("k2 is not null").select(F.col("k2").alias("k"), F.col("c2").alias("c"), F.col("n").alias("size"))
         else:
-            contexts = _contexts(tree, learned, shared)
+            contexts, sent = _contexts(tree, learned, shared, tree.nodes[-1])
         # what the bitmaps let through in error has no parent among the nodes
         contexts = written(contexts.join(_small(nodes.select(F.col("k").alias("c"))), "c").select(F.col("k").alias("of"), "size"), "lm-contexts")
+        if sent:
+            sent.destroy()
         if contexts.isEmpty():
-            return
-        found = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared).join(_small(contexts), F.col("k") == F.col("of"))
-        found = found.join(entries.select(F.col("k").alias("up"), F.col("p").alias("parent")), "up").select("k", "up", "n", "size", "parent")
-        last, rows = rows, written(found.mapInArrow(keyed, "k long, e long, n long, size long, parent double"), "lm-symbols")
+            break
+        found, sent = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared, tree.nodes[-1])
+        found = found.join(_small(contexts), F.col("k") == F.col("of")).join(entries.select(F.col("k").alias("up"), F.col("p").alias("parent")), "up")
+        found = found.select("k", "up", "n", "size", "parent").mapInArrow(keyed, "k long, e long, n long, size long, parent double")
+        last, rows = rows, written(found, "lm-symbols")
+        sent.destroy()
         dropped(last, contexts)
+    dropped(rows)
+    shared.destroy()
 
 
 def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
@@ -456,7 +500,8 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     spark = texts.sparkSession
     counts = written(word_counts(texts.where("learn")), "lm-words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = counts.where(F.col("n") >= LEAST_ENTRY).orderBy(F.desc("n"), "k").limit(SHIPPED_WORDS).toArrow()
+    with shuffles_let_go(spark):
+        often = counts.where(F.col("n") >= LEAST_ENTRY).orderBy(F.desc("n"), "k").limit(SHIPPED_WORDS).toArrow()
     heavy, n = often.column(0).to_numpy(), often.column(1).to_numpy()
     order = np.argsort(heavy)
     tree = Tree(heavy[order], n[order], total, distinct, texts.where("learn").count())
@@ -465,7 +510,8 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     if total:
         _grow(tree, docs.where("learn").select("ids", "light"), counts)
     if tree.tables:
-        rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
+        with shuffles_let_go(spark):
+            rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
         keys = rows.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tree.keys, tree.values = keys[order], rows.column(1).to_numpy()[order]
@@ -483,37 +529,41 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
     tree, counts, coded = fit(texts)
     shared = docs.sparkSession.sparkContext.broadcast(tree)
+    names = ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score", "k"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def run(batches):
+        """A row for each document, and one with ``k`` for each value that is to be joined."""
         tree = shared.value
         for batch in in_slices(batches, 256):
             ids, _ = _flat(batch.column(3))
             words, offsets = _words(batch, tree.heavy, 3)
             known = ids >= 0
             base = np.where(known, np.log10(tree.root[np.where(known, ids, 0)]), 0.0) if len(tree.root) else np.zeros(len(ids))
-            gain = tree.gains(words, offsets)[0] / math.log(10)
+            gain, places, keys = tree.gains(words, offsets)
             per = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(base + gain), pa.float64())], ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score"])
-
-    def rest(batches):
-        tree = shared.value
-        for batch in in_slices(batches, 256):
-            words, offsets = _words(batch, tree.heavy, 1)
-            _, places, keys = tree.gains(words, offsets)
-            rid = batch.column(0).to_numpy()[np.searchsorted(offsets, places, "right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(keys.view(np.int64))], ["rid", "k"])
-
-    heavy = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(base + gain / math.log(10)), pa.float64()), pa.nulls(batch.num_rows, pa.int64())], names)
+            if len(keys):
+                rid = batch.column(0).to_numpy()[np.searchsorted(offsets, places, "right") - 1]
+                none = [pa.nulls(len(keys), k) for k in kinds[1:-1]]
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *none, pa.array(keys.view(np.int64))], names)
+
+    scored = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double, k long")
+    scored = written(scored, "lm-scored")
+    heavy = scored.where("k is null").drop("k")
     light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
-    out = written(heavy, "lm-heavy").join(light, "rid", "left")
+    light = written(light.withColumnRenamed("rid", "light_rid"), "lm-light")
+    out = heavy.join(light, F.col("rid") == F.col("light_rid"), "left")
     if tree.tables:
-        joined = coded.select("rid", "ids", "light").mapInArrow(released(rest), "rid long, k long").join(tree.all_values().select("k", "v"), "k")
-        deep = written(joined.groupBy("rid").agg((F.sum("v") / math.log(10)).alias("deep")), "lm-deep")
-        out = out.join(deep, "rid", "left")
+        deep = scored.where("k is not null").groupBy("rid", "k").agg(F.count("*").alias("times")).join(tree.all_values().select("k", "v"), "k")
+        deep = written(deep.groupBy(F.col("rid").alias("deep_rid")).agg((F.sum(F.col("times") * F.col("v")) / math.log(10)).alias("deep")), "lm-deep")
+        out = out.join(deep, F.col("rid") == F.col("deep_rid"), "left")
     else:
         out = out.withColumn("deep", F.lit(0.0))
+    shared.destroy()
+    dropped(coded, counts, *[t for pair in tree.tables for t in pair])
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base") + zero("deep")).alias("score"))
