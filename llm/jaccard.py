@@ -23,7 +23,7 @@ enters few lists. Shingles over the threshold come after all others.
 
 Equal word sequences are one class. In a list, all sets are first compared with one
 pivot, chosen by a hash in each list; sets found linked fall into components. The same is
-done with a second pivot, and only then are pairs of different components compared, so a
+done with further pivots, and only then are pairs of different components compared, so a
 group of near copies costs about its size and no link between different components is
 lost. List entries carry their place in the order, which bounds what two
 sets can share from there on, and a sketch: the parity of a set's shingles in cells. Two
@@ -52,7 +52,7 @@ PARITY, MOST_PARITY = 1024, 1 << 17
 SKETCH = 4
 ENTRY_COST = 20
 #: Turns in which lists are compared with pivots, and how many pivots a group of sets has in each.
-PIVOTS = 2
+PIVOTS = 3
 PIVOTS_OF_GROUP = 16
 #: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -193,7 +193,8 @@ def entries(sets: DataFrame, light: int, percent: int) -> DataFrame:
                 if n <= light:
                     p = mix(order[: max(0, prefix(n, percent, SUBSET) - own)].view(np.uint64))
                     i, j = np.triu_indices(len(p), 1)
-                    found.append((mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]).view(np.int64), i + own))
+                    # all that two sets share besides the first of the two stands from the second on
+                    found.append((mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]).view(np.int64), j - 1 + own))
                 if n >= heavy_partner:
                     p = order[: max(0, prefix(n, percent, 1) - own)]
                     found.append((p, np.arange(len(p)) + own))
