@@ -515,6 +515,7 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
         keys = rows.column(0).to_numpy().view(np.uint64)
         order = np.argsort(keys)
         tree.keys, tree.values = keys[order], rows.column(1).to_numpy()[order]
+    tree.counts = np.zeros(0, np.int64)  # scoring needs the root only
     return tree, counts, docs
 
 
@@ -549,21 +550,21 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *none, pa.array(keys.view(np.int64))], names)
 
     scored = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double, k long")
-    scored = written(scored, "lm-scored")
-    heavy = scored.where("k is null").drop("k")
     light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
     light = written(light.withColumnRenamed("rid", "light_rid"), "lm-light")
-    out = heavy.join(light, F.col("rid") == F.col("light_rid"), "left")
+    scored = written(scored, "lm-scored")
+    shared.destroy()
+    dropped(coded, counts)
+    out = scored.where("k is null").drop("k").join(light, F.col("rid") == F.col("light_rid"), "left")
     if tree.tables:
-        deep = scored.where("k is not null").groupBy("rid", "k").agg(F.count("*").alias("times")).join(tree.all_values().select("k", "v"), "k")
-        deep = written(deep.groupBy(F.col("rid").alias("deep_rid")).agg((F.sum(F.col("times") * F.col("v")) / math.log(10)).alias("deep")), "lm-deep")
+        deep = scored.where("k is not null").select("rid", "k").join(tree.all_values().select("k", "v"), "k")
+        deep = written(deep.groupBy(F.col("rid").alias("deep_rid")).agg((F.sum("v") / math.log(10)).alias("deep")), "lm-deep")
         out = out.join(deep, F.col("rid") == F.col("deep_rid"), "left")
+        dropped(*[t for pair in tree.tables for t in pair])
     else:
         out = out.withColumn("deep", F.lit(0.0))
-    shared.destroy()
-    dropped(coded, counts, *[t for pair in tree.tables for t in pair])
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base") + zero("deep")).alias("score"))
