@@ -50,9 +50,10 @@ SUBSET = 2
 PARITY, MOST_PARITY = 1024, 1 << 17
 #: Words of 64 cells in the sketch of a list entry.
 SKETCH = 4
-ENTRY_COST = 20
+#: What an entry costs (it is shuffled, written, joined and grouped some times) in comparisons within a list.
+ENTRY_COST = 64
 #: Turns in which lists are compared with pivots, and how many pivots a group of sets has in each.
-PIVOTS = 3
+PIVOTS = 2
 PIVOTS_OF_GROUP = 16
 #: Rows up to which a table of candidate documents is sent to all executors (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
@@ -127,7 +128,7 @@ def facts(docs: DataFrame, percent: int, size: int) -> DataFrame:
 def boundary(percent: int, list_length: float) -> int:
     """The largest light size: its subsets cost at most the list entries that its prefix would be compared with.
 
-    An entry is shuffled, joined and grouped, which costs about ``ENTRY_COST`` comparisons.
+    An entry costs ``ENTRY_COST`` comparisons.
     """
     best, n = 1, 2
     while n <= 2 * best + 100:
