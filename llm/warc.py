@@ -2,9 +2,10 @@
 
 A payload is cut into chunks. Every chunk is one row ``(record, chunk number, bytes,
 running digest)`` and one WARC record: the first is ``response``, later ones are
-``continuation`` records (WARC segmentation), so no step holds a whole oversized
-record beside its input cell. The running SHA-1 of a chunk covers the payload up to
-its end; the reader continues the digest chunk by chunk and compares at each one.
+``continuation`` records (WARC segmentation). The rows stream from one step to the next, a
+chunk at a time, so beside its input cell no step holds a whole oversized record. The
+running SHA-1 of a chunk covers the payload up to its end; the reader continues the digest
+chunk by chunk and compares at each one. What finds equal payloads are digests alone.
 
 Archives are written and read by Spark's own text source, so they can lie in any store
 that Spark reaches and a lost executor's task is simply run again. Records are parted
@@ -21,8 +22,9 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh_path, in_slices, written
+from .common import fresh_path, in_slices, released, written
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -32,26 +34,29 @@ CHUNK_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 READ_SCHEMA = "record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, n_chunks int, intact boolean"
-CHUNK_SCHEMA = "record_id string, chunk_no int, chunk binary, running_digest string"
+CHUNK_SCHEMA = "chunk_no int, chunk binary, running_digest string, last boolean"
+#: Copied payloads up to which their digests are sent to all executors; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
 
 
 def base32_sha1(digest) -> str:
     return base64.b32encode(digest.digest()).decode()
 
 
-def cut(payload: bytes, size: int = CHUNK_BYTES):
+def cut(payload, size: int = CHUNK_BYTES):
     """Chunks of at most ``size`` bytes. An empty payload is one empty chunk.
 
     None begins with the version or holds it after an ``END``, even without its line
     end, as the bytes before and after a chunk could complete the boundary.
     """
-    at, n, view, mark = 0, len(payload), memoryview(payload), VERSION.rstrip()
+    at, view, mark = 0, memoryview(payload), VERSION.rstrip()
+    n = len(view)
     while True:
         end = min(n, at + size)
-        inside = at - len(END) if payload.startswith(mark, at) else payload.find(END + mark, at, end)
-        inside = None if inside == -1 and not payload.startswith(mark, at) else inside
-        if inside is not None:
-            end = min(end, inside + len(END) + 4)
+        begin = bytes(view[at : end + len(mark)])
+        inside = -len(END) if begin.startswith(mark) else begin.find(END + mark, 0, end - at)
+        if inside != -1:
+            end = min(end, at + inside + len(END) + 4)
         yield view[at:end]
         at = end
         if at >= n:
@@ -59,17 +64,46 @@ def cut(payload: bytes, size: int = CHUNK_BYTES):
 
 
 def chunk_table(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``record_id, payload`` to ``record_id, chunk_no, chunk, running_digest``, a chunk at a time. Null payload: empty."""
+    """The columns of ``records`` but ``payload``, and ``chunk_no, chunk, running_digest, last``: a row for each chunk.
+
+    One payload is read at a time and its chunks leave one by one. A null payload is one
+    empty chunk; rows that repeat each have their own chunks; an empty table has none.
+    """
+    kept = [c for c in records.columns if c != "payload"]
+    schema = T.StructType([*records.select(*kept).schema.fields, *T.StructType.fromDDL(CHUNK_SCHEMA).fields])
 
     def run(batches):
-        for batch in in_slices(batches, 16):
-            for rid, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                digest = hashlib.sha1()
-                for k, chunk in enumerate(cut(payload or b"", chunk_bytes)):
+        for batch in batches:
+            payloads = batch.column(len(kept))
+            for i in range(batch.num_rows):
+                payload = payloads[i].as_buffer() or b""
+                digest, chunks, k = hashlib.sha1(), cut(payload, chunk_bytes), 0
+                chunk, own = next(chunks), [batch.column(j).slice(i, 1) for j in range(len(kept))]
+                while chunk is not None:
+                    after = next(chunks, None)
                     digest.update(chunk)
-                    yield pa.RecordBatch.from_arrays([pa.array([rid], pa.string()), pa.array([k], pa.int32()), pa.array([bytes(chunk)], pa.binary()), pa.array([base32_sha1(digest)], pa.string())], ["record_id", "chunk_no", "chunk", "running_digest"])
+                    cells = [pa.array([k], pa.int32()), pa.array([bytes(chunk)], pa.binary()), pa.array([base32_sha1(digest)]), pa.array([after is None])]
+                    yield pa.RecordBatch.from_arrays([*own, *cells], schema.names)
+                    chunk, k = after, k + 1
+
+    return records.select(*kept, F.col("payload").cast("binary")).mapInArrow(released(in_larger(run)), schema)
+
 
-    return records.select(F.col("record_id").cast("string"), F.col("payload").cast("binary")).mapInArrow(run, CHUNK_SCHEMA)
+def in_larger(run, rows: int = 256, size: int = 4 << 20):
+    """``run`` with small batches put together: at most so many rows, or a few chunks."""
+
+    def wrapped(batches):
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.nbytes
+            if len(held) >= rows or n >= size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return wrapped
 
 
 def deduplicated(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -80,56 +114,46 @@ def deduplicated(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     the largest ``page_id`` are responses too; a null ``page_id`` is below all others.
     """
     own = records.withColumn("digest", F.sha1(F.coalesce(F.col("payload"), F.lit(b""))))
-    size = F.coalesce(F.octet_length("payload"), F.lit(0))
+    size = F.coalesce(F.octet_length("payload"), F.lit(0))  # only digests are joined
     first = own.where(size >= min_bytes).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
     first = written(first, "warc-copied")  # a join of two plain exchanges can split a skewed key
-    joined = own.join(first, (own.digest == first.of) & (size >= min_bytes), "left")
+    side = F.broadcast(first) if first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else first
+    joined = own.join(side, (F.col("digest") == F.col("of")) & (size >= min_bytes), "left")
     revisit = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return joined.select(*own.columns, F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
 
 
-def _record(rid, uri, kind, refers, full, size, payload, chunk_bytes):
-    """The bytes of each WARC record of one row, without the version line and the closing CRLF CRLF."""
+def _record(rid, uri, kind, refers, full, size, k, chunk, running, last):
+    """The bytes of one WARC record, without the version line and the closing CRLF CRLF."""
     head = f"WARC-Date: {DATE}\r\n" + (f"WARC-Target-URI: {uri}\r\n" if uri else "")
     if kind == "revisit":
-        yield f"WARC-Type: revisit\r\nWARC-Record-ID: <{rid}>\r\n{head}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{refers}>\r\nWARC-Payload-Digest: sha1:{full}\r\nX-Payload-Length: {size}\r\nContent-Length: 0".encode() + END
-        return
-    chunks, running, k = cut(payload, chunk_bytes), hashlib.sha1(), 0
-    chunk, after = next(chunks), next(chunks, None)
-    while chunk is not None:
-        running.update(chunk)
-        only = k == 0 and after is None
-        seg = "" if only else f"WARC-Segment-Number: {k + 1}\r\n" + (f"WARC-Segment-Origin-ID: <{rid}>\r\n" if k else "") + (f"WARC-Segment-Total-Length: {size}\r\n" if after is None else "")
-        own = f"{rid}" if not k else f"{rid}:segment:{k + 1}"
-        yield f"WARC-Type: {'continuation' if k else 'response'}\r\nWARC-Record-ID: <{own}>\r\n{head}{seg}WARC-Payload-Digest: sha1:{full}\r\nX-Running-Digest: sha1:{base32_sha1(running)}\r\nContent-Type: application/octet-stream\r\nContent-Length: {len(chunk)}".encode() + END + bytes(chunk)
-        chunk, after, k = after, next(chunks, None), k + 1
+        return f"WARC-Type: revisit\r\nWARC-Record-ID: <{rid}>\r\n{head}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{refers}>\r\nWARC-Payload-Digest: sha1:{full}\r\nX-Payload-Length: {size}\r\nContent-Length: 0".encode() + END
+    only = k == 0 and last
+    seg = "" if only else f"WARC-Segment-Number: {k + 1}\r\n" + (f"WARC-Segment-Origin-ID: <{rid}>\r\n" if k else "") + (f"WARC-Segment-Total-Length: {size}\r\n" if last else "")
+    own = f"{rid}" if not k else f"{rid}:segment:{k + 1}"
+    return f"WARC-Type: {'continuation' if k else 'response'}\r\nWARC-Record-ID: <{own}>\r\n{head}{seg}WARC-Payload-Digest: sha1:{full}\r\nX-Running-Digest: sha1:{running}\r\nContent-Type: application/octet-stream\r\nContent-Length: {len(chunk)}".encode() + END + chunk
 
 
 def write_archives(records: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write ``record_id, target_uri, record_type, refers_id, digest (hex SHA-1), payload_bytes, payload`` as ``*.txt.gz`` WARC files under ``path``.
 
+    The rows go through :func:`chunk_table`, and each chunk becomes a record where it is.
     Line breaks in ids and addresses become spaces, so that a value never breaks a header.
     """
 
     def run(batches):
         # a file begins with the version line; each later record gets it after the separator
-        for batch in in_slices(batches, 64):
-            out, held = [], 0
-            cols = [c.to_pylist() for c in batch.columns]
-            for rid, uri, kind, refers, full, size, payload in zip(*cols, strict=True):
+        for batch in batches:
+            out = []
+            for rid, uri, kind, refers, full, size, k, chunk, running, last in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 full = base64.b32encode(bytes.fromhex(full)).decode()
-                for piece in _record(rid, uri, kind, refers, full, size, payload or b"", chunk_bytes):
-                    out.append(VERSION + piece)
-                    held += len(piece)
-                    if held >= 4 * chunk_bytes:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out.append(VERSION + _record(rid, uri, kind, refers, full, size, k, chunk, running, last))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    clean = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", " ")
-    rows = records.select(clean("record_id"), clean("target_uri"), "record_type", clean("refers_id"), "digest", F.col("payload_bytes").cast("long"), F.when(F.col("record_type") == "response", F.col("payload")).cast("binary"))
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(path, compression="gzip", lineSep=END.decode())
+    clean = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", " ").alias(c)
+    rows = records.select(clean("record_id"), clean("target_uri"), "record_type", clean("refers_id"), "digest", F.col("payload_bytes").cast("long"), F.when(F.col("record_type") == "response", F.col("payload")).cast("binary").alias("payload"))
+    chunks = chunk_table(rows, chunk_bytes)
+    chunks.mapInArrow(released(run), "value binary").select(F.col("value").cast("string")).write.text(path, compression="gzip", lineSep=END.decode())
 
 
 def _header(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -200,7 +224,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             yield batch_of(out)
 
     text = spark.read.schema("value string").text(path, lineSep=BOUNDARY.decode())
-    return text.select(F.col("value").cast("binary")).mapInArrow(run, READ_SCHEMA)
+    return text.select(F.col("value").cast("binary")).mapInArrow(released(run), READ_SCHEMA)
 
 
 PAGE_URN = "urn:page:"

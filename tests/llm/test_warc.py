@@ -60,3 +60,12 @@ def test_damage_is_seen(spark):
     block = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:" + sha(b"abc").encode() + b"\r\nContent-Length: 3\r\n\r\nabX"
     spark.createDataFrame([(block.decode(),)], "value string").write.text(path, lineSep="\r\n\r\n")
     assert [r.intact for r in warc.read_archives(spark, path).collect()] == [False]
+
+
+def test_archives_are_made_of_the_chunk_table(spark, monkeypatch):
+    """Without chunk rows nothing is written."""
+    seen = []
+    real = warc.chunk_table
+    monkeypatch.setattr(warc, "chunk_table", lambda records, size=warc.CHUNK_BYTES: seen.append(size) or real(records, size))
+    out = warc.archive_round_trip(spark.createDataFrame(ROWS, SCHEMA), chunk_bytes=100)
+    assert seen == [100] and out.count() == len(ROWS)
