@@ -1,11 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-An occurrence of an item of ``m`` bytes with at most ``k`` edits keeps at least
+An occurrence of an item of ``m`` characters with at most ``k`` edits keeps at least
 ``m - q + 1 - k q`` of its q-grams, all within ``k + 1`` neighbouring diagonals (text
 position less item position). Shared q-grams are counted in overlapping bands of
 diagonals; a band that meets the bound is a region, and a banded alignment decides it.
-The counts may exceed the number of shared q-grams, never fall short, so the filter
-loses nothing.
+Q-grams are compared by one byte a character, so the counts may exceed the number of
+shared q-grams, but never fall short, and the filter loses nothing. An item too short for
+the bound at its budget is aligned with the whole text.
 """
 
 from __future__ import annotations
@@ -17,26 +18,37 @@ from pyspark.sql import functions as F
 
 from .common import in_slices, released
 
-Q = 10
+Q = 8
 MAX_ERROR = 0.06
 #: Benchmark bytes that executors hold at once; a larger benchmark is taken in blocks of about this size.
 BLOCK_BYTES = 8 << 20
-_BITS = 21
 _FAR = 1 << 20
 
 
-def normal(text: str | None) -> bytes:
+def normal(text: str | None) -> str:
     """Lower case, white space runs as one space."""
-    return " ".join((text or "").lower().split()).encode()
+    return " ".join((text or "").lower().split())
+
+
+def codes_of(text: str) -> np.ndarray:
+    """The characters as numbers."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def folded(text: str) -> bytes:
+    """One byte for each character; different characters may share one."""
+    if text.isascii():
+        return text.encode()
+    c = codes_of(text)
+    return (c ^ (c >> np.uint32(8)) ^ (c >> np.uint32(16))).astype(np.uint8).tobytes()
 
 
 def qgram_codes(text: bytes) -> np.ndarray:
-    """A 64-bit code for each 10-byte q-gram (two overlapping loads of eight bytes)."""
+    """A scrambled 64-bit code for each q-gram, one load of eight bytes."""
     n = len(text) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    load = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
-    return load[:n] * np.uint64(0x9E3779B97F4A7C15) + load[2 : n + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.ndarray((n,), "<u8", text, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, free: bool) -> tuple[int, int]:
@@ -72,35 +84,31 @@ class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], max_error: float = MAX_ERROR):
-        self.items = [(i, b) for i, t in items if (b := normal(t))]
-        self.k, self.tau, self.short = [], [], []
+        self.items = [(i, t) for i, x in items if (t := normal(x))]
+        self.k = np.array([int(max_error * len(t)) for _, t in self.items], np.int64)
+        sizes = np.array([len(t) for _, t in self.items], np.int64)
+        self.tau = sizes - Q + 1 - self.k * Q
+        #: Items without a bound that tells anything.
+        self.whole = np.flatnonzero(self.tau < 1).tolist()
         codes, owner, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x, (_, b) in enumerate(self.items):
-            m, k = len(b), int(max_error * len(b))
-            while k and m - Q + 1 - k * Q < 1:
-                k -= 1
-            self.k.append(k)
-            self.tau.append(m - Q + 1 - k * Q)
-            if m < Q:
-                self.short.append(x)
-                continue
-            c = qgram_codes(b)
-            codes.append(c)
-            owner.append(np.full(len(c), x))
-            offset.append(np.arange(len(c)))
+        for x, (_, t) in enumerate(self.items):
+            if self.tau[x] >= 1:
+                c = qgram_codes(folded(t))
+                codes.append(c)
+                owner.append(np.full(len(c), x))
+                offset.append(np.arange(len(c)))
         c = np.concatenate(codes)
         order = np.argsort(c, kind="stable")
         self.codes, self.owner, self.offset = c[order], np.concatenate(owner)[order], np.concatenate(offset)[order]
-        self.table = np.zeros(1 << _BITS, bool)
-        self.table[(self.codes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.tau, self.k = np.array(self.tau, np.int64), np.array(self.k, np.int64)
+        self.bits = min(26, max(21, (8 * len(c)).bit_length()))
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(self.codes >> np.uint64(64 - self.bits)).astype(np.int64)] = True
         self.step = np.maximum(2 * self.k + 1, 16)
-        self.least = int(self.tau.min()) if len(self.tau) else 0
 
     def regions(self, text: bytes):
         """``(item, band)`` pairs whose count of shared q-grams meets the item's bound."""
         codes = qgram_codes(text)
-        pos = np.flatnonzero(self.table[(codes >> np.uint64(64 - _BITS)).astype(np.int64)])
+        pos = np.flatnonzero(self.table[(codes >> np.uint64(64 - self.bits)).astype(np.int64)])
         if not len(pos) or not len(self.codes):
             return []
         own = codes[pos]
@@ -125,40 +133,48 @@ class Index:
         return [(int(x >> 40), int(x & ((1 << 40) - 1)) - _FAR) for x in key[good]]
 
     def matches(self, text: str | None):
-        """``(item_id, start, end, edits, most edits)`` of the best occurrence of each item; places in code points of the normal form."""
-        b = normal(text)
+        """``(item_id, start, end, edits, most edits)`` of the best occurrence of each item; places in characters of the normal form."""
+        t = normal(text)
         best: dict[int, tuple] = {}
-        if not b:
+        if not t:
             return []
         data = None
-        for x, band in self.regions(b):
-            item, k, step = self.items[x][1], int(self.k[x]), int(self.step[x])
+
+        def numbers():
+            nonlocal data
+            if data is None:
+                data = codes_of(t)
+            return data
+
+        def occurrence(x: int, start: int, end: int, low: int, high: int):
+            """The best place of an item in part of the text, on diagonals from low to high."""
+            item, k = self.items[x][1], int(self.k[x])
+            at = t.find(item, start, end)
+            if at >= 0:
+                return 0, at, at + len(item)
+            if not k:
+                return None
+            part, pattern = numbers()[start:end], codes_of(item)
+            edits, stop = aligned(pattern, part, low, high, True)
+            if edits > k:
+                return None
+            _, length = aligned(pattern[::-1], part[:stop][::-1], -k, k, False)
+            return edits, start + stop - length, start + stop
+
+        for x, band in self.regions(folded(t)):
             if x in best and best[x][0] == 0:
                 continue
+            k, step = int(self.k[x]), int(self.step[x])
             start = max(0, band * step - k)
-            end = min(len(b), band * step + step + 2 * k + len(item))
-            at = b.find(item, start, end)
-            if at >= 0:
-                found = (0, at, at + len(item))
-            else:
-                if data is None:
-                    data = np.frombuffer(b, np.uint8)
-                pattern = np.frombuffer(item, np.uint8)
-                low, high = band * step - k - start, band * step + step + 2 * k - start
-                edits, stop = aligned(pattern, data[start:end], low, high, True)
-                if edits > k:
-                    continue
-                back = data[start : start + stop][::-1]
-                _, length = aligned(pattern[::-1], back, -k, k, False)
-                found = (edits, start + stop - length, start + stop)
-            if x not in best or found < best[x]:
+            end = min(len(t), band * step + step + 2 * k + len(self.items[x][1]))
+            found = occurrence(x, start, end, band * step - k - start, band * step + step + 2 * k - start)
+            if found and (x not in best or found < best[x]):
                 best[x] = found
-        for x in self.short:
-            at = b.find(self.items[x][1])
-            if at >= 0:
-                best[x] = (0, at, at + len(self.items[x][1]))
-        place = lambda p: len(b[:p].decode(errors="ignore"))
-        return [(self.items[x][0], place(s), place(e), edits, int(self.k[x])) for x, (edits, s, e) in sorted(best.items())]
+        for x in self.whole:
+            k = int(self.k[x])
+            if found := occurrence(x, 0, len(t), -k, max(len(t) - len(self.items[x][1]) + k, -k)):
+                best[x] = found
+        return [(self.items[x][0], s, e, edits, int(self.k[x])) for x, (edits, s, e) in sorted(best.items())]
 
 
 def blocks_of(benchmark: DataFrame, max_error: float, block_bytes: int):
@@ -178,7 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR,
     """``doc_id, item_id, start_char, end_char, edits, max_edits``: each item that a document holds, at its best place.
 
     Both sides are compared in lower case with white space runs as one space; an item
-    may have up to ``max_error`` of its bytes in edits. Null or empty texts on either
+    may have up to ``max_error`` of its characters in edits. Null or empty texts on either
     side match nothing; ids may be null; repeated documents each give rows, repeated
     items (same id and text) count once; empty tables give no rows; other columns are
     left out. A map over the documents: nothing is shuffled.
@@ -202,7 +218,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR,
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_error: float = MAX_ERROR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item. Null texts stay."""
+    """The rows of ``docs``, all columns whatever their names, that hold no benchmark item.
+
+    Null and empty texts and null ids stay, rows that repeat stay or go together, and an
+    empty benchmark drops nothing.
+    """
     spark = docs.sparkSession
     at = docs.columns.index("text")
     for index in blocks_of(benchmark, max_error, block_bytes):

@@ -40,7 +40,20 @@ def test_against_brute_force():
         assert (least <= most) == bool(found)
         if found:
             _, start, end, n, _ = found[0]
-            assert n == least and edits(d.normal(text), d.normal(doc).decode()[start:end].encode()) == least
+            assert n == least and edits(d.normal(text), d.normal(doc)[start:end]) == least
+
+
+def test_characters_and_short_items():
+    """One character is one edit, whatever its bytes; items too short for the bound are aligned all the same."""
+    own = [(1, "äöü ßéè ñçå œæø ðþý"), (2, "abcdefghijklmnopq"), (3, "xy zw")]
+    index = d.Index(own)
+    assert list(index.k) == [1, 1, 0]
+    assert [m[0] for m in index.matches("… äöü ßéè nçå œæø ðþý …")] == [1]
+    assert [m[0] for m in index.matches("… äöu ßéè nçå œæø ðþý …")] == []
+    assert [(m[0], m[3]) for m in index.matches("zz abcdefgh-jklmnopq zz")] == [(2, 1)]
+    assert [(m[0], m[1], m[2]) for m in index.matches("q xy zw")] == [(3, 2, 7)]
+    loose = d.Index([(1, "abcdefgh")], 0.25)
+    assert loose.whole == [0] and [m[3] for m in loose.matches("12 abXdeYgh 34")] == [2] and not loose.matches("12 aXXdeYgh 34")
 
 
 def test_table_and_blocks(spark):
