@@ -50,11 +50,29 @@ def test_empty_and_long(spark):
 def test_inner_symbols_do_not_depend_on_what_is_around():
     rng = np.random.default_rng(8)
     inner = rng.integers(0, 5, 80).astype(np.uint64)
-    r = repeats.rounds_for(50)
-    margin = 2 << r
+    r, run = repeats.rounds_for(50), repeats.longest_run(50)
+    margin = run << r
     found = []
     for seed in (1, 2):
         around = np.random.default_rng(seed).integers(0, 5, 60).astype(np.uint64)
-        names, start = repeats.recompress(repeats.mix(np.concatenate([around[:30], inner, around[30:]])), r)
+        names, start = repeats.recompress(repeats.mix(np.concatenate([around[:30], inner, around[30:]])), r, run)
         found.append([(int(s) - 30, int(n)) for s, n in zip(start, names, strict=True) if margin <= s - 30 < 80 - margin])
     assert found[0] == found[1] and found[0]
+
+
+def test_maximal_runs_are_one_symbol():
+    a, b, c = (repeats.mix(np.uint64(k)) for k in (1, 2, 3))
+    names, start = repeats.recompress(np.array([a, a, a, b, c, c, c, c, c, c, c, a]), 0)
+    assert list(start) == [0, 3, 4, 11]
+    # a longer run has the same name, as its end may be out of sight, and no round joins it
+    more, _ = repeats.recompress(np.array([a, a, a, b] + [c] * 30 + [a]), 0)
+    assert list(more) == list(names)
+    _, start = repeats.recompress(np.array([b] + [c] * 30 + [a]), 3)
+    assert list(start) == [0, 1, 31]
+
+
+def test_passages_of_one_word(spark):
+    """Long runs have no symbol inside, and are found all the same."""
+    rows = [(1, "x y " + "a " * 120 + "z"), (2, "p " + "a " * 90 + "q r"), (3, "a " * 49 + "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, repeats.remove_repeats(df).collect()), key=str) == brute(rows, 50)
