@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from weftline.plans import functions_suite, operators_suite  # noqa: F401
+from weftline.plans import catalogue_suite, functions_suite, operators_suite  # noqa: F401
 from weftline.plans.registry import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"

@@ -148,3 +148,36 @@ def token_overlap(intended: Column, actual: Column) -> Column:
     pairs = F.flatten(F.transform(tokens(intended), lambda x: F.transform(tokens(actual), lambda y: pair(x, y))))
     score, size = F.aggregate(pairs, F.lit(0), lambda a, p: a + p["s"]), F.aggregate(pairs, F.lit(0), lambda a, p: a + p["t"])
     return F.when(size > 0, F.floor(100 * score / size)).otherwise(0).cast("long")
+
+
+def rrange(low: Column, high: Column) -> Column:
+    """A range of reals, its bounds in order."""
+    low, high = low.cast("double"), high.cast("double")
+    return F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+
+
+def in_range(value: Column, of: Column) -> Column:
+    return value.between(of["low"], of["high"])
+
+
+def sorted_by(values: Column, field: str) -> Column:
+    """Containers (structs) in the order of a field, ties by the rest."""
+    keyed = F.transform(values, lambda x: F.struct(x[field].alias("k"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda s: s["x"])
+
+
+def set_add(values: Column, item: Column) -> Column:
+    """A set as a list in the order of first appearance, with one more item."""
+    return F.array_distinct(F.concat(values, F.array(item)))
+
+
+def set_remove(values: Column, item: Column) -> Column:
+    return F.filter(values, lambda x: x != item)
+
+
+def set_equal(a: Column, b: Column) -> Column:
+    return subset(a, b) & subset(b, a)
+
+
+def map_remove(values: Column, key: Column) -> Column:
+    return F.map_filter(values, lambda k, v: k != key)

@@ -60,7 +60,7 @@ def digest(value: Column, kind: str) -> Column:
 
 
 def _number(value: Column) -> Column:
-    return F.expr("try_cast(x as double)") if value is None else value.try_cast("double")
+    return value.try_cast("double")
 
 
 def is_greater_than(a: Column, b: Column) -> Column:
@@ -113,3 +113,16 @@ def compare_versions(a: Column, b: Column) -> Column:
     numbers = lambda v: F.transform(F.split(v, r"\."), lambda x: x.try_cast("long"))
     x, y = numbers(a), numbers(b)
     return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+
+def translate_path(path: Column, separator: str = "/") -> Column:
+    """A path with the separators of a system."""
+    return path if separator == "/" else F.replace(path, F.lit("/"), F.lit(separator))
+
+
+def count_tokens(value: Column, separators: str) -> Column:
+    return F.size(F.filter(F.split(value, separators), lambda x: x != "")).cast("long")
+
+
+def token(value: Column, separators: str, i: int) -> Column:
+    return F.get(F.filter(F.split(value, separators), lambda x: x != ""), i)

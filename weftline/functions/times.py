@@ -70,3 +70,14 @@ def strftime(pattern: str, ts: Column) -> Column:
         else:
             out += "''" if c == "'" else f"'{c}'" if c.isalpha() else c
     return F.date_format(ts, out)
+
+
+def ago(now: Column, years=0, months=0, days=0, hours=0, minutes=0, seconds=0) -> Column:
+    """Epoch seconds of a time that lies so far back; never below 0."""
+    whole = lambda x: F.lit(x).cast("int")
+    back = F.make_interval(whole(years), whole(months), F.lit(0), whole(days), whole(hours), whole(minutes), F.lit(seconds))
+    return F.greatest(epoch(now - back), F.lit(0).cast("long"))
+
+
+def now() -> Column:
+    return F.unix_timestamp()

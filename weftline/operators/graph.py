@@ -36,6 +36,12 @@ def context_tuples(tuples: DataFrame) -> DataFrame:
     return tuples.select(F.inline(rows)).where("src <> dst").distinct()
 
 
+def through_contexts(tuples: DataFrame) -> DataFrame:
+    """``src, context, dst``: concepts that meet in a context other than ``any``, by two joins on the context."""
+    hubs = context_tuples(tuples).where((F.col("atype") == CONTEXT) & (F.col("dst") != "any")).select(F.col("src").alias("name"), F.col("dst").alias("context"))
+    return hubs.select(F.col("name").alias("src"), "context").join(hubs.select(F.col("name").alias("dst"), "context"), "context").where("src <> dst")
+
+
 def edges(tuples: DataFrame, order: str | None = None) -> DataFrame:
     """Edges in both directions with a weight that grows with sightings: ``1 - 0.3 * 0.4 ** (n - 1)``, after the first ``0.7``.
 
@@ -67,11 +73,12 @@ def best_children(edges_: DataFrame, most: int) -> DataFrame:
     return edges_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def stories(edges_: DataFrame, starts: DataFrame, depth: int, types: tuple[int, ...] | None = None, most: int | None = None) -> DataFrame:
+def stories(edges_: DataFrame, starts: DataFrame, depth: int, types: tuple[int, ...] | None = None, most: int | None = 12, save=None) -> DataFrame:
     """``path, types, hops`` of all walks from ``starts.name`` that visit no vertex twice and never turn straight back.
 
     One join per level on the last vertex. Context edges are not followed. ``most``
-    keeps that many children of each vertex and type. Paths that can't go on end there.
+    keeps that many children of each vertex and type (none: all, exponential in depth).
+    ``save`` writes a level and gives it back, so that deep levels are not planned anew.
     """
     usable = edges_.where(F.abs("atype") <= EXPRESSES)
     if types:
@@ -79,12 +86,13 @@ def stories(edges_: DataFrame, starts: DataFrame, depth: int, types: tuple[int,
     if most:
         usable = best_children(usable, most)
     step = usable.select(F.col("src").alias("_src"), F.col("atype").alias("_type"), F.col("dst").alias("_dst")).distinct()
-    level = starts.select(F.array("name").alias("path"), F.array().cast("array<int>").alias("types"))
+    save = save or (lambda x: x)
+    level = save(starts.select(F.array("name").alias("path"), F.array().cast("array<int>").alias("types")))
     found = level.limit(0)
     for _ in range(depth):
         last, before = F.element_at("path", -1), F.try_element_at("types", F.lit(-1))
         level = level.join(step, last == F.col("_src")).where(~F.array_contains("path", F.col("_dst")) & (before.isNull() | (F.col("_type") != -before)))
-        level = level.select(F.concat("path", F.array("_dst")).alias("path"), F.concat("types", F.array(F.col("_type").cast("int"))).alias("types"))
+        level = save(level.select(F.concat("path", F.array("_dst")).alias("path"), F.concat("types", F.array(F.col("_type").cast("int"))).alias("types")))
         found = found.unionByName(level)
     return found.withColumn("hops", F.size("types").cast("long"))
 

@@ -100,3 +100,44 @@ def leap_scores(samples: DataFrame, key: str, order: list[str], value: str, n: i
     d = n * (n + 1) * total / n
     gap = total - n * F.col(value)
     return samples.withColumn("chi", F.when((count < n) | (d < 0.001), 0.0).otherwise(F.sqrt(gap * gap / d)))
+
+
+def last_seen(contacts: DataFrame, direction: str, host: str, ts: str, p: float = 0.4) -> DataFrame:
+    """``direction, host, last, n, average`` of contacts at ``ts`` (seconds): the average time between contacts.
+
+    The first contact has an average of 0, and each later gap weighs ``p``.
+    """
+    folded = ordered(contacts, [direction, host], [ts], ts)
+    gaps = F.transform(F.slice(F.col("q"), F.lit(2), F.greatest(F.size("q") - 1, F.lit(0))), lambda x, i: x - F.get(F.col("q"), i))
+    average = F.aggregate(gaps, F.lit(0.0), lambda s, x: p * x + (1 - p) * s)
+    return folded.select(direction, host, F.array_max("q").cast("long").alias("last"), F.size("q").cast("long").alias("n"), average.alias("average"))
+
+
+def admitted(runs: DataFrame, keys: list[str], ts: str, ifelapsed: int) -> DataFrame:
+    """``keys, ts`` of runs that a rate limit lets through: those at least ``ifelapsed`` whole minutes after the last that was let through."""
+    folded = ordered(runs, keys, [ts], ts)
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("taken"))
+
+    def step(s, x):
+        free = s["last"].isNull() | (F.floor((x - s["last"]) / 60) >= ifelapsed)
+        return F.when(free, F.struct(x.alias("last"), F.concat(s["taken"], F.array(x)).alias("taken"))).otherwise(s)
+
+    return folded.select(*keys, F.explode(F.aggregate("q", start, step, lambda s: s["taken"])).alias(ts)).withColumn(ts, F.col(ts).cast("long"))
+
+
+def persistent(classes: DataFrame, keys: list[str], ts: str, ttl: int, policy: str = "reset") -> DataFrame:
+    """``keys, begin, until`` of the spans in which a class is defined, from the times (seconds) at which it was set.
+
+    ``reset``: each setting starts the time to live anew; ``preserve``: a class that is defined keeps its end.
+    """
+    if policy == "preserve":
+        folded = ordered(classes, keys, [ts], ts)
+        start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<double>").alias("taken"))
+        step = lambda s, x: F.when(s["until"].isNull() | (x >= s["until"]), F.struct((x + ttl).alias("until"), F.concat(s["taken"], F.array(x)).alias("taken"))).otherwise(s)
+        begun = folded.select(*keys, F.explode(F.aggregate("q", start, step, lambda s: s["taken"])).alias("begin")).withColumn("begin", F.col("begin").cast("long"))
+        return begun.withColumn("until", F.col("begin") + ttl)
+    w = W.partitionBy(*keys).orderBy(ts)
+    before = F.lag(ts).over(w)
+    rows = classes.select(*keys, ts).withColumn("_new", F.when(before.isNull() | (F.col(ts) >= before + ttl), 1).otherwise(0))
+    rows = rows.withColumn("_span", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_span").agg(F.min(ts).alias("begin"), (F.max(ts) + ttl).alias("until")).drop("_span")

@@ -59,7 +59,6 @@ part("F112_reglist", out=(lambda: lists.some(c("l"), "Brand#1.*").cast("long"),
 part("F118_reverse", out=(lambda: text_of(F.reverse("l")), joined("list_reverse(l)")))
 part("F122_sort", out=(lambda: text_of(lists.sort(c("l"))), joined("list_sort(l)")))
 part("F124_splitstring", out=(lambda: text_of(text.splitstring(c("p_name"), " ", 1)), "string_split(p_name, ' ')[1]"))
-part("F135_string_split", out=(lambda: F.size(text.string_split(F.concat("p_name", F.lit(" a b")), " ", 3)).cast("long"), "CAST(3 AS BIGINT)"))
 part("F126_strcmp", out=(lambda: (c("p_type") == "ECONOMY").cast("long"), "CAST(p_type = 'ECONOMY' AS BIGINT)"))
 part("F128_sublist", head=(lambda: text_of(lists.sublist(c("l"), "head", 2)), joined("list_slice(l, 1, 2)")), tail=(lambda: text_of(lists.sublist(c("l"), "tail", 2)), joined("list_slice(l, len(l) - 1, len(l))")))
 part("F131_unique", out=(lambda: F.size(lists.unique(c("m"))).cast("long"), "CAST(len(list_distinct(m)) AS BIGINT)"))
@@ -73,7 +72,6 @@ part("F142_length", out=(lambda: F.size("m").cast("long"), "CAST(len(m) AS BIGIN
 part("F21_eval", a=(lambda: F.round(arithmetic.evaluate("(2 + $(s)) ^ 2 / 4k - sqrt($(s))", {"s": c("p_size")}), 6), "round(pow(2 + p_size, 2) / 4000 - sqrt(p_size), 6)"), b=(lambda: arithmetic.evaluated_text("200 % 3 + step(-1) + 2"), "'4.000000'"))
 part("P5_regex", whole=(lambda: text.full_match(c("p_name"), "red").cast("long"), "CAST(regexp_full_match(p_name, 'red') AS BIGINT)"), partial=(lambda: c("p_name").rlike("red").cast("long"), "CAST(regexp_matches(p_name, 'red') AS BIGINT)"))
 part("P13_template", out=(lambda: text.template("$(b)/$(t)[$(x)]", {"b": c("p_brand"), "t": c("p_type")}), "p_brand || '/' || p_type || '[$(x)]'"))
-part("F37_getindices", out=(lambda: text_of(F.map_keys(F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type"))), "'brand,type'"))
 part("F40_getvalues", out=(lambda: text_of(F.array_distinct(F.map_values(F.create_map(F.lit("a"), "p_type", F.lit("b"), "p_type", F.lit("c"), "p_brand")))), "p_type || ',' || p_brand"))
 part("F73_maparray", out=(lambda: text_of(F.transform(F.map_entries(F.create_map(F.lit("b"), "p_brand", F.lit("t"), "p_type")), lambda e: text.template("$(k)=$(v)", {"k": e["key"], "v": e["value"]}))), "'b=' || p_brand || ',t=' || p_type"))
 part("F75_mergedata", out=(lambda: lists.merge_maps(F.create_map(F.lit("a"), "p_type", F.lit("b"), "p_type"), F.create_map(F.lit("b"), "p_brand"))["b"], "p_brand"))

@@ -146,12 +146,15 @@ def _(t):
     return statistics.differences(t("events"), "event_type", ["ts", "event_id"], "value").select("event_id", F.round("dq", 6).alias("dq"))
 
 
-@query("A8_log_ewma")
+_ROWS = "s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), m AS (SELECT user_id, max(rn) AS n FROM s GROUP BY 1)"
+
+
+@query("A8_log_ewma", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, round(0.45 * value, 2) AS av, round(0.45 * (value - round(0.45 * value, 2)) * (value - round(0.45 * value, 2)), 2) AS var FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, round(0.55 * f.av + 0.45 * s.value, 2), round(0.55 * f.var + 0.45 * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)) * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)), 2) FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 1) AS av, round(var / 10) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.log_ewma(c("q"))).select("user_id", "s.av", "s.var")
+    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.log_ewma(c("q"))).select("user_id", F.round("s.av", 1).alias("av"), F.round(c("s.var") / 10).alias("var"))
 
 
-@query("A5_two_regime")
+@query("A5_two_regime", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, 0.7 * greatest(value, 0) AS av FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, CASE WHEN s.rn <= 2 THEN 0.7 ELSE 0.3 END * greatest(s.value, 0) + CASE WHEN s.rn <= 2 THEN 0.3 ELSE 0.7 END * f.av FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 4) AS av FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
     return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", F.round(statistics.two_regime_ewma(c("q"), 2), 4).alias("av"))
 
@@ -370,9 +373,9 @@ def _(t):
     return t("part").select("p_partkey", files.posted_tuple(F.concat(F.lit("%28"), F.replace("p_name", F.lit(" "), F.lit("+")), F.lit("%2C3%29"))).alias("line"))
 
 
-@query("S9_store_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS n FROM events) WHERE n = 1")
+@query("S9_store_latest", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def _(t):
-    return files.latest(t("events"), ["user_id"], "ts").select("user_id", "event_id")
+    return files.latest(t("events"), ["user_id"], "ts", "event_id").select("user_id", "event_id")
 
 
 @query("S12_csv_line", "SELECT p_partkey, '\"' || p_name || ',\"\"' || p_brand || '\"\"\",' || p_type AS line FROM part")
@@ -434,10 +437,6 @@ def _(t):
     return graph.stories(graph.edges(tuples(t)), starts, 3).select(F.array_join("path", " > ").alias("path"), "hops")
 
 
-@query("G17_overlap")
-def _(t):
-    return t("part").select("p_partkey", lists.token_overlap(c("p_name"), F.lit("small ring of widgets")).alias("overlap"))
-
 
 # --- text edits and logs ---
 
@@ -510,16 +509,6 @@ def _(t):
     return t("part").select("p_partkey", F.array_join(logs.items(F.concat("p_name", F.lit(', "a b"; '), "p_type")), "|").alias("items"))
 
 
-@query("L8_log_class", "WITH m AS (SELECT event_type, avg(value) AS e, var_pop(value) AS v FROM events GROUP BY 1) SELECT event_id, CASE WHEN value > e + 3 * sqrt(v) THEN 'high_' || x.event_type WHEN value < e - 3 * sqrt(v) THEN 'low_' || x.event_type END AS class FROM events x JOIN m ON x.event_type = m.event_type")
-def _(t):
-    e = t("events")
-    m = e.groupBy("event_type").agg(F.avg("value").alias("e"), F.var_pop("value").alias("v"))
-    return e.join(m, "event_type").select("event_id", logs_class().alias("class"))
-
-
-def logs_class():
-    return anomaly.log_class(c("event_type"), c("value"), c("e"), c("v"), F.lit(0))
-
 
 @query("N2_situation", "WITH m AS (SELECT event_type, round(avg(value), 6) AS e, round(stddev_pop(value), 6) AS s FROM events GROUP BY 1), d AS (SELECT event_id, x.event_type, value - e AS d, sqrt((value - e) * (value - e) / (1 + s * s)) AS dev FROM events x JOIN m ON x.event_type = m.event_type) SELECT event_id, event_type || CASE WHEN d > 0 THEN '_high' WHEN d < 0 THEN '_low' ELSE '_normal' END || CASE WHEN dev > 3 * sqrt(2) THEN '_anomaly' WHEN dev <= sqrt(2) THEN '_normal' ELSE '' END AS class FROM d")
 def _(t):
@@ -622,9 +611,3 @@ def _(t):
 def _(t):
     lines_ = t("part").select("p_partkey", F.format_string("%-8s%9d %s", F.lit("root"), c("p_partkey"), c("p_name")).alias("value"))
     return captures.process_table(lines_, "USER          PID COMMAND", keep=("p_partkey",)).select("p_partkey", "pid", "command")
-
-
-@query("E6_xml", "SELECT p_partkey, '<p><n>' || p_name || '</n></p>' AS out FROM part")
-def _(t):
-    doc = F.concat(F.lit("<p><n>x</n></p>"))
-    return t("part").select("p_partkey", F.replace(xml.edited(doc, "set_text", "n", value="NAME"), F.lit("NAME"), c("p_name")).alias("out"))

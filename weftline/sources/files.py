@@ -77,9 +77,9 @@ def string_list(text: Column, comment: str, separator: str, most: int) -> Column
     return F.slice(F.filter(F.split(F.regexp_replace(text, comment, ""), separator), lambda x: x != ""), 1, most)
 
 
-def latest(snapshot: DataFrame, key: list[str], order: str) -> DataFrame:
-    """A key-value store out of its writes: the last row of each key. The window keeps one row per key and task before the shuffle."""
-    w = W.partitionBy(*key).orderBy(F.desc(order))
+def latest(snapshot: DataFrame, key: list[str], *order: str) -> DataFrame:
+    """A key-value store out of its writes: the last row of each key by ``order``, later columns breaking ties. The window keeps one row per key and task before the shuffle."""
+    w = W.partitionBy(*key).orderBy(*map(F.desc, order))
     return snapshot.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
