@@ -51,22 +51,38 @@ def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
     return np.append(hasher(text.lower().split()).view(np.int64), END)
 
 
-def _counted(arrays):
-    """Batches ``k, n`` of distinct values and their counts; each pass holds a bounded number of values."""
-    held, size = [], 0
-
-    def batch_of():
-        k, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], ["k", "n"])
-
-    for x in arrays:
-        held.append(x)
-        size += len(x)
-        if size >= _KEYS:
-            yield batch_of()
-            held, size = [], 0
-    if size:
-        yield batch_of()
+class Numbered:
+    """Local numbers of words, and their fingerprints; starts anew beyond ``limit`` words."""
+
+    def __init__(self, limit: int = 500_000, make=None):
+        self.limit, self.make = limit, make or (lambda prints: None)
+        self.reset()
+
+    def reset(self):
+        own = self
+
+        class Seen(dict):
+            def __missing__(self, word):
+                self[word] = n = len(own.prints)
+                own.prints.append(xxhash.xxh3_64_intdigest(word))
+                return n
+
+        self.prints, self.seen, self.known = [END & (2**64 - 1)], Seen(), 0
+        self.columns = None
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """Numbers of a text's words and, as 0, its end."""
+        words = text.lower().split()
+        out = np.zeros(len(words) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
+        return out
+
+    @property
+    def full(self) -> bool:
+        return len(self.prints) > self.limit
+
+    def fingerprints(self) -> np.ndarray:
+        return np.array(self.prints, np.uint64).view(np.int64)
 
 
 def packed_counts(docs: DataFrame, rows, width: int, least: int, total: int, finish, schema: str) -> DataFrame:
@@ -130,8 +146,23 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """``k, n``: fingerprints and counts of all tokens of ``text``."""
 
     def run(batches):
-        hasher = WordHasher()
-        yield from _counted(tokens(t, hasher) for batch in in_slices(batches, 256) for t in as_bytes(batch.column(0)))
+        words, counts = Numbered(), np.zeros(0, np.int64)
+
+        def batch_of():
+            seen = counts > 0
+            return pa.RecordBatch.from_arrays([pa.array(words.fingerprints()[: len(counts)][seen]), pa.array(counts[seen])], ["k", "n"])
+
+        for batch in in_slices(batches, 256):
+            ids = [words(t) for t in as_bytes(batch.column(0))]
+            new = np.bincount(np.concatenate(ids), minlength=len(words.prints))
+            new[: len(counts)] += counts
+            counts = new
+            if words.full:
+                yield batch_of()
+                words.reset()
+                counts = np.zeros(0, np.int64)
+        if len(counts):
+            yield batch_of()
 
     return docs.select("text").mapInArrow(released(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
@@ -309,14 +340,17 @@ def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
-        hasher = WordHasher()
+        words, prints, numbers = Numbered(), np.zeros(0, np.int64), np.zeros(0, np.int32)
         for batch in in_slices(batches, 256):
-            ids, light = [], []
-            for t in as_bytes(batch.column(4)):
-                h = tokens(t, hasher)
-                i = _find(shared.value, h)
-                ids.append(i.astype(np.int32))
-                light.append(h[i < 0])
+            if words.full:
+                words.reset()
+                prints, numbers = np.zeros(0, np.int64), np.zeros(0, np.int32)
+            own = [words(t) for t in as_bytes(batch.column(4))]
+            if len(words.prints) > len(prints):  # words met for the first time
+                more = np.array(words.prints[len(prints) :], np.uint64).view(np.int64)
+                prints, numbers = np.append(prints, more), np.append(numbers, _find(shared.value, more).astype(np.int32))
+            ids = [numbers[x] for x in own]
+            light = [prints[x[i < 0]] for x, i in zip(own, ids, strict=True)]
             lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in a])]), pa.int32()), pa.array(np.concatenate(a) if a else [], k)) for a, k in ((ids, pa.int32()), (light, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["rid", "doc_id", "held_out", "learn", "ids", "light"])
 
@@ -405,19 +439,24 @@ def _first_symbols(tree: Tree, learned: DataFrame, counts: DataFrame, shared) ->
     return found.unionByName(rows.join(sizes, "f").join(above, "w").select("k", "e", "n", "size", "parent", "k2", "c2"))
 
 
-def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared, node: Bits) -> DataFrame:
-    """``k, up, n`` of all words after contexts of the next depth that may be among ``candidates``; ``up`` is the entry of the parent, in ``node``."""
+def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared):
+    """``k, up, n`` of all words after contexts of the next depth that may be among ``candidates``.
+
+    ``up`` is the entry of the parent; what is no entry there is seen too seldom here as well.
+    """
     depth = len(tree.nodes)
-    large = learned.sparkSession.sparkContext.broadcast((node, Bits(candidates)))
+    large = learned.sparkSession.sparkContext.broadcast((tree.nodes[-1], Bits(candidates), tree.entries[-1]))
 
     def rows(batches):
-        node, wanted = large.value
+        node, wanted, entry = large.value
         for batch in in_slices(batches, 256):
             p = Places(*_words(batch, shared.value.heavy))
             at, sums, _ = p.within(node, depth)
             longer = _key(sums + _times(p.words[at - depth - 1], depth + 1), depth + 1)
             good = wanted.has(longer)
-            yield longer[good], p.entries(at[good], depth)
+            longer, up = longer[good], p.entries(at[good], depth)
+            good = entry.has(up)
+            yield longer[good], up[good]
 
     return packed_counts(learned, rows, 2, LEAST_ENTRY, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, up long, n long"), large
 
@@ -485,12 +524,13 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
             sent.destroy()
         if contexts.isEmpty():
             break
-        found, sent = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared, tree.nodes[-1])
+        dropped(rows)
+        found, sent = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared)
         found = found.join(_small(contexts), F.col("k") == F.col("of")).join(entries.select(F.col("k").alias("up"), F.col("p").alias("parent")), "up")
         found = found.select("k", "up", "n", "size", "parent").mapInArrow(keyed, "k long, e long, n long, size long, parent double")
-        last, rows = rows, written(found, "lm-symbols")
+        rows = written(found, "lm-symbols")
         sent.destroy()
-        dropped(last, contexts)
+        dropped(contexts)
     dropped(rows)
     shared.destroy()
 
