@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, jaccard, langid, mixing, secrets
-from llm.common import fresh_path, ship
+from weftline.llm import decontaminate, jaccard, langid, mixing, secrets
+from weftline.llm.common import fresh_path, ship
 
 #: A document whose language is less sure than this is rejected, besides those without any.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -21,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; nulls elsewhere, very long texts, repeated rows and columns
     of any name stay as they are; an empty table gives no rows.
     """
+    ship(spark)
     return langid.recognised(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
 
 
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Empty texts and null ids stay, each alone; rows that repeat a kept id stay; columns of
     any name stay as they are; an empty table gives no rows.
     """
+    ship(spark)
     return jaccard.deduplicate(docs, percent=80, size=5)
 
 
@@ -39,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts and null ids stay; repeated rows stay or go together; columns of
     any name stay as they are; an empty table, or an empty benchmark, drops nothing.
     """
+    ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -48,6 +51,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay; repeated rows are changed alike; other columns of any name
     stay as they are; an empty table gives no rows.
     """
+    ship(spark)
     return secrets.redact(docs)
 
 
@@ -58,6 +62,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     such columns of their own. Empty texts move no total and keep their rate; repeated rows
     are treated alike; without labels all domains are equally likely; an empty table gives no rows.
     """
+    ship(spark)
     return mixing.sampled_at(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -73,7 +78,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, "pipeline-" + name.replace(" ", "-"))

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
-from llm import ann
+from weftline.llm import ann
 
 
 def brute(rows, queries, k):

@@ -1,6 +1,6 @@
 import random
 
-from llm import decontaminate as d
+from weftline.llm import decontaminate as d
 
 
 def edits(pattern, text):

@@ -1,4 +1,4 @@
-from llm import html_text
+from weftline.llm import html_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">One</a></li><li><a>Two</a></li></ul></nav><div class="ad">Buy this now because it is a very long advert text, longer than most.</div>

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from llm import jaccard
+from weftline.llm import jaccard
 
 
 def brute(rows, percent, size):

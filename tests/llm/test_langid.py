@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from llm import langid
+from weftline.llm import langid
 from pyspark.sql import functions as F
 
 

@@ -1,5 +1,5 @@
 import numpy as np
-from llm import mixing
+from weftline.llm import mixing
 from pyspark.sql import functions as F
 
 

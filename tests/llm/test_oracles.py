@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from llm import queries
+from weftline.llm import queries
 
 SMALL = "/root/testdata/sf0.001"
 

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from llm.common import fresh_path
+from weftline.llm.common import fresh_path
 
 
 def test_stages(spark):
@@ -18,7 +18,7 @@ def test_stages(spark):
 
 
 def test_components(spark):
-    from llm.common import components
+    from weftline.llm.common import components
 
     links = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), (None, 4)] + [(100 + k, 101 + k) for k in range(60)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

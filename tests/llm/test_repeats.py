@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from llm import repeats
+from weftline.llm import repeats
 
 
 def brute(rows, window):

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from llm import secrets
+from weftline.llm import secrets
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

@@ -3,7 +3,7 @@ import math
 import zlib
 
 import numpy as np
-from llm import suffix_tree
+from weftline.llm import suffix_tree
 from pyspark.sql import functions as F
 
 

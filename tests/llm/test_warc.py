@@ -1,7 +1,7 @@
 import base64
 import hashlib
 
-from llm import warc
+from weftline.llm import warc
 
 SCHEMA = "page_id long, url string, html string, record_id string"
 ROWS = [

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need not have it on their path."""
+    """Send the library to the executors once per application, so that they need not have it on their path."""
     sc = spark.sparkContext
-    if getattr(sc, "_llm_shipped", False):
+    if getattr(sc, "_weftline_shipped", False):
         return
-    here = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="llm-"), "llm_package.zip")
+    root = Path(__file__).resolve().parent.parent
+    target = os.path.join(tempfile.mkdtemp(prefix="weftline-"), "weftline_package.zip")  # code only; Spark hands it out
     with zipfile.ZipFile(target, "w") as z:
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), f"llm/{name}")
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, f"{root.name}/{path.relative_to(root)}")
     sc.addPyFile(target)
-    sc._llm_shipped = True
+    sc._weftline_shipped = True
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
