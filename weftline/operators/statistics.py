@@ -1,22 +1,39 @@
 """Online statistics: ordered folds, first differences, rates, entropy and histograms.
 
-A fold needs the values of one key in order. A key here is a slot and an observable, or
-an entity, whose history is bounded; the running forms use windows over the same keys.
+A fold that forgets needs the end of a key's history only: what lies so far back that its
+weight is below the precision of a double changes nothing. :func:`recent` takes that end,
+with a limit per key and task before the shuffle, so no row holds a whole history and a
+key with a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], value: str, alias: str = "q") -> DataFrame:
-    """Per key, the values in order as an array."""
+    """Per key, all values in order as an array; for folds that remember everything, over keys of bounded history."""
     rows = F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("_v"))))
     return df.groupBy(*keys).agg(F.transform(rows, lambda x: x["_v"]).alias(alias))
 
 
+def horizon(kept: float, passes: int = 1) -> int:
+    """How many values a fold that keeps this share of its state at each step depends on, for a double; a variance needs two passes."""
+    return passes * math.ceil(-math.log(1e-18) / -math.log(kept)) + 1
+
+
+def recent(df: DataFrame, keys: list[str], order: list[str], value: str, most: int, alias: str = "q") -> DataFrame:
+    """Per key, the last ``most`` values in order as an array (999 at most, up to which the limit is taken before the shuffle)."""
+    if most > 999:
+        raise ValueError("a horizon of at most 999 values")
+    w = W.partitionBy(*keys).orderBy(*map(F.desc, order))
+    return ordered(df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most), keys, order, value, alias)
+
+
 def ewma(values: Column, p: float) -> Column:
     """``expect, var`` after folding all values: the first sets ``expect``; later ones weigh ``p``, their squared distance from the old mean likewise."""
     start = F.struct(F.lit(None).cast("double").alias("expect"), F.lit(0.0).alias("var"))
@@ -28,9 +45,10 @@ def ewma(values: Column, p: float) -> Column:
     return F.aggregate(values, start, step)
 
 
-def two_regime_ewma(values: Column, young: int, p_young: float = 0.7, p_old: float = 0.3) -> Column:
-    """An average that forgets faster over its first ``young`` values; negative values count as 0."""
-    indexed = F.transform(values, lambda v, i: F.struct(F.greatest(v, F.lit(0.0)).alias("v"), F.when(i < young, p_young).otherwise(p_old).alias("p")))
+def two_regime_ewma(values: Column, young: int, p_young: float = 0.7, p_old: float = 0.3, seen: Column | None = None) -> Column:
+    """An average that forgets faster over its first ``young`` values; negative values count as 0. ``seen``: how many came before the array's."""
+    seen = F.lit(0) if seen is None else seen
+    indexed = F.transform(values, lambda v, i: F.struct(F.greatest(v, F.lit(0.0)).alias("v"), F.when(i + seen < young, p_young).otherwise(p_old).alias("p")))
     return F.aggregate(indexed, F.lit(0.0), lambda s, x: x["p"] * x["v"] + (1 - x["p"]) * s)
 
 
@@ -45,17 +63,36 @@ def log_ewma(values: Column, forget: float = 0.55) -> Column:
 
 
 def weekly_model(samples: DataFrame, p: float = 0.7) -> DataFrame:
-    """``timekey, observable, expect, var`` of ``timekey, observable, ts, value``: one fold per slot of the week."""
-    folded = ordered(samples, ["timekey", "observable"], ["ts"], "value").withColumn("s", ewma(F.col("q"), p))
-    return folded.select("timekey", "observable", F.size("q").cast("long").alias("n"), F.col("s.expect").alias("expect"), F.col("s.var").alias("var"))
+    """``timekey, observable, n, expect, var`` of ``timekey, observable, ts, value``: one fold per slot of the week."""
+    keys = ["timekey", "observable"]
+    folded = recent(samples, keys, ["ts"], "value", horizon(1 - p, 2)).withColumn("s", ewma(F.col("q"), p))
+    counts = samples.groupBy(*keys).agg(F.count("*").alias("n"))
+    return folded.join(counts, keys).select(*keys, "n", F.col("s.expect").alias("expect"), F.col("s.var").alias("var"))
+
 
+def differences(samples: DataFrame, key: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """Adds ``dq``, the difference from the sample before, and ``last_change``, the order value of the last change.
 
-def differences(samples: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Adds ``dq``, the difference from the sample before, and ``last_change``, the order value of the last change."""
-    w = W.partitionBy(key).orderBy(*order)
-    out = samples.withColumn("dq", F.col(value) - F.lag(value).over(w))
+    Few keys give few tasks. With ``bucket``, a column that grows with the order (a day, say), rows are dealt
+    out by key and bucket, and only the last row of each bucket is carried to the next.
+    """
+    if bucket is None:
+        w = W.partitionBy(key).orderBy(*order)
+        out = samples.withColumn("dq", F.col(value) - F.lag(value).over(w))
+        changed = F.when(F.coalesce(F.col("dq"), F.lit(1.0)) != 0, F.col(order[0]))
+        return out.withColumn("last_change", F.last(changed, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    own = samples.withColumn("_b", bucket)
+    w = W.partitionBy(key, "_b").orderBy(*order)
+    ends = own.groupBy(key, "_b").agg(F.max(F.struct(*order, value))[value].alias("_end"))
+    carried = ends.withColumn("_carry", F.lag("_end").over(W.partitionBy(key).orderBy("_b"))).drop("_end")
+    inner = own.withColumn("_first", F.row_number().over(w) == 1).withColumn("_lag", F.lag(value).over(w))
+    out = inner.join(carried, [key, "_b"]).withColumn("dq", F.col(value) - F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
     changed = F.when(F.coalesce(F.col("dq"), F.lit(1.0)) != 0, F.col(order[0]))
-    return out.withColumn("last_change", F.last(changed, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    out = out.withColumn("_change", F.last(changed, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    last = out.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_c")).agg(F.max("_change").alias("_at"))
+    before = last.withColumn("_before", F.last("_at", ignorenulls=True).over(W.partitionBy("_k").orderBy("_c").rowsBetween(W.unboundedPreceding, -1))).drop("_at")
+    out = out.join(before, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")))
+    return out.select(*samples.columns, "dq", F.coalesce("_change", "_before").alias("last_change"))
 
 
 def rates(counters: DataFrame, key: str, ts: str, value: str, wrap: int = 2147483647) -> DataFrame:
@@ -107,10 +144,11 @@ def last_seen(contacts: DataFrame, direction: str, host: str, ts: str, p: float
 
     The first contact has an average of 0, and each later gap weighs ``p``.
     """
-    folded = ordered(contacts, [direction, host], [ts], ts)
+    keys = [direction, host]
+    folded = recent(contacts, keys, [ts], ts, horizon(1 - p) + 1).join(contacts.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     gaps = F.transform(F.slice(F.col("q"), F.lit(2), F.greatest(F.size("q") - 1, F.lit(0))), lambda x, i: x - F.get(F.col("q"), i))
     average = F.aggregate(gaps, F.lit(0.0), lambda s, x: p * x + (1 - p) * s)
-    return folded.select(direction, host, F.array_max("q").cast("long").alias("last"), F.size("q").cast("long").alias("n"), average.alias("average"))
+    return folded.select(direction, host, F.array_max("q").cast("long").alias("last"), "n", average.alias("average"))
 
 
 def admitted(runs: DataFrame, keys: list[str], ts: str, ifelapsed: int) -> DataFrame:

@@ -377,7 +377,7 @@ def _learner():
 
 @query("A10_learner", _learner())
 def _(t):
-    rows = statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", anomaly.learned_fold(c("q")))
+    rows = statistics.recent(t("events"), ["user_id"], ["ts", "event_id"], "value", statistics.horizon(0.5, 2)).withColumn("s", anomaly.learned_fold(c("q")))
     return rows.select("user_id", F.round("s.av", 4).alias("av"), F.round("s.var", 3).alias("var"), "s.class")
 
 

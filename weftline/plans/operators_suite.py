@@ -132,7 +132,7 @@ def _fold(p, keys, rows):
 
 @query("A4_ewma", _fold(0.4, "user_id", "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events") + " SELECT f.user_id, round(expect, 4) AS expect, round(var, 3) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.ewma(c("q"), 0.4)).select("user_id", F.round("s.expect", 4).alias("expect"), F.round("s.var", 3).alias("var"))
+    return statistics.recent(t("events"), ["user_id"], ["ts", "event_id"], "value", statistics.horizon(1 - 0.4, 2)).withColumn("s", statistics.ewma(c("q"), 0.4)).select("user_id", F.round("s.expect", 4).alias("expect"), F.round("s.var", 3).alias("var"))
 
 
 @query("A6_weekly_model", _fold(0.7, "timekey, observable", f"SELECT {_KEY} AS timekey, event_type AS observable, value, row_number() OVER (PARTITION BY {_KEY}, event_type ORDER BY ts) AS rn FROM events") + " SELECT f.timekey, f.observable, m.n, round(expect, 4) AS expect, round(var, 3) AS var FROM f JOIN m ON f.timekey = m.timekey AND f.observable = m.observable AND f.rn = m.n")
@@ -143,20 +143,22 @@ def _(t):
 
 @query("A7_differences", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) AS dq FROM events")
 def _(t):
-    return statistics.differences(t("events"), "event_type", ["ts", "event_id"], "value").select("event_id", F.round("dq", 6).alias("dq"))
+    return statistics.differences(t("events"), "event_type", ["ts", "event_id"], "value", F.date_trunc("day", c("ts"))).select("event_id", F.round("dq", 6).alias("dq"))
 
 
 _ROWS = "s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), m AS (SELECT user_id, max(rn) AS n FROM s GROUP BY 1)"
 
 
-@query("A8_log_ewma", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, round(0.45 * value, 2) AS av, round(0.45 * (value - round(0.45 * value, 2)) * (value - round(0.45 * value, 2)), 2) AS var FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, round(0.55 * f.av + 0.45 * s.value, 2), round(0.55 * f.var + 0.45 * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)) * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)), 2) FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 1) AS av, round(var / 10) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
+@query("A8_log_ewma", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, round(0.45 * value, 2) AS av, round(0.45 * (value - round(0.45 * value, 2)) * (value - round(0.45 * value, 2)), 2) AS var FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, round(0.55 * f.av + 0.45 * s.value, 2), round(0.55 * f.var + 0.45 * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)) * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)), 2) FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 1) AS av, round(var / 100) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.log_ewma(c("q"))).select("user_id", F.round("s.av", 1).alias("av"), F.round(c("s.var") / 10).alias("var"))
+    return statistics.recent(t("events"), ["user_id"], ["ts", "event_id"], "value", 400).withColumn("s", statistics.log_ewma(c("q"))).select("user_id", F.round("s.av", 1).alias("av"), F.round(c("s.var") / 100).alias("var"))
 
 
 @query("A5_two_regime", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, 0.7 * greatest(value, 0) AS av FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, CASE WHEN s.rn <= 2 THEN 0.7 ELSE 0.3 END * greatest(s.value, 0) + CASE WHEN s.rn <= 2 THEN 0.3 ELSE 0.7 END * f.av FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 4) AS av FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", F.round(statistics.two_regime_ewma(c("q"), 2), 4).alias("av"))
+    e = t("events").select("user_id", "ts", "event_id", "value")
+    folded = statistics.recent(e, ["user_id"], ["ts", "event_id"], "value", statistics.horizon(0.7)).join(e.groupBy("user_id").agg(F.count("*").alias("n")), "user_id")
+    return folded.select("user_id", F.round(statistics.two_regime_ewma(c("q"), 2, seen=c("n") - F.size("q")), 4).alias("av"))
 
 
 @query("A12_entropy", "WITH n AS (SELECT user_id, event_type, count(*) AS k FROM events GROUP BY 1, 2), s AS (SELECT user_id, sum(k) AS n, count(*) AS m FROM n GROUP BY 1), e AS (SELECT n.user_id, CASE WHEN max(m) < 2 THEN 0 ELSE sum(-(k / s.n) * ln(k / s.n)) / ln(max(m)) END AS h FROM n JOIN s ON n.user_id = s.user_id GROUP BY 1) SELECT user_id, round(h, 6) AS entropy, CASE WHEN h < 0.2 THEN 'low' WHEN h > 0.9 THEN 'high' ELSE 'medium' END AS class FROM e")
@@ -592,7 +594,7 @@ def _(t):
 
 @query("A9_process_ewma", _fold(0.7, "user_id", "SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events") + " SELECT f.user_id, round(expect, 4) AS av, round(var, 3) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.ordered(t("events"), ["user_id"], ["ts", "event_id"], "value").withColumn("s", statistics.ewma(c("q"), 0.7)).select("user_id", F.round("s.expect", 4).alias("av"), F.round("s.var", 3).alias("var"))
+    return statistics.recent(t("events"), ["user_id"], ["ts", "event_id"], "value", statistics.horizon(1 - 0.7, 2)).withColumn("s", statistics.ewma(c("q"), 0.7)).select("user_id", F.round("s.expect", 4).alias("av"), F.round("s.var", 3).alias("var"))
 
 
 @query("S8_unexpired", f"SELECT user_id FROM events GROUP BY 1 HAVING max({SECONDS}) >= 1706659200 - 691200 * 0.02")
