@@ -42,6 +42,15 @@ def test_broken_pages():
     assert html_text.main_text("plain words only") == "plain words only"
 
 
+def test_elements_whose_end_may_be_left_out():
+    """What an option or a button begins ends with what holds it, not at the next end tag of its name."""
+    body = "<p>" + "real words of the article " * 8 + "</p>"
+    page = f"<div><datalist><option>one<option>two</datalist></div><article>{body}</article><button>go</button>"
+    assert html_text.main_text(page) == ("real words of the article " * 8).strip()
+    many = "<title>" * 20_000 + "x"
+    assert html_text.main_text(many) == "x"
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (None, "u", "<p>" + "word " * 300_000, "x")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()

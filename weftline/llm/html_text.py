@@ -27,8 +27,8 @@ CONTENT_WEIGHT = 2
 OTHER_SIDE = 0.5
 
 # Element names of HTML by their part in a page.
-RAW = "script style noscript template svg math iframe object canvas head title textarea select option button".split()
-FURNITURE = "nav header footer aside form dialog menu".split()
+RAW = "script style noscript template svg math iframe object canvas head title textarea select".split()
+FURNITURE = "nav header footer aside form dialog menu button option".split()
 CONTENT = ("article", "main")
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,7 +64,7 @@ def lines_of(page: str):
             if links:
                 linked += len(_SPACE.sub(" ", text).strip())
 
-    at, n = 0, len(page)
+    at, n, unclosed = 0, len(page), set()
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
@@ -79,7 +79,9 @@ def lines_of(page: str):
         name, ending = name.lower(), bool(m["end"])
         if name in RAW and not ending:
             # everything to the end tag is not text; without one, scripts and styles run to the end of the page
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            close = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if not close:
+                unclosed.add(name)  # there is no end further on either, so it is looked for once
             if name in BLOCKS:
                 flush()
             at = close.end() if close else n if name in ("script", "style") else at
