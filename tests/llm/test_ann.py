@@ -27,6 +27,10 @@ def test_recall_and_scores(spark):
     assert all(sorted(g) == [1, 2, 3, 4, 5] for g in got.values())
     hits = sum(len({x for x, _ in g.values()} & {x for x, _ in want[q]}) for q, g in got.items())
     assert hits >= 0.9 * 5 * len(got)
+    exact = brute(rows, list(got), len(rows) - 1)
+    for q, g in got.items():
+        found, of = [g[k] for k in range(1, 6)], dict(exact[q])
+        assert found == sorted(found, key=lambda x: (-x[1], x[0])) and all(abs(of[i] - s) < 1e-12 for i, s in found)
 
 
 def test_edges(spark):
