@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arithmetic, lists, text, times
+from ..operators import relational
 from .registry import columns, query, text_of
 
 c = F.col
@@ -121,31 +122,27 @@ def _(t):
 
 @query("F14_countmatching", "SELECT count(*) AS n FROM part WHERE regexp_full_match(p_name, 'red.*')")
 def _(t):
-    return t("part").agg(F.count_if(text.full_match(c("p_name"), "red.*")).alias("n"))
+    return relational.count_matching(t("part"), "p_name", "red.*")
 
 
 @query("F111_regline", "SELECT bool_or(regexp_full_match(p_name, 'red widget')) AS found FROM part")
 def _(t):
-    return t("part").agg(F.bool_or(text.full_match(c("p_name"), "red widget")).alias("found"))
+    return relational.any_matches(t("part"), "p_name", "red widget")
 
 
 @query("F50_hostsseen", "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) >= TIMESTAMP '2024-01-30 12:00:00'")
 def _(t):
-    return t("events").groupBy("user_id").agg(F.max("ts").alias("last")).where(c("last") >= F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("user_id")
+    return relational.seen_since(t("events"), "user_id", "ts", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
 
 
 @query("F90_peers", "WITH g AS (SELECT n_name, (row_number() OVER (ORDER BY n_nationkey) - 1) // 4 AS g FROM nation) SELECT n_name, (SELECT count(*) - 1 FROM g h WHERE h.g = g.g) AS n_peers, (SELECT min(n_name) FROM g h WHERE h.g = g.g) AS least FROM g")
 def _(t):
-    g = t("nation").select("n_name", F.floor(c("n_nationkey") / 4).alias("g"))
-    by = g.groupBy("g").agg((F.count("*") - 1).alias("n_peers"), F.min("n_name").alias("least"))
-    return g.join(by, "g").select("n_name", "n_peers", "least")
+    return relational.peer_groups(t("nation"), "n_name", F.floor(c("n_nationkey") / 4))
 
 
 @query("F91_peerleader", "SELECT n_name, first_value(n_name) OVER (PARTITION BY n_nationkey // 4 ORDER BY n_nationkey) AS leader FROM nation")
 def _(t):
-    from pyspark.sql import Window as W
-
-    return t("nation").select("n_name", F.first("n_name").over(W.partitionBy(F.floor(c("n_nationkey") / 4)).orderBy("n_nationkey")).alias("leader"))
+    return relational.peer_leader(t("nation"), "n_name", F.floor(c("n_nationkey") / 4), "n_nationkey")
 
 
 @query("F92_peerleaders", "SELECT n_name FROM nation WHERE n_nationkey % 4 = 0")

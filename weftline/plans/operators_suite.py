@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lists, templates, times
-from ..operators import anomaly, graph, guards, lines, logs, nesting, statistics
+from ..operators import anomaly, graph, guards, lines, logs, nesting, relational, statistics
 from ..sources import captures, files, xml
 from . import reports
 from .registry import query, text_of
@@ -72,37 +71,32 @@ def _(t):
 
 @query("J1_lookup", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
-    return t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_name")
+    return relational.lookup(t("customer"), t("nation"), "c_nationkey", "n_nationkey").select("c_custkey", "n_name")
 
 
 @query("J5_cross_product", "SELECT r_name, w FROM region, (SELECT unnest(['a', 'b', 'c']) AS w)")
 def _(t):
-    return t("region").select("r_name", F.explode(F.array(*map(F.lit, "abc"))).alias("w"))
+    return relational.crossed(t("region"), list("abc"), "w").select("r_name", "w")
 
 
 @query("J6_membership", "SELECT DISTINCT user_id, 'gone' AS what FROM events a WHERE ts < TIMESTAMP '2024-01-10' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'error' AND b.ts >= TIMESTAMP '2024-01-25')")
 def _(t):
     e = t("events")
     day = lambda x: F.lit(x).cast("timestamp_ntz")
-    late = e.where((c("event_type") == "error") & (c("ts") >= day("2024-01-25 00:00:00"))).select("user_id")
-    return e.where(c("ts") < day("2024-01-10 00:00:00")).join(late, "user_id", "left_anti").select("user_id", F.lit("gone").alias("what")).distinct()
+    late = e.where((c("event_type") == "error") & (c("ts") >= day("2024-01-25 00:00:00")))
+    return relational.vanished(e.where(c("ts") < day("2024-01-10 00:00:00")), late, "user_id").withColumn("what", F.lit("gone"))
 
 
 @query("J7_zero_fill", "SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after FROM (SELECT user_id, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1) a FULL JOIN (SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-28' GROUP BY 1) b ON a.user_id = b.user_id")
 def _(t):
     e = t("events")
     day = lambda x: F.lit(x).cast("timestamp_ntz")
-    a = e.where(c("ts") < day("2024-01-03 00:00:00")).groupBy("user_id").agg(F.count("*").alias("before"))
-    b = e.where(c("ts") >= day("2024-01-28 00:00:00")).groupBy("user_id").agg(F.count("*").alias("after"))
-    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
-    return a.join(b, "user_id", "full_outer").select("user_id", zero("before"), zero("after"))
+    return relational.zero_filled(e.where(c("ts") < day("2024-01-03 00:00:00")), e.where(c("ts") >= day("2024-01-28 00:00:00")), "user_id")
 
 
 @query("J10_aged", "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00'")
 def _(t):
-    e = t("events")
-    recent = e.where(c("ts") >= F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("user_id")
-    return e.select("user_id").join(recent, "user_id", "left_anti").distinct()
+    return relational.aged(t("events"), "user_id", "ts", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz"))
 
 
 # --- aggregation and windows ---
@@ -110,7 +104,7 @@ def _(t):
 
 @query("A1_bag_count", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return relational.bag_count(t("events"), "event_type")
 
 
 _KEY = "strftime(ts, '%a') || printf(':Hr%02d:Min%02d_%02d', hour(ts), CAST(floor(minute(ts) / 5) * 5 AS INT), (CAST(floor(minute(ts) / 5) * 5 AS INT) + 5) % 60)"
@@ -118,7 +112,7 @@ _KEY = "strftime(ts, '%a') || printf(':Hr%02d:Min%02d_%02d', hour(ts), CAST(floo
 
 @query("A2_bucket_sum", f"SELECT {_KEY} AS timekey, regexp_replace(event_type, '[^A-Za-z0-9_]', '_', 'g') AS name, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _(t):
-    return t("events").groupBy(times.time_key(c("ts")).alias("timekey"), F.regexp_replace("event_type", "[^A-Za-z0-9_]", "_").alias("name")).agg(F.round(F.sum("value"), 4).alias("total"))
+    return relational.bucket_sum(t("events"), times.time_key(c("ts")), c("event_type"), "value").withColumn("total", F.round("total", 4))
 
 
 def _fold(p, keys, rows):
@@ -168,7 +162,7 @@ def _(t):
 
 @query("A13_envelope", "SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return relational.envelope(t("events"), "event_type", "value")
 
 
 _HIST = "WITH m AS (SELECT event_type, avg(value) AS e, var_pop(value) AS v FROM events GROUP BY 1), h AS (SELECT x.event_type, dayname(ts) AS day, CAST(least(greatest(floor(64 * (0.5 + (value - e) / (1 + sqrt(v)) / 10)), 0), 63) AS BIGINT) AS grain, count(*) AS count FROM events x JOIN m ON x.event_type = m.event_type GROUP BY 1, 2, 3)"
@@ -204,47 +198,42 @@ def _(t):
 @query("A18_compliance", "SELECT user_id, round(avg(CASE WHEN event_type IN ('click', 'view') THEN 1.0 ELSE 0.0 END), 6) AS kept, max(CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS worst FROM events GROUP BY 1")
 def _(t):
     rank = F.when(c("event_type") == "error", 2).when(c("event_type") == "signup", 1).otherwise(0)
-    return t("events").groupBy("user_id").agg(F.round(F.avg(c("event_type").isin("click", "view").cast("double")), 6).alias("kept"), F.max(rank).alias("worst"))
+    return relational.compliance(t("events"), "user_id", c("event_type").isin("click", "view"), rank).withColumn("kept", F.round("kept", 6))
 
 
 @query("A19_measurement", "SELECT p_type, sum(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS BIGINT)) AS total, count(*) AS matches FROM part WHERE regexp_matches(p_name, '^red') GROUP BY 1")
 def _(t):
-    found = t("part").where(c("p_name").rlike("^red"))
-    return found.groupBy("p_type").agg(F.sum(F.regexp_extract("p_brand", "#(\\d+)", 1).cast("long")).alias("total"), F.count("*").alias("matches"))
+    return relational.measurement(t("part"), "p_type", "p_name", "^red", "p_brand", "#(\\d+)")
 
 
 @query("A20_log_summary", f"SELECT count(*) AS lines, max({SECONDS}) - min({SECONDS}) AS duration, count(DISTINCT {SECONDS} // 300) AS buckets FROM events")
 def _(t):
-    return t("events").agg(F.count("*").alias("lines"), (F.max(seconds()) - F.min(seconds())).alias("duration"), F.countDistinct(F.floor(seconds() / 300)).alias("buckets"))
+    return relational.log_summary(t("events"), seconds())
 
 
 @query("A21_score", "SELECT user_id, CAST(round(avg(value)) AS BIGINT) AS score FROM events GROUP BY 1")
 def _(t):
-    return t("events").groupBy("user_id").agg(F.round(F.avg("value")).cast("long").alias("score"))
+    return relational.mean_score(t("events"), "user_id", "value")
 
 
 @query("A22_best_text", "SELECT user_id, CASE WHEN count(DISTINCT event_type) > 1 THEN 'both ' ELSE '' END || string_agg(DISTINCT event_type, ' and ' ORDER BY event_type) AS best FROM events GROUP BY 1")
 def _(t):
-    names = F.array_sort(F.collect_set("event_type"))
-    return t("events").groupBy("user_id").agg(F.concat(F.when(F.size(names) > 1, "both ").otherwise(""), F.array_join(names, " and ")).alias("best"))
+    return relational.best_text(t("events"), "user_id", "event_type")
 
 
 @query("A24_group_counts", "SELECT count(*) FILTER (user_id <= 1) AS system, count(*) FILTER (user_id > 1) AS others, count(DISTINCT user_id) AS users FROM events")
 def _(t):
-    return t("events").agg(F.count_if(c("user_id") <= 1).alias("system"), F.count_if(c("user_id") > 1).alias("others"), F.countDistinct("user_id").alias("users"))
+    return relational.group_counts(t("events"), c("user_id") <= 1, "user_id")
 
 
 @query("A25_growth", "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS growth FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", F.round(c("o_totalprice") - F.lag("o_totalprice").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")), 2).alias("growth"))
+    return relational.growth(t("orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", F.round("growth", 2).alias("growth"))
 
 
 @query("W2_last_change", f"WITH d AS (SELECT event_id, user_id, {SECONDS} AS s, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, ts FROM events) SELECT event_id, last_value(CASE WHEN p IS NULL OR p <> event_type THEN s END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS changed FROM d")
 def _(t):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    before = F.lag("event_type").over(w)
-    d = t("events").withColumn("change", F.when(before.isNull() | (before != c("event_type")), seconds()))
-    return d.select("event_id", F.last("change", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("changed"))
+    return relational.last_change(t("events"), ["user_id"], ["ts", "event_id"], "event_type", seconds()).select("event_id", "changed")
 
 
 @query("W3_leap", "WITH s AS (SELECT event_id, value, sum(value) OVER w AS t, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)) SELECT event_id, round(CASE WHEN n < 10 OR 11 * t < 0.001 THEN 0 ELSE sqrt((t - 10 * value) * (t - 10 * value) / (11 * t)) END, 4) AS chi FROM s")
@@ -254,15 +243,13 @@ def _(t):
 
 @query("W4_gaps", f"WITH g AS (SELECT event_id, {SECONDS} - lag({SECONDS}) OVER (PARTITION BY user_id ORDER BY {SECONDS}, event_id) AS gap FROM events) SELECT event_id, gap FROM g WHERE gap > 86400")
 def _(t):
-    w = W.partitionBy("user_id").orderBy("s", "event_id")
     e = t("events").select("event_id", "user_id", seconds().alias("s"))
-    return e.withColumn("gap", c("s") - F.lag("s").over(w)).where("gap > 86400").select("event_id", "gap")
+    return relational.growth(e, ["user_id"], ["s", "event_id"], "s", "gap").where("gap > 86400").select("event_id", "gap")
 
 
 @query("W6_relocation", "WITH g AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM g WHERE p <> event_type")
 def _(t):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").withColumn("p", F.lag("event_type").over(w)).where("p <> event_type").select("event_id")
+    return relational.relocations(t("events"), ["user_id"], ["ts", "event_id"], "event_type").select("event_id")
 
 
 @query("W7_buckets", "WITH k AS (SELECT user_id, ts, strftime(ts, '%Y-%m-%d') AS k FROM events), n AS (SELECT *, CASE WHEN k <> lag(k) OVER w THEN 1 ELSE 0 END AS f FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts, k)), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, k ROWS UNBOUNDED PRECEDING) AS bucket FROM n) SELECT user_id, CAST(bucket AS BIGINT) AS bucket, any_value(k) AS timekey, count(*) AS lines FROM b GROUP BY 1, 2")
@@ -273,12 +260,12 @@ def _(t):
 
 @query("W8_moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM events")
 def _(t):
-    return t("events").select("event_id", F.round(F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-1, 1)), 6).alias("smooth"))
+    return relational.moving_average(t("events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("smooth", 6).alias("smooth"))
 
 
 @query("W10_nth_line", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 3")
 def _(t):
-    return t("events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))).where("n = 3").select("user_id", "event_id")
+    return relational.nth_row(t("events"), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id")
 
 
 # --- order, sets ---
@@ -286,8 +273,7 @@ def _(t):
 
 @query("O6_order", "SELECT event_type, row_number() OVER (ORDER BY n DESC, event_type) AS place FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def _(t):
-    n = t("events").groupBy("event_type").agg(F.count("*").alias("n"))  # few rows: one per type
-    return n.select("event_type", F.row_number().over(W.orderBy(F.desc("n"), "event_type")).alias("place"))
+    return relational.places(t("events"), "event_type")
 
 
 @query("O4_ip_sort", "SELECT c_nationkey, array_to_string(list('10.' || (c_custkey % 300) || '.0.1' ORDER BY c_custkey % 300, c_custkey), ',') AS ips FROM customer GROUP BY 1")
@@ -298,12 +284,12 @@ def _(t):
 
 @query("O9_beam", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 7")
 def _(t):
-    return t("orders").withColumn("n", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("n <= 7").select("o_custkey", "o_orderkey")
+    return relational.beam(t("orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 7).select("o_custkey", "o_orderkey")
 
 
 @query("O11_limit", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def _(t):
-    return t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100).select("o_orderkey")
+    return relational.first_rows(t("orders"), [F.desc("o_totalprice"), "o_orderkey"], 100).select("o_orderkey")
 
 
 @query("U1_set_difference", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
@@ -531,19 +517,17 @@ def _(t):
 
 @query("R1_measurements", "SELECT event_type FROM events GROUP BY 1 HAVING avg(value) <> 0")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.avg("value").alias("e")).where("e <> 0").select("event_type")
+    return relational.measures(t("events"), "event_type", "value")
 
 
 @query("R2_weekly_series", f"SELECT CAST(floor((({SECONDS} - 345600) % 604800) / 300) AS BIGINT) AS slot, count(*) AS n, round(avg(value), 6) AS q FROM events WHERE event_type = 'click' GROUP BY 1")
 def _(t):
-    return t("events").where("event_type = 'click'").groupBy(times.slot(c("ts")).alias("slot")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("q"))
+    return relational.weekly_points(t("events").where("event_type = 'click'"), times.slot(c("ts")), "value").withColumn("q", F.round("q", 6))
 
 
 @query("R6_dense_slots", f"SELECT s AS slot, coalesce(n, 0) AS n FROM (SELECT unnest(range(2016)) AS s) LEFT JOIN (SELECT CAST(floor((({SECONDS} - 345600) % 604800) / 300) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1) ON s = k")
 def _(t):
-    e = t("events").groupBy(times.slot(c("ts")).alias("slot")).agg(F.count("*").alias("n"))
-    slots = e.sparkSession.range(2016).select(c("id").alias("slot"))
-    return slots.join(e, "slot", "left").select("slot", F.coalesce("n", F.lit(0)).alias("n"))
+    return relational.dense_slots(relational.bag_count(t("events").select(times.slot(c("ts")).alias("slot")), "slot"))
 
 
 @query("D2_converge", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'update' ELSE 'keep' END AS action FROM customer UNION ALL SELECT -s_suppkey - 1, 'NEW', 'insert' FROM supplier")
@@ -584,7 +568,7 @@ def _(t):
 
 @query("R5_ranges", "SELECT event_type, printf('%.2f .. %.2f', min(value), max(value)) AS range FROM events GROUP BY 1")
 def _(t):
-    return t("events").groupBy("event_type").agg(F.format_string("%.2f .. %.2f", F.min("value"), F.max("value")).alias("range"))
+    return relational.ranges(t("events"), "event_type", "value")
 
 
 @query("R3_last_event", "SELECT event_type, max(event_id) FILTER (ts = m) AS event_id FROM (SELECT *, max(ts) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY 1")
