@@ -91,3 +91,16 @@ def file_select(facts: DataFrame, formula: str, tests: dict[str, Column]) -> Dat
     from ..operators.guards import compile_guard
 
     return facts.where(compile_guard(formula, tests.__getitem__))
+
+
+def new_lines(text: Column, offset: Column) -> Column:
+    """``lines, offset, reset``: what a growing file has from a remembered offset (in bytes) on, as far as whole lines go.
+
+    A file shorter than the offset was truncated and is read from its start.
+    """
+    reset = F.octet_length(text) < offset
+    begin = F.when(reset, 0).otherwise(offset).cast("int")
+    rest = F.substr(text.cast("binary"), begin + 1, F.octet_length(text) - begin).cast("string")
+    whole = F.regexp_extract(rest, r"(?s)^(.*\n)", 1)
+    lines = F.when(whole == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(whole, r"\n$", ""), "\n"))
+    return F.struct(lines.alias("lines"), (begin + F.octet_length(whole)).cast("long").alias("offset"), reset.alias("reset"))

@@ -6,11 +6,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chance, classes, lists, modules, tables, text, times
-from ..operators import anomaly, emitters, graph, logs, nesting, relevance, statistics
+from ..operators import anomaly, emitters, graph, logs, nesting, promises, relevance, statistics
 from ..sources import captures, catalogue, files, listings, xml, yaml
 from .functions_suite import event, joined, part
 from .operators_suite import _EDGES, _TUPLES, SECONDS, seconds, tuples
-from .registry import query, text_of
+from . import reports
+from .registry import QUERIES, SQL, query, text_of
 
 c = F.col
 
@@ -501,3 +502,52 @@ def _(t):
 
 part("F135_string_split", n=(lambda: F.size(text.string_split(F.concat("p_name", F.lit(" "), "p_type"), " ", 2)).cast("long"), "least(len(string_split(p_name || ' ' || p_type, ' ')), 2)"), rest=(lambda: F.get(text.string_split(F.concat("p_name", F.lit(" "), "p_type"), " ", 2), 1), "substr(p_name || ' ' || p_type, strpos(p_name, ' ') + 1)"))
 part("F37_getindices", out=(lambda: text_of(F.map_keys(F.create_map("p_type", F.lit(1), "p_brand", F.lit(2)))), "p_type || ',' || p_brand"))
+
+
+# --- growing files, measurements, bundles, addresses, files ---
+
+_GROWN = lambda: F.concat("p_name", F.lit("\n"), "p_brand", F.lit("\n"), F.left("p_type", F.lit(3)))
+_AT = "CASE p_size % 3 WHEN 0 THEN 0 WHEN 1 THEN length(p_name) + 1 ELSE 999 END"
+_OFFSET = lambda: F.when(c("p_size") % 3 == 0, 0).when(c("p_size") % 3 == 1, F.octet_length("p_name") + 1).otherwise(999)
+part("S17_measurement_lines", lines=(lambda: F.array_join(tables.new_lines(_GROWN(), _OFFSET())["lines"], "|"), "CASE WHEN p_size % 3 = 1 THEN p_brand ELSE p_name || '|' || p_brand END"), reset=(lambda: tables.new_lines(_GROWN(), _OFFSET())["reset"].cast("long"), "CAST(p_size % 3 = 2 AS BIGINT)"))
+part("T7_tail", at=(lambda: tables.new_lines(_GROWN(), _OFFSET())["offset"], "CAST(length(p_name) + length(p_brand) + 2 AS BIGINT)"), again=(lambda: F.size(tables.new_lines(_GROWN(), tables.new_lines(_GROWN(), _OFFSET())["offset"])["lines"]).cast("long"), "CAST(p_size * 0 AS BIGINT)"))
+
+
+@query("X4_measurements", "SELECT p_type, sum(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS DOUBLE)) FILTER (p_brand LIKE '%1%') AS ones, max(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS DOUBLE)) AS largest, arg_max(CAST(regexp_extract(p_brand, '#(\\d+)', 1) AS DOUBLE), p_partkey) AS last FROM part GROUP BY 1")
+def _(t):
+    wanted = [promises.Measurement("ones", "1", r"#(\d+)"), promises.Measurement("largest", "#", r"#(\d+)", "max"), promises.Measurement("last", "#", r"#(\d+)", "last", "p_partkey")]
+    return promises.measured(t("part"), "p_brand", wanted, "p_type")
+
+
+@query("X3_bundle", "SELECT p_partkey, p_size * 3 AS size FROM part WHERE p_size > 20 AND p_type = 'PROMO'")
+def _(t):
+    def larger(table, least):
+        return table.where(c("p_size") > least)
+
+    def of_kind(table, kind):
+        return table.where(c("p_type") == kind)
+
+    def scaled(table, factor=2):
+        return table.select("p_partkey", (c("p_size") * factor).alias("size"))
+
+    return promises.bundle(larger, of_kind, scaled)(t("part"), least=20, kind="PROMO", factor=3)
+
+
+@query("R7_dispatch", "SELECT p_partkey, 'default:' || p_type AS namespacepath, p_brand AS handle FROM part WHERE regexp_matches('default:' || p_type || ':' || p_brand, 'Brand#2')")
+def _(t):
+    known = t("part").select(F.concat(F.lit("default:"), "p_type", F.lit(":"), "p_brand").alias("handle"), c("p_partkey").alias("q"), F.lit(1.0).alias("expect"), F.lit(0.0).alias("var"))
+    return reports.dispatch("/report/agent/Brand%232", {"compliance": known}).select(c("q").alias("p_partkey"), "namespacepath", "handle")
+
+
+@query("P6_file_select", "SELECT p_partkey FROM part WHERE (p_name LIKE '%ring' OR p_size > 40) AND NOT p_retailprice > 950")
+def _(t):
+    tests = {"leaf_name": c("p_name").endswith("ring"), "size": c("p_size") > 40, "mtime": c("p_retailprice") > 950}
+    return tables.file_select(t("part"), "(leaf_name|size).!mtime", tests).select("p_partkey")
+
+
+# The tables that a folder of them has.
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES["F31_findfiles"] = lambda spark, sf_dir: tables.file_facts(spark, sf_dir, "*.parquet").select("name")
+SQL["F31_findfiles"] = f"SELECT name FROM (VALUES {', '.join(f'(\'{x}.parquet\')' for x in _TABLES)}) v(name)"
+QUERIES["F71_lsdir"] = lambda spark, sf_dir: tables.list_files(spark, sf_dir, r"[n-s].*\.parquet").select("name")
+SQL["F71_lsdir"] = f"SELECT name FROM (VALUES {', '.join(f'(\'{x}.parquet\')' for x in _TABLES)}) v(name) WHERE regexp_full_match(name, '[n-s].*\\.parquet')"
