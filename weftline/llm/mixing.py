@@ -194,7 +194,11 @@ def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = ROUND
     ``settled``), else about what the nearest rates leave.
     """
     p = [f"p_{d}" for d in DOMAINS]
-    cells = written(members.groupBy(*p).agg(F.sum("n_tokens").alias("n")).select(*p, "n", F.lit(1.0).alias("r"), F.lit(1.0).alias("q")).coalesce(8), "mixing-cells")
+    cells = written(members.groupBy(*p).agg(F.sum("n_tokens").alias("n")).select(*p, "n", F.lit(1.0).alias("r"), F.lit(1.0).alias("q")), "mixing-cells")
+    # a round is a sum over few rows: not more tasks than they fill
+    few = 1 + cells.count() // 50_000
+    first, cells = cells, written(cells.coalesce(few), "mixing-cells")
+    dropped(first)
     total, *products = cells.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(a) * F.col(b)) for a in p for b in p]).first()
     weight = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
     goal = [targets.get(d, 0.0) / weight for d in DOMAINS]
@@ -229,10 +233,10 @@ def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = ROUND
         steps.append((momentum, [round(length * (a - g), 12) for a, g in zip(ahead, goal, strict=True)]))
         pace, before = following, now
         if len(steps) == REPLAYED:
-            last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r"), F.col("s.q").alias("q")).coalesce(8), "mixing-cells")
+            last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r"), F.col("s.q").alias("q")).coalesce(few), "mixing-cells")
             dropped(last)
             steps = []
-    last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r")).coalesce(8), "mixing-cells")
+    last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r")).coalesce(few), "mixing-cells")
     dropped(last)
     shares = [x / total for x in cells.agg(*[F.sum(F.col("n") * F.col(x) * F.col("r")) for x in p]).first()]
     report |= {"share": dict(zip(DOMAINS, shares, strict=True)), "residual": max(abs(a - g) for a, g in zip(shares, goal, strict=True)), "rounds": done, "settled": settled}
