@@ -70,3 +70,59 @@ def test_recognised_keeps_columns_as_they_are(spark):
     m = model(["a", "b"], {"foo": (0.0, -9.0)})
     assert sorted(map(tuple, langid.recognised(df, m, 0.6).collect())) == [rows[0], rows[0]]
     assert langid.recognised(df, m, 0.6).columns == df.columns
+
+
+def brute(train, texts, settings):
+    """Posteriors by plain counting, without any table that the operator keeps."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for _, lang in train})
+    counts = defaultdict(Counter)  # (kind, string) -> language -> count
+    for text, lang in set(train):
+        for w in split(text):
+            counts[0, w][lang] += 1
+            for n in range(1, settings.longest + 1):
+                for g in grams(w, n):
+                    counts[n, g][lang] += 1
+    kept = {k: c for k, c in counts.items() if sum(c.values()) >= settings.least_count or k[0] == 1}
+    size, total = Counter(k for k, _ in kept), defaultdict(Counter)
+    for (k, _), c in kept.items():
+        total[k].update(c)
+
+    def logs(k, x):
+        return [math.log((kept[k, x][v] + settings.smoothing) / (total[k][v] + settings.smoothing * (size[k] + 1))) for v in langs]
+
+    def word(w):
+        if (0, w) in kept:
+            return logs(0, w)
+        for n in range(settings.longest, 0, -1):
+            found = [logs(n, g) for g in grams(w, n) if (n, g) in kept]
+            if found and 2 * len(found) >= len(grams(w, n)):
+                return [sum(x) / len(found) for x in zip(*found, strict=True)]
+        return [0.0] * len(langs)
+
+    out = []
+    for t in texts:
+        sums = [sum(x) for x in zip(*map(word, split(t)), strict=True)]
+        top = max(sums)
+        out.append((langs[sums.index(top)], 1 / sum(math.exp(x - top) for x in sums)))
+    return out
+
+
+def test_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    parts = {"a": ["ba", "bo", "lu", "ma"], "b": ["ski", "tra", "ou", "ma"], "c": ["ren", "fi", "lu", "ou"]}
+    make = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 8)))
+    train = [(make(lang), lang) for lang in "abc" for _ in range(40)]
+    train += train[:30]  # copies weigh once
+    texts = [make(rng.choice("abc")) + " " + make(rng.choice("abc")) for _ in range(60)]
+    model = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, brute(train, texts, langid.Settings()), strict=True):
+        assert abs(r.score - score) < 1e-3 and (r.lang_pred == lang or score < 0.51)
