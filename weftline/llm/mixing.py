@@ -11,7 +11,8 @@ so documents of equal posteriors have equal rates and are one cell of the fit wi
 tokens summed; the table of cells has a bounded number of rows, however many documents
 there are. Each round sums one number per domain over it; nothing per document is
 collected. The fit ends when targets are met or it moves no more, after ``ROUNDS`` rounds
-at the latest; what it misses then is returned.
+at the latest; what it misses then is returned. A target of 0 shuts out the documents that
+are chiefly of that domain.
 """
 
 from __future__ import annotations
@@ -171,9 +172,8 @@ def _largest(m: list[list[float]]) -> float:
     return 1.0001 * size
 
 
-def _replayed(steps: list[tuple[float, list[float]]]):
+def _replayed(steps: list[tuple[float, list[float]]], posteriors: list[str]):
     """``r, q`` (the rates now and a round ago) after further rounds of momentum and gradient, each cut off at zero."""
-    p = [F.col(f"p_{d}") for d in DOMAINS]
     start = F.struct(F.col("r").alias("r"), F.col("q").alias("q"))
     if not steps:
         return start
@@ -181,39 +181,53 @@ def _replayed(steps: list[tuple[float, list[float]]]):
 
     def step(s, x):
         ahead = s["r"] + F.get(x, 0) * (s["r"] - s["q"])
-        return F.struct(F.greatest(F.lit(0.0), ahead - sum((y * F.get(x, k + 1) for k, y in enumerate(p)), F.lit(0.0))).alias("r"), s["r"].alias("q"))
+        return F.struct(F.greatest(F.lit(0.0), ahead - sum((F.col(y) * F.get(x, k + 1) for k, y in enumerate(posteriors)), F.lit(0.0))).alias("r"), s["r"].alias("q"))
 
     return F.aggregate(taken, start, step)
 
 
+def chief_domain() -> F.Column:
+    """The domain of largest posterior, ties in the order of ``DOMAINS``."""
+    best = F.greatest(*[F.col(f"p_{d}") for d in DOMAINS])
+    domain = F.lit(None).cast("string")
+    for d in reversed(DOMAINS):
+        domain = F.when(F.col(f"p_{d}") == best, d).otherwise(domain)
+    return domain
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = ROUNDS) -> tuple[DataFrame, dict]:
     """``p_<domain>, r`` of each cell, and ``share, residual, rounds, settled`` of the fit.
 
-    ``share`` is each domain's part of all tokens at the end, ``residual`` the largest
-    distance from its target: within ``TOLERANCE`` where targets can be met (and
-    ``settled``), else about what the nearest rates leave.
+    A target of 0 shuts a domain out: documents that are chiefly of it have the rate 0, and
+    the others, each of which is a little of it, are fitted to the targets of the other
+    domains. ``share`` is each domain's part of all tokens at the end, ``residual`` the
+    largest distance from a target that is not 0: within ``TOLERANCE`` where targets can be
+    met (and ``settled``), else about what the nearest rates leave.
     """
     p = [f"p_{d}" for d in DOMAINS]
-    cells = written(members.groupBy(*p).agg(F.sum("n_tokens").alias("n")).select(*p, "n", F.lit(1.0).alias("r"), F.lit(1.0).alias("q")), "mixing-cells")
+    wanted = [d for d in DOMAINS if targets.get(d, 0.0) > 0] or list(DOMAINS)
+    q = [f"p_{d}" for d in wanted]
+    start = F.when(chief_domain().isin(*wanted), 1.0).otherwise(0.0)
+    every = written(members.groupBy(*p).agg(F.sum("n_tokens").alias("n")).withColumn("r", start), "mixing-cells")
     # a round is a sum over few rows: not more tasks than they fill
-    few = 1 + cells.count() // 50_000
-    first, cells = cells, written(cells.coalesce(few), "mixing-cells")
-    dropped(first)
-    total, *products = cells.agg(F.sum("n"), *[F.sum(F.col("n") * F.col(a) * F.col(b)) for a in p for b in p]).first()
-    weight = sum(targets.get(d, 0.0) for d in DOMAINS) or 1.0
-    goal = [targets.get(d, 0.0) / weight for d in DOMAINS]
+    few = 1 + every.count() // 50_000
+    cells = written(every.where("r > 0").select(*p, "n", "r", F.col("r").alias("q")).coalesce(few), "mixing-cells")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    weight = sum(targets.get(d, 0.0) for d in wanted) or 1.0
+    goal = [targets.get(d, 0.0) / weight for d in wanted]
     report = {"share": dict.fromkeys(DOMAINS, 0.0), "residual": max(goal), "rounds": 0, "settled": True}
-    if not total:
-        return cells.select(*p, "r"), report
-    k = len(DOMAINS)
-    length = 1.0 / _largest([[x / total for x in products[k * i : k * i + k]] for i in range(k)])
+    products = cells.agg(*[F.sum(F.col("n") * F.col(a) * F.col(b)) for a in q for b in q]).first()
+    if not total or not any(products):
+        return every.select(*p, "r"), report
+    k = len(wanted)
+    length = 1.0 / _largest([[(x or 0) / total for x in products[k * i : k * i + k]] for i in range(k)])
     steps: list[tuple[float, list[float]]] = []
     pace, before, quiet, settled = 1.0, None, 0, False
 
     def sums(momentum):
         s = F.col("s")
         ahead = s["r"] + momentum * (s["r"] - s["q"])
-        row = cells.withColumn("s", _replayed(steps)).agg(*[F.sum(F.col("n") * F.col(x) * ahead) for x in p], *[F.sum(F.col("n") * F.col(x) * s["r"]) for x in p]).first()
+        row = cells.withColumn("s", _replayed(steps, q)).agg(*[F.sum(F.col("n") * F.col(x) * ahead) for x in q], *[F.sum(F.col("n") * F.col(x) * s["r"]) for x in q]).first()
         return [x / total for x in row[:k]], [x / total for x in row[k:]]
 
     done = 0
@@ -233,21 +247,23 @@ def fit_rates(members: DataFrame, targets: dict[str, float], rounds: int = ROUND
         steps.append((momentum, [round(length * (a - g), 12) for a, g in zip(ahead, goal, strict=True)]))
         pace, before = following, now
         if len(steps) == REPLAYED:
-            last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r"), F.col("s.q").alias("q")).coalesce(few), "mixing-cells")
+            last, cells = cells, written(cells.withColumn("s", _replayed(steps, q)).select(*p, "n", F.col("s.r").alias("r"), F.col("s.q").alias("q")).coalesce(few), "mixing-cells")
             dropped(last)
             steps = []
-    last, cells = cells, written(cells.withColumn("s", _replayed(steps)).select(*p, "n", F.col("s.r").alias("r")).coalesce(few), "mixing-cells")
-    dropped(last)
-    shares = [x / total for x in cells.agg(*[F.sum(F.col("n") * F.col(x) * F.col("r")) for x in p]).first()]
-    report |= {"share": dict(zip(DOMAINS, shares, strict=True)), "residual": max(abs(a - g) for a, g in zip(shares, goal, strict=True)), "rounds": done, "settled": settled}
-    return cells.select(*p, "r"), report
+    fitted = cells.withColumn("s", _replayed(steps, q)).select(*p, "n", F.col("s.r").alias("r"))
+    out = written(fitted.unionByName(every.where("r = 0").select(*p, "n", "r")).coalesce(few), "mixing-cells")
+    dropped(cells, every)
+    shares = [(x or 0) / total for x in out.agg(*[F.sum(F.col("n") * F.col(x) * F.col("r")) for x in p]).first()]
+    report["share"] = dict(zip(DOMAINS, shares, strict=True))
+    report |= {"residual": max(abs(report["share"][d] - g) for d, g in zip(wanted, goal, strict=True)), "rounds": done, "settled": settled}
+    return out.select(*p, "r"), report
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id, n_tokens, p_<domain>, domain, rate, expected_tokens, residual`` for each row of ``doc_id, text``.
 
     ``residual`` is the same on every row: how far, as a part of all tokens, the fit's
-    totals are from the targets at most. Null, empty and blank texts have no tokens and a
+    totals are at most from the targets that are not 0. Null, empty and blank texts have no tokens and a
     rate that moves no total; repeated rows each have their own; without labels all domains
     are equally likely; an empty table gives no rows; other columns are left out. Posteriors
     have three places, rates six.
@@ -259,13 +275,9 @@ def rated(members: DataFrame, targets: dict[str, float] | None = None) -> DataFr
     """Members with their fitted rates, looked up by cell (bounded, so sent to all executors)."""
     cells, report = fit_rates(members, TARGETS if targets is None else targets)
     p = [f"p_{d}" for d in DOMAINS]
-    best = F.greatest(*p)
-    domain = F.lit(None).cast("string")
-    for d in reversed(DOMAINS):
-        domain = F.when(F.col(f"p_{d}") == best, d).otherwise(domain)
     rate = F.round("r", 6)
     out = members.join(F.broadcast(cells), p)
-    return out.select("rid", "doc_id", "text_hash", "n_tokens", *p, domain.alias("domain"), rate.alias("rate"), F.round(rate * F.col("n_tokens"), 3).alias("expected_tokens"), F.lit(round(report["residual"], 9)).alias("residual"))
+    return out.select("rid", "doc_id", "text_hash", "n_tokens", *p, chief_domain().alias("domain"), rate.alias("rate"), F.round(rate * F.col("n_tokens"), 3).alias("expected_tokens"), F.lit(round(report["residual"], 9)).alias("residual"))
 
 
 def sampled_at(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
