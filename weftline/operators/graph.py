@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# The types of associations in tuple files; a negative type is the inverse. The phrases
+# of the tuples made below are fixed as well.
 NEAR, FOLLOWS, CONTAINS, EXPRESSES, CONTEXT = 1, 2, 3, 4, 5
 TUPLE = ["src", "atype", "fwd", "dst", "bwd", "context"]
 

@@ -117,7 +117,7 @@ def items(body: Column) -> Column:
 def counter_key(text: Column) -> Column:
     """From the first letter on, without commas and digits, canonical; null under twelve characters."""
     key = F.regexp_replace(F.regexp_replace(text, "^[^A-Za-z]+", ""), "[,0-9]", "")
-    key = F.regexp_replace(F.left(key, F.lit(255)), "[^A-Za-z0-9]", "_")
+    key = F.regexp_replace(key, "[^A-Za-z0-9]", "_")
     return F.when(F.char_length(key) >= 12, key)
 
 

@@ -19,7 +19,7 @@ def process_table(lines: DataFrame, header: str, column: str = "value", keep: tu
         ends.append(at)
     starts = [0, *ends[:-1]]
     line = F.col(column)
-    cells = [F.trim(F.substring(line, a + 1, (b - a) if k < len(names) - 1 else 1 << 20)).alias(n.lower().lstrip("%")) for k, (n, a, b) in enumerate(zip(names, starts, ends, strict=True))]
+    cells = [F.trim(F.substring(line, a + 1, (b - a) if k < len(names) - 1 else (1 << 31) - 1 - a)).alias(n.lower().lstrip("%")) for k, (n, a, b) in enumerate(zip(names, starts, ends, strict=True))]
     return lines.where((F.trim(line) != "") & (line != header)).select(*keep, *cells)
 
 
