@@ -61,7 +61,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 @contextlib.contextmanager
 def shuffles_let_go(spark: SparkSession):
     """Within, Spark removes the shuffle files of an action as soon as it has ended."""
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         yield
