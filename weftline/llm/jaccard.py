@@ -26,7 +26,8 @@ pivot, chosen by a hash in each list; sets found linked fall into components. Th
 done with further pivots, and only then are pairs of different components compared, so a
 group of near copies costs about its size and no link between different components is
 lost. List entries carry their place in the order, which bounds what two
-sets can share from there on, and a sketch: the parity of a set's shingles in cells. Two
+sets can share from there on, the shingles shortly before it, by which a pair is taken
+where it first meets, and a sketch: the parity of a set's shingles in cells. Two
 sets differ in at least as many shingles as their parities in cells, which discards most
 pairs within the join and, with more cells, before whole sets are fetched. Every other
 candidate is decided on whole sets.
@@ -50,6 +51,8 @@ SUBSET = 2
 PARITY, MOST_PARITY = 1024, 1 << 17
 #: Words of 64 cells in the sketch of a list entry.
 SKETCH = 4
+#: How many shingles before its own an entry carries.
+BEFORE = 8
 #: What an entry costs (it is shuffled, written, joined and grouped some times) in comparisons within a list.
 ENTRY_COST = 64
 #: Turns in which lists are compared with pivots, and how many pivots a group of sets has in each.
@@ -180,34 +183,47 @@ def ordered(own: DataFrame, classes: DataFrame, df: DataFrame, percent: int) ->
     return out
 
 
+def _before(order: np.ndarray, last: np.ndarray, skipped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ``BEFORE`` shingles before each place ``last`` of an order (without the one at ``skipped``), flat, and how many they are."""
+    back = last[:, None] - 1 - np.arange(BEFORE)
+    good = back >= 0 if skipped is None else (back >= 0) & (back != skipped[:, None])
+    return order[back[good]], good.sum(axis=1)
+
+
 def entries(sets: DataFrame, light: int, percent: int) -> DataFrame:
-    """``key, cid, n, pos, sketch``: the list entries and subsets of each set; keys of subsets and of lists never mix."""
+    """``key, cid, n, pos, before, s0, ...``: the list entries and subsets of each set; keys of subsets and of lists never mix.
+
+    ``before``: shingles that come shortly before those of the key in the set's order.
+    """
     heavy_partner = needed(light + 1, percent)  # smaller sets have no heavy partner
+    names = ["key", "cid", "n", "pos", "before", "sketch"]
 
     def run(batches):
         for batch in in_slices(batches, 512):
             cids, ns, alone, sketch = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(5)
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for at, (cid, n, own, shared, over) in enumerate(zip(cids, ns, alone, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 order = np.array(shared + over, np.int64)
                 found = []
                 if n <= light:
-                    p = mix(order[: max(0, prefix(n, percent, SUBSET) - own)].view(np.uint64))
+                    p = order[: max(0, prefix(n, percent, SUBSET) - own)]
+                    mixed = mix(p.view(np.uint64))
                     i, j = np.triu_indices(len(p), 1)
                     # all that two sets share besides the first of the two stands from the second on
-                    found.append((mix(p[i] * np.uint64(0x9E3779B97F4A7C15) + p[j]).view(np.int64), j - 1 + own))
+                    found.append((mix(mixed[i] * np.uint64(0x9E3779B97F4A7C15) + mixed[j]).view(np.int64), j - 1 + own, *_before(p, j, i)))
                 if n >= heavy_partner:
                     p = order[: max(0, prefix(n, percent, 1) - own)]
-                    found.append((p, np.arange(len(p)) + own))
-                for k, pos in found:
-                    for col, x in zip(out, (k, np.full(len(k), cid), np.full(len(k), n), pos, np.full(len(k), at)), strict=True):
+                    found.append((p, np.arange(len(p)) + own, *_before(p, np.arange(len(p)))))
+                for k, pos, before, sizes in found:
+                    for col, x in zip(out, (k, np.full(len(k), cid), np.full(len(k), n), pos, before, sizes, np.full(len(k), at)), strict=True):
                         col.append(x)
             if out[0]:
-                key, cid, n, pos, at = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), sketch.take(pa.array(at, pa.int64()))], ["key", "cid", "n", "pos", "sketch"])
+                key, cid, n, pos, before, sizes, at = map(np.concatenate, out)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(before, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32()), lists, sketch.take(pa.array(at, pa.int64()))], names)
 
-    rows = sets.select("cid", "n", "alone", "shared", "over", "sketch").mapInArrow(released(run), "key long, cid long, n int, pos int, sketch array<long>")
-    return rows.select("key", "cid", "n", "pos", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)])
+    rows = sets.select("cid", "n", "alone", "shared", "over", "sketch").mapInArrow(released(run), "key long, cid long, n int, pos int, before array<long>, sketch array<long>")
+    return rows.select("key", "cid", "n", "pos", "before", *[F.get("sketch", k).alias(f"s{k}") for k in range(SKETCH)])
 
 
 def near(a: str, b: str, percent: int) -> str:
@@ -279,7 +295,7 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     # mean length of the list that an entry is in: what scanning costs against subsets
     entered = F.slice("df", 1, F.greatest(F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 - alone as int)"), F.lit(0)))
     length = sets.select(F.explode(entered).alias("x")).agg(F.avg("x")).first()[0] or 0.0
-    entry = F.struct("cid", "n", "pos", *[f"s{k}" for k in range(SKETCH)]).alias("x")
+    entry = F.struct("cid", "n", "pos", "before", *[f"s{k}" for k in range(SKETCH)]).alias("x")
     live = written(entries(sets, boundary(percent, length), percent).select("key", entry, F.col("cid").alias("c")), "jaccard-entries")
     dropped(sets)
 
@@ -308,7 +324,8 @@ def join(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
         dropped(last, links)
     rest = open_lists(live)
     left, right = (rest.select(F.col("key").alias(f"k{y}"), F.col("x").alias(y), F.col("c").alias(f"c{y}")) for y in "xy")
-    more = left.join(right, F.expr(f"kx = ky and cx < cy and {near('x', 'y', percent)}"))
+    # two sets meet at the first place they share; of later ones most have the one before it in sight
+    more = left.join(right, F.expr(f"kx = ky and cx < cy and {near('x', 'y', percent)} and not arrays_overlap(x.before, y.before)"))
     links = _linked(as_pairs(more), docs, own, classes, percent, size)
     dropped(live, rest)
     linked = links.unionByName(named.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
