@@ -37,6 +37,8 @@ from .common import WordHasher, as_bytes, dropped, in_slices, mix, released, wri
 WINDOW = 50
 #: Rows of ids up to which a side is sent to all executors (16 bytes each).
 BROADCAST_ROWS = 500_000
+#: Windows that leave a worker at once.
+BATCH_ROWS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Makes other names of the same words, for the second fingerprint of a window.
@@ -145,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     def keys(batches):
         p = Parser(window)
-        for batch in in_slices(batches, 256):
+        for batch in in_slices(batches, 64):
             ids = batch.column(0).to_pylist()
             doc, cls, key, pos = [], [], [], []
             f_words, f_sha = [], []
@@ -201,20 +203,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -
 
     def windows(batches):
         p = Parser(window)
-        for batch in in_slices(batches, 64):
-            hashes, others, doc, cls, at = [], [], [], [], []
+        held, rows = [], 0
+
+        def flush():
+            h, g, doc, cls, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _batch({"h": (h.view(np.int64), i64), "g": (g.view(np.int64), i64), "doc_id": (doc, i64), "cls": (cls, i64), "at": (at, i32)})
+
+        for batch in in_slices(batches, 16):
             for d, c, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 names, _, chosen = p.parse(text.split())
                 good = np.zeros(len(names), bool)
                 good[places] = True
                 s = np.flatnonzero(good[chosen])
-                hashes.append(p.spans.span(p.spans.of(names), s, window))
-                others.append(p.spans.span(p.spans.of(mix(names ^ _OTHER)), s, window))
-                at.append(s)
-                doc.append(np.full(len(s), d))
-                cls.append(np.full(len(s), c))
-            if hashes:
-                yield _batch({"h": (np.concatenate(hashes).view(np.int64), i64), "g": (np.concatenate(others).view(np.int64), i64), "doc_id": (np.concatenate(doc), i64), "cls": (np.concatenate(cls), i64), "at": (np.concatenate(at), i32)})
+                held.append((p.spans.span(p.spans.of(names), s, window), p.spans.span(p.spans.of(mix(names ^ _OTHER)), s, window), np.full(len(s), d), np.full(len(s), c), s))
+                rows += len(s)
+                if rows >= BATCH_ROWS:
+                    yield flush()
+                    held, rows = [], 0
+        if held:
+            yield flush()
 
     found = texts_of.mapInArrow(released(windows), "h long, g long, doc_id long, cls long, at int")
     least = found.groupBy(F.col("h").alias("of"), F.col("g").alias("with")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("of", "with", "low")
