@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, dropped, in_slices, mix, released, shuffles_let_go, written
+from .common import WordHasher, as_bytes, dropped, give_back, in_slices, mix, released, shuffles_let_go, written
 
 SHIPPED_WORDS = 1_000_000
 SHIPPED = 2_000_000
@@ -207,6 +207,8 @@ class Bits:
             rows = table.select(place.alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
         self.words = np.zeros(self.mask + 1, np.uint64)
         self.words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+        del rows
+        give_back()
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         return (self.words[(keys >> np.uint64(6)) & np.uint64(self.mask)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
@@ -531,6 +533,7 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
         rows = written(found, "lm-symbols")
         sent.destroy()
         dropped(contexts)
+        give_back()
     dropped(rows)
     shared.destroy()
 
@@ -546,6 +549,8 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     order = np.argsort(heavy)
     tree = Tree(heavy[order], n[order], total, distinct, texts.where("learn").count())
     tree.least = int(n.min()) if len(n) else 0
+    del often
+    give_back()
     docs = encoded(texts, tree.heavy)
     if total:
         _grow(tree, docs.where("learn").select("ids", "light"), counts)
