@@ -79,7 +79,14 @@ def log_summary(rows: DataFrame, seconds: Column, bucket: int = 300) -> DataFram
 
 
 def mean_score(rows: DataFrame, key: str, value: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.round(F.avg(value)).cast("long").alias("score"))
+    """The mean of a key as a whole number, halves away from zero.
+
+    Values are summed as decimals as they are written, so a half is not decided by the order of the rows; where one
+    is too large for that or no number, the key's sum is one of doubles.
+    """
+    exact = F.col(value).try_cast("decimal(38,18)")
+    mean = F.when(F.count(exact) == F.count(value), F.round(F.try_avg(exact)))
+    return rows.groupBy(key).agg(F.coalesce(mean.cast("long"), F.round(F.avg(value)).cast("long")).alias("score"))
 
 
 def best_text(rows: DataFrame, key: str, phrase: str) -> DataFrame:
