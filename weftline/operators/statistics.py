@@ -3,7 +3,8 @@
 A fold that forgets needs the end of a key's history only: what lies so far back that its
 weight is below the precision of a double changes nothing. :func:`recent` takes that end,
 with a limit per key and task before the shuffle, so no row holds a whole history and a
-key with a third of all rows costs no more than any other.
+key with a third of all rows costs no more than any other. A fold that rounds at each step
+(:func:`log_ewma`) has no such end and reads everything, one key's rows after the other.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], value: str, alias: str = "q") -> DataFrame:
@@ -52,14 +54,59 @@ def two_regime_ewma(values: Column, young: int, p_young: float = 0.7, p_old: flo
     return F.aggregate(indexed, F.lit(0.0), lambda s, x: x["p"] * x["v"] + (1 - x["p"]) * s)
 
 
-def log_ewma(values: Column, forget: float = 0.55) -> Column:
-    """``av, var`` of the log pipeline: from zero, each rounded to two decimals, the variance about the new mean."""
+def log_ewma(samples: DataFrame, keys: list[str], order: list[str], value: str, forget: float = 0.55) -> DataFrame:
+    """``keys, av, var`` of the log pipeline: from zero, each rounded to two decimals, the variance about the new mean.
 
-    def step(s, q):
-        av = F.round(forget * s["av"] + (1 - forget) * q, 2)
-        return F.struct(av.alias("av"), F.round(forget * s["var"] + (1 - forget) * (q - av) * (q - av), 2).alias("var"))
-
-    return F.aggregate(values, F.struct(F.lit(0.0).alias("av"), F.lit(0.0).alias("var")), step)
+    Rounding at each step can keep a difference for ever, so this fold reads the whole history: rows come sorted
+    by key and order, and only the state of one key is held. A null leaves its key without a result.
+    """
+    new = round(1 - forget, 12)
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        def rounded(x):
+            hundreds = x * 100
+            if not math.isfinite(hundreds):
+                return x
+            whole = math.trunc(hundreds)
+            return (whole + math.copysign(1, x) if abs(hundreds - whole) >= 0.5 else whole) / 100
+
+        def step(state, q):
+            if q is None or state[0] is None:
+                return None, None
+            av = rounded(forget * state[0] + new * q)
+            return av, rounded(forget * state[1] + new * (q - av) * (q - av))
+
+        def rows(done):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), [*kinds, pa.float64(), pa.float64()], strict=True)], [*keys, "av", "var"])
+
+        key = state = kinds = None
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][:-1]
+            *names, values = (c.to_pylist() for c in batch.columns)
+            done = []
+            for k, q in zip(zip(*names, strict=True), values, strict=True):
+                if k != key:
+                    if state:
+                        done.append((*key, *state))
+                    key, state = k, (0.0, 0.0)
+                state = step(state, q)
+            if done:
+                yield rows(done)
+        if state:
+            yield rows([(*key, *state)])
+
+    fields = [*(samples.schema[k] for k in keys), T.StructField("av", T.DoubleType()), T.StructField("var", T.DoubleType())]
+    near = samples.select(*keys, *order, F.col(value).cast("double").alias("_v")).repartition(*keys).sortWithinPartitions(*keys, *map(F.asc_nulls_last, order))
+    return near.select(*keys, "_v").mapInArrow(run, T.StructType(fields))
+
+
+def half_up(value: Column, places: int) -> Column:
+    """A double to decimal places as SQL rounds it: halves of the multiple as computed, not of the number as written, away from zero."""
+    return F.round(value * 10.0**places) / 10.0**places
 
 
 def weekly_model(samples: DataFrame, p: float = 0.7) -> DataFrame:

@@ -145,7 +145,8 @@ _ROWS = "s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id OR
 
 @query("A8_log_ewma", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, round(0.45 * value, 2) AS av, round(0.45 * (value - round(0.45 * value, 2)) * (value - round(0.45 * value, 2)), 2) AS var FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, round(0.55 * f.av + 0.45 * s.value, 2), round(0.55 * f.var + 0.45 * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)) * (s.value - round(0.55 * f.av + 0.45 * s.value, 2)), 2) FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 1) AS av, round(var / 100) AS var FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
 def _(t):
-    return statistics.recent(t("events"), ["user_id"], ["ts", "event_id"], "value", 400).withColumn("s", statistics.log_ewma(c("q"))).select("user_id", F.round("s.av", 1).alias("av"), F.round(c("s.var") / 100).alias("var"))
+    folded = statistics.log_ewma(t("events"), ["user_id"], ["ts", "event_id"], "value")
+    return folded.select("user_id", statistics.half_up(c("av"), 1).alias("av"), F.round(c("var") / 100).alias("var"))
 
 
 @query("A5_two_regime", f"WITH RECURSIVE {_ROWS}, f AS (SELECT user_id, rn, 0.7 * greatest(value, 0) AS av FROM s WHERE rn = 1 UNION ALL SELECT s.user_id, s.rn, CASE WHEN s.rn <= 2 THEN 0.7 ELSE 0.3 END * greatest(s.value, 0) + CASE WHEN s.rn <= 2 THEN 0.3 ELSE 0.7 END * f.av FROM f JOIN s ON s.user_id = f.user_id AND s.rn = f.rn + 1) SELECT f.user_id, round(av, 4) AS av FROM f JOIN m ON f.user_id = m.user_id AND f.rn = m.n")
