@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +76,36 @@ def file_facts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return reader.load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+_FACTS = "path string, name string, size long, modified timestamp"
+
+
+def _listed(spark: SparkSession, path: str, of) -> DataFrame:
+    """Facts of the files and folders that ``of(filesystem, path)`` names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = [(x.getPath().toString(), x.getPath().getName(), x.getLen(), datetime.fromtimestamp(x.getModificationTime() / 1000, UTC)) for x in of(system, place) or ()]
+    return spark.createDataFrame(found, _FACTS)
+
+
+def find_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path, name, size, modified`` of files and folders whose path matches a shell pattern.
+
+    ``**`` stands for one to six levels; a wildcard does not match a leading dot.
+    """
+
+    def seen(status, parts):
+        names = status.getPath().toString().split("/")[-len(parts) :]
+        return all(p.startswith(".") or not n.startswith(".") for p, n in zip(parts, names, strict=False) if any(x in p for x in "*?["))
+
+    out = None
+    for depth in range(1, 7 if "**" in pattern else 2):
+        own = pattern.replace("**", "/".join("*" * depth))
+        parts = own.split("/")
+        found = _listed(spark, own, lambda system, place, parts=parts: [x for x in system.globStatus(place) or () if seen(x, parts)])
+        out = found if out is None else out.unionByName(found)
+    return out.dropDuplicates(["path"])
+
+
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Files whose whole name matches a regular expression."""
     return file_facts(spark, path).where(full_match(F.col("name"), pattern))

@@ -547,7 +547,7 @@ def _(t):
 
 # The tables that a folder of them has.
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES["F31_findfiles"] = lambda spark, sf_dir: tables.file_facts(spark, sf_dir, "*.parquet").select("name")
+QUERIES["F31_findfiles"] = lambda spark, sf_dir: tables.find_files(spark, f"{sf_dir}/*.parquet").select("name")
 SQL["F31_findfiles"] = f"SELECT name FROM (VALUES {', '.join(f'(\'{x}.parquet\')' for x in _TABLES)}) v(name)"
 QUERIES["F71_lsdir"] = lambda spark, sf_dir: tables.list_files(spark, sf_dir, r"[n-s].*\.parquet").select("name")
 SQL["F71_lsdir"] = f"SELECT name FROM (VALUES {', '.join(f'(\'{x}.parquet\')' for x in _TABLES)}) v(name) WHERE regexp_full_match(name, '[n-s].*\\.parquet')"
