@@ -22,3 +22,10 @@ def test_find_files(spark, tmp_path):
     assert names(tables.find_files(spark, base + "/.*.parquet")) == [".hidden.parquet"]
     assert names(tables.find_files(spark, base + "/**/part-0.parquet")) == ["part-0.parquet", "part-0.parquet"]
     assert names(tables.find_files(spark, base + "/none*")) == []
+
+
+def test_list_files(spark, tmp_path):
+    base = folder(tmp_path)
+    assert names(QUERIES["F71_lsdir"](spark, base)) == ["nation.parquet", "pages.parquet", "region.parquet"]
+    assert names(tables.list_files(spark, base, r".*\.txt")) == ["other.txt"]
+    assert names(tables.list_files(spark, base + "/none", ".*")) == []

@@ -107,8 +107,9 @@ def find_files(spark: SparkSession, pattern: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Files whose whole name matches a regular expression."""
-    return file_facts(spark, path).where(full_match(F.col("name"), pattern))
+    """``path, name, size, modified`` of what a folder itself holds, files and folders, whose whole name matches a regular expression."""
+    held = _listed(spark, path, lambda system, place: system.listStatus(place) if system.exists(place) else ())
+    return held.where(full_match(F.col("name"), pattern))
 
 
 def file_digest(spark: SparkSession, path: str, kind: str = "sha256") -> DataFrame:
