@@ -129,6 +129,12 @@ def give_back() -> None:
         pass
 
 
+def collected(spark: SparkSession) -> None:
+    """The driver, its Python and its JVM, gives back what nothing refers to any more; else the heap grows to its limit, whatever is alive."""
+    give_back()
+    spark._jvm.System.gc()
+
+
 def in_slices(batches, rows: int = 256):
     """Arrow batches cut small, so that Python holds few whole texts at a time."""
     for batch in batches:

@@ -24,10 +24,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, as_bytes, dropped, give_back, in_slices, mix, released, shuffles_let_go, written
+from .common import WordHasher, as_bytes, collected, dropped, give_back, in_slices, mix, released, shuffles_let_go, written
 
 SHIPPED_WORDS = 1_000_000
 SHIPPED = 2_000_000
@@ -214,6 +215,13 @@ class Bits:
         return (self.words[(keys >> np.uint64(6)) & np.uint64(self.mask)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
 
 
+def _sent(table: DataFrame) -> Broadcast:
+    """The bitmap of a table's keys, sent to executors once; the driver keeps none of it."""
+    bits = table.sparkSession.sparkContext.broadcast(Bits(table))
+    give_back()
+    return bits
+
+
 class Places:
     """The words of documents, each with ``START`` before it, and their contexts."""
 
@@ -250,20 +258,20 @@ class Places:
 
 
 class Tree:
-    """What executors are sent: frequent words, frequent values and bitmaps of nodes and entries. ``tables`` has all nodes and entries."""
+    """What executors are sent: frequent words and frequent values. ``tables`` has all nodes and entries, ``nodes`` and ``entries`` their bitmaps, which are sent apart."""
 
     def __init__(self, heavy: np.ndarray, counts: np.ndarray, total: int, distinct: int, docs: int = 0):
         self.heavy, self.total, self.distinct = heavy, total, distinct
         self.start = len(heavy)
         self.counts = np.append(counts, docs)
         self.root = (counts + ALPHA) / (total + ALPHA * (distinct + 1))
-        self.nodes: list[Bits] = []
-        self.entries: list[Bits] = []
+        self.nodes: list[Broadcast] = []
+        self.entries: list[Broadcast] = []
         self.tables: list[tuple[DataFrame, DataFrame]] = []
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
 
     def __getstate__(self):
-        return self.__dict__ | {"tables": []}
+        return self.__dict__ | {"tables": [], "nodes": [], "entries": []}
 
     def all_values(self) -> DataFrame | None:
         """``k, n, v`` of all nodes and entries."""
@@ -291,13 +299,14 @@ class Tree:
         here = at >= 0
         return np.where(here, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys)), ~here & bits.has(keys)
 
-    def gains(self, words: np.ndarray, offsets: np.ndarray):
-        """Sums of values below the root for each place, and places and keys that are to be joined."""
+    def gains(self, words: np.ndarray, offsets: np.ndarray, bitmaps: list[tuple[Broadcast, Broadcast]]):
+        """Sums of values below the root for each place, and places and keys that are to be joined; ``bitmaps`` of nodes and entries by depth."""
         total, places, keys = np.zeros(len(words)), [], []
         p = Places(words, offsets)
         own, above = np.arange(len(words)), words
         sums = np.zeros(len(words), np.uint64)
-        for depth, (node, entry) in enumerate(zip(self.nodes, self.entries, strict=True), 1):
+        for depth, (node, entry) in enumerate(bitmaps, 1):
+            node, entry = node.value, entry.value
             far = p.before[own] >= depth
             own, sums, above = own[far], sums[far], above[far]
             at = p.at[own]
@@ -447,10 +456,10 @@ def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared):
     ``up`` is the entry of the parent; what is no entry there is seen too seldom here as well.
     """
     depth = len(tree.nodes)
-    large = learned.sparkSession.sparkContext.broadcast((tree.nodes[-1], Bits(candidates), tree.entries[-1]))
+    large, above, below = _sent(candidates), tree.nodes[-1], tree.entries[-1]
 
     def rows(batches):
-        node, wanted, entry = large.value
+        node, wanted, entry = above.value, large.value, below.value
         for batch in in_slices(batches, 256):
             p = Places(*_words(batch, shared.value.heavy))
             at, sums, _ = p.within(node, depth)
@@ -463,18 +472,17 @@ def _symbols(tree: Tree, learned: DataFrame, candidates: DataFrame, shared):
     return packed_counts(learned, rows, 2, LEAST_ENTRY, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, up long, n long"), large
 
 
-def _contexts(tree: Tree, learned: DataFrame, shared, node: Bits):
+def _contexts(tree: Tree, learned: DataFrame, shared) -> DataFrame:
     """``k, c, size`` of contexts of the next depth that occur often enough, with their parents."""
-    depth = len(tree.nodes)
-    sent = learned.sparkSession.sparkContext.broadcast(node)
+    depth, node = len(tree.nodes), tree.nodes[-1]
 
     def rows(batches):
         for batch in in_slices(batches, 256):
             p = Places(*_words(batch, shared.value.heavy))
-            at, sums, key = p.within(sent.value, depth)
+            at, sums, key = p.within(node.value, depth)
             yield _key(sums + _times(p.words[at - depth - 1], depth + 1), depth + 1), key
 
-    return packed_counts(learned, rows, 2, LEAST_CONTEXT, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, c long, size long"), sent
+    return packed_counts(learned, rows, 2, LEAST_CONTEXT, tree.total, lambda c, n: (c[0].view(np.int64), c[1].view(np.int64), n), "k long, c long, size long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -497,8 +505,8 @@ def _tested(tree: Tree, rows: DataFrame) -> bool:
     entries = written(entries, "lm-entries")
     dropped(held, gain)
     tree.tables.append((good, entries))
-    tree.nodes.append(Bits(good))
-    tree.entries.append(Bits(entries))
+    tree.nodes.append(_sent(good))
+    tree.entries.append(_sent(entries))
     return True
 
 
@@ -515,15 +523,12 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
 
     while _tested(tree, rows):
         nodes, entries = tree.tables[-1]
-        sent = None
         if len(tree.nodes) == 1:  # the counts of pairs are those of contexts of two words
             contexts = rows.where("k2 is not null").select(F.col("k2").alias("k"), F.col("c2").alias("c"), F.col("n").alias("size"))
         else:
-            contexts, sent = _contexts(tree, learned, shared, tree.nodes[-1])
+            contexts = _contexts(tree, learned, shared)
         # what the bitmaps let through in error has no parent among the nodes
         contexts = written(contexts.join(_small(nodes.select(F.col("k").alias("c"))), "c").select(F.col("k").alias("of"), "size"), "lm-contexts")
-        if sent:
-            sent.destroy()
         if contexts.isEmpty():
             break
         dropped(rows)
@@ -533,7 +538,7 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
         rows = written(found, "lm-symbols")
         sent.destroy()
         dropped(contexts)
-        give_back()
+        collected(spark)
     dropped(rows)
     shared.destroy()
 
@@ -555,11 +560,17 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     if total:
         _grow(tree, docs.where("learn").select("ids", "light"), counts)
     if tree.tables:
+        collected(spark)
         with shuffles_let_go(spark):
             rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
-        keys = rows.column(0).to_numpy().view(np.uint64)
+        keys, values = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
+        del rows
         order = np.argsort(keys)
-        tree.keys, tree.values = keys[order], rows.column(1).to_numpy()[order]
+        tree.keys = keys[order]
+        del keys
+        tree.values = values[order]
+        del values, order
+        collected(spark)
     tree.counts = np.zeros(0, np.int64)  # scoring needs the root only
     return tree, counts, docs
 
@@ -574,7 +585,7 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
     tree, counts, coded = fit(texts)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    shared, bitmaps = docs.sparkSession.sparkContext.broadcast(tree), list(zip(tree.nodes, tree.entries, strict=True))
     names = ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score", "k"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
@@ -586,7 +597,7 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
             words, offsets = _words(batch, tree.heavy, 3)
             known = ids >= 0
             base = np.where(known, np.log10(tree.root[np.where(known, ids, 0)]), 0.0) if len(tree.root) else np.zeros(len(ids))
-            gain, places, keys = tree.gains(words, offsets)
+            gain, places, keys = tree.gains(words, offsets, bitmaps)
             per = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(base + gain / math.log(10)), pa.float64()), pa.nulls(batch.num_rows, pa.int64())], names)
             if len(keys):
@@ -601,7 +612,8 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
     light = written(light.withColumnRenamed("rid", "light_rid"), "lm-light")
     scored = written(scored, "lm-scored")
-    shared.destroy()
+    for x in (shared, *tree.nodes, *tree.entries):
+        x.destroy()
     dropped(coded, counts)
     out = scored.where("k is null").drop("k").join(light, F.col("rid") == F.col("light_rid"), "left")
     if tree.tables:
