@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,9 +131,15 @@ def give_back() -> None:
 
 
 def collected(spark: SparkSession) -> None:
-    """The driver, its Python and its JVM, gives back what nothing refers to any more; else the heap grows to its limit, whatever is alive."""
+    """The driver, its Python and its JVM, gives back what nothing refers to any more; else heaps grow to their limits, whatever is alive.
+
+    The JVM's own C heap keeps what compiled plans and buffers have freed, unless it is told to trim it (from Java 17 on).
+    """
     give_back()
     spark._jvm.System.gc()
+    management = spark._jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    with contextlib.suppress(Py4JError):  # a JVM of another kind has no such command
+        management.invoke(spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", None, None)
 
 
 def in_slices(batches, rows: int = 256):

@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -46,6 +47,7 @@ _KEYS = 4_000_000
 #: Rows of keys up to which a table is sent to all executors.
 BROADCAST_ROWS = 500_000
 _MOST_BITS = 1 << 28
+_PIECES = 256
 
 
 def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
@@ -68,15 +70,21 @@ class Numbered:
                 own.prints.append(xxhash.xxh3_64_intdigest(word))
                 return n
 
-        self.prints, self.seen, self.known = [END & (2**64 - 1)], Seen(), 0
-        self.columns = None
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        """Numbers of a text's words and, as 0, its end."""
-        words = text.lower().split()
-        out = np.zeros(len(words) + 1, np.int64)
-        out[:-1] = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
-        return out
+        self.prints, self.seen = [END & (2**64 - 1)], Seen({None: 0})
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of texts, each text with 0 for its end, and where each begins."""
+        found, words, sizes = [np.zeros(0, np.int64)], [], [0]
+        for text in texts:
+            own = text.lower().split()
+            own.append(None)
+            sizes.append(len(own))
+            words += own
+            if len(words) > 100_000:
+                found.append(np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)))
+                words = []
+        found.append(np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)))
+        return np.concatenate(found), np.cumsum(sizes)
 
     @property
     def full(self) -> bool:
@@ -107,8 +115,12 @@ def packed_counts(docs: DataFrame, rows, width: int, least: int, total: int, fin
 
         def flush():
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            key, at, n = np.unique(keys(columns), return_index=True, return_counts=True)
-            columns, n = [c[at] for c in columns], n.astype(np.uint32)
+            key = keys(columns)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            columns, n = [c[order[first]] for c in columns], np.diff(np.append(first, len(key))).astype(np.uint32)
+            key = key[first]
             cuts = np.searchsorted(key, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(key)]
             group, data, counts = [], [], []
             for g, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -154,8 +166,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(words.fingerprints()[: len(counts)][seen]), pa.array(counts[seen])], ["k", "n"])
 
         for batch in in_slices(batches, 256):
-            ids = [words(t) for t in as_bytes(batch.column(0))]
-            new = np.bincount(np.concatenate(ids), minlength=len(words.prints))
+            ids, _ = words(as_bytes(batch.column(0)))
+            new = np.bincount(ids, minlength=len(words.prints))
             new[: len(counts)] += counts
             counts = new
             if words.full:
@@ -176,6 +188,27 @@ def _find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == of, at, -1)
 
 
+class Index:
+    """Finds keys, whose bits are as good as random, among sorted ones, by their first bits."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.shift, self.size = np.uint64(64 - bits), len(keys)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, of: np.ndarray) -> np.ndarray:
+        """Places of ``of``; -1 where absent."""
+        out, own, at = np.full(len(of), -1, np.int64), np.arange(len(of)), self.first[of >> self.shift].astype(np.int64)
+        while len(own):
+            here = self.keys[at]
+            good = (here == of) & (at < self.size)
+            out[own[good]] = at[good]
+            on = here < of
+            own, of, at = own[on], of[on], at[on] + 1
+        return out
+
+
 #: Contexts are named by a sum over their words, the last one first, each times a power of this.
 _POWER = 0x9E3779B97F4A7C15
 
@@ -196,18 +229,30 @@ def _entry(context: np.ndarray, above: np.ndarray) -> np.ndarray:
 
 
 class Bits:
-    """A bitmap of keys: false for most of the keys that a table does not have, never for one that it has."""
+    """A bitmap of keys: false for most of the keys that a table does not have, never for one that it has.
+
+    Executors make it in up to ``_PIECES`` pieces, so that the driver is sent its bytes and no rows of keys.
+    """
 
     def __init__(self, table: DataFrame, key: str = "k"):
         size = 64
         while size < min(_MOST_BITS, 16 * table.count()):
             size *= 2
         self.mask = size // 64 - 1
-        place = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(self.mask).cast("long"))
+        mask, width = self.mask, max(1, size // 64 // _PIECES)
+        place = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(mask).cast("long"))
+
+        def piece(rows):
+            k = rows.column("k").to_numpy().view(np.uint64)
+            at, words = ((k >> np.uint64(6)) & np.uint64(mask)).astype(np.int64), np.zeros(width, np.uint64)
+            np.bitwise_or.at(words, at % width, np.uint64(1) << (k & np.uint64(63)))
+            return pa.table({"piece": pa.array(at[:1] // width, pa.int64()), "words": pa.array([words.tobytes()], pa.binary())})
+
         with shuffles_let_go(table.sparkSession):
-            rows = table.select(place.alias("at"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-        self.words = np.zeros(self.mask + 1, np.uint64)
-        self.words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+            rows = table.select(F.shiftright(place, width.bit_length() - 1).alias("piece"), F.col(key).alias("k")).groupBy("piece").applyInArrow(piece, "piece long, words binary").toArrow()
+        self.words = np.zeros(mask + 1, np.uint64)
+        for at, words in zip(rows.column(0).to_pylist(), (x for c in rows.column(1).chunks for x in c), strict=True):
+            self.words[at * width : (at + 1) * width] = np.frombuffer(words.as_buffer(), np.uint64)
         del rows
         give_back()
 
@@ -216,9 +261,9 @@ class Bits:
 
 
 def _sent(table: DataFrame) -> Broadcast:
-    """The bitmap of a table's keys, sent to executors once; the driver keeps none of it."""
+    """The bitmap of a table's keys, sent to executors once; the driver keeps none of it, nor of what came before."""
     bits = table.sparkSession.sparkContext.broadcast(Bits(table))
-    give_back()
+    collected(table.sparkSession)
     return bits
 
 
@@ -269,9 +314,10 @@ class Tree:
         self.entries: list[Broadcast] = []
         self.tables: list[tuple[DataFrame, DataFrame]] = []
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        self.index: Index | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"tables": [], "nodes": [], "entries": []}
+        return self.__dict__ | {"tables": [], "nodes": [], "entries": [], "index": None}
 
     def all_values(self) -> DataFrame | None:
         """``k, n, v`` of all nodes and entries."""
@@ -293,11 +339,14 @@ class Tree:
     def keys2(self) -> np.ndarray:
         return self._keys_of(2)
 
-    def _add(self, keys: np.ndarray, bits: Bits):
-        """Values of keys as far as they are here, and which of the others may be in a table."""
-        at = _find(self.keys, keys)
-        here = at >= 0
-        return np.where(here, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys)), ~here & bits.has(keys)
+    def _values(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys as far as they are here, and which are not."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.ones(len(keys), bool)
+        if self.index is None:
+            self.index = Index(self.keys)
+        at = self.index.find(keys)
+        return np.where(at >= 0, self.values[at], 0.0), at < 0
 
     def gains(self, words: np.ndarray, offsets: np.ndarray, bitmaps: list[tuple[Broadcast, Broadcast]]):
         """Sums of values below the root for each place, and places and keys that are to be joined; ``bitmaps`` of nodes and entries by depth."""
@@ -315,10 +364,11 @@ class Tree:
             good = node.has(key)
             own, sums, key = own[good], sums[good], key[good]
             above = _entry(key, above[good])
-            for k, bits in ((key, node), (above, entry)):
-                v, open_ = self._add(k, bits)
-                total[own] += v
-                places.append(own[open_])
+            kept = entry.has(above)
+            for k, of in ((key, own), (above[kept], own[kept])):
+                v, open_ = self._values(k)
+                total[of] += v
+                places.append(of[open_])
                 keys.append(k[open_])
         none = np.zeros(0, np.int64)
         return total, np.concatenate([none, *places]), np.concatenate([none.view(np.uint64), *keys])
@@ -340,14 +390,16 @@ class Tree:
 
 
 def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """Values and offsets of a list column without nulls; every list has a value (the end)."""
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.diff(column.offsets.to_numpy())
-    return values, np.concatenate([[0], np.cumsum(sizes)])
+    """Numbers and offsets of a column ``ids``; every document has a number (its end)."""
+    _, at, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(at, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(np.int32).astype(np.int64) if len(column) else np.zeros(0, np.int64)
+    return values, (offsets - offsets[0]) // 4
 
 
 def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """``rid, doc_id, held_out, learn, ids, light``: heavy words by number, others as -1 and as fingerprints."""
+    """``rid, doc_id, held_out, learn, ids, light``: heavy words by number (four bytes each), others as -1 and as fingerprints."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches):
@@ -356,17 +408,18 @@ def encoded(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             if words.full:
                 words.reset()
                 prints, numbers = np.zeros(0, np.int64), np.zeros(0, np.int32)
-            own = [words(t) for t in as_bytes(batch.column(4))]
+            own, offsets = words(as_bytes(batch.column(4)))
             if len(words.prints) > len(prints):  # words met for the first time
                 more = np.array(words.prints[len(prints) :], np.uint64).view(np.int64)
                 prints, numbers = np.append(prints, more), np.append(numbers, _find(shared.value, more).astype(np.int32))
-            ids = [numbers[x] for x in own]
-            light = [prints[x[i < 0]] for x, i in zip(own, ids, strict=True)]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in a])]), pa.int32()), pa.array(np.concatenate(a) if a else [], k)) for a, k in ((ids, pa.int32()), (light, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["rid", "doc_id", "held_out", "learn", "ids", "light"])
+            ids = numbers[own]
+            rare = ids < 0
+            packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids)])
+            light = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rare))[offsets], pa.int32()), pa.array(prints[own[rare]], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed, light], ["rid", "doc_id", "held_out", "learn", "ids", "light"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "held_out", "learn", "text")
-    return written(rows.mapInArrow(released(run), "rid long, doc_id long, held_out boolean, learn boolean, ids array<int>, light array<long>"), "lm-encoded")
+    return written(rows.mapInArrow(released(run), "rid long, doc_id long, held_out boolean, learn boolean, ids binary, light array<long>"), "lm-encoded")
 
 
 def _words(batch, heavy: np.ndarray, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -500,6 +553,7 @@ def _tested(tree: Tree, rows: DataFrame) -> bool:
     good = held.join(gain, F.col("of") == F.col("k")).where(F.col("gain") + F.col("rest") >= LEAST_GAIN + GAIN_PER_ENTRY * F.col("m"))
     good = written(good.select("k", F.col("size_").alias("n"), F.log("left").alias("v")), "lm-nodes")
     if good.isEmpty():
+        dropped(held, gain, good)
         return False
     entries = with_left.join(_small(good.select(F.col("k").alias("good"))), F.col("k") == F.col("good")).select(F.col("e").alias("k"), "n", (F.log(F.col("p") / F.col("parent")) - F.log("left")).alias("v"), "p")
     entries = written(entries, "lm-entries")
@@ -530,6 +584,7 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
         # what the bitmaps let through in error has no parent among the nodes
         contexts = written(contexts.join(_small(nodes.select(F.col("k").alias("c"))), "c").select(F.col("k").alias("of"), "size"), "lm-contexts")
         if contexts.isEmpty():
+            dropped(contexts)
             break
         dropped(rows)
         found, sent = _symbols(tree, learned, contexts.select(F.col("of").alias("k")), shared)
@@ -543,6 +598,33 @@ def _grow(tree: Tree, learned: DataFrame, counts: DataFrame) -> None:
     shared.destroy()
 
 
+def _most_frequent(values: DataFrame, most: int) -> DataFrame:
+    """About ``most`` of the rows with the largest ``n``, found without sorting; of those on the boundary a share by key."""
+    level = F.floor(8 * F.log2("n"))
+    left, found = most, values.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    for x in found:
+        if x["count"] > left:
+            return values.where((level > x["level"]) | ((level == x["level"]) & (F.pmod("k", F.lit(4096)) < 4096 * left // x["count"])))
+        left -= x["count"]
+    return values
+
+
+def _each(docs: DataFrame) -> DataFrame:
+    """``rid, k, tf``: the different words of ``rid, light`` and how often each is there."""
+
+    def run(batches):
+        for batch in in_slices(batches, 256):
+            of, words = pa.compute.list_parent_indices(batch.column(1)).to_numpy(), batch.column(1).flatten().to_numpy()
+            if not len(words):
+                continue
+            order = np.lexsort((words, of))
+            of, words = of[order], words[order]
+            first = np.flatnonzero(np.concatenate([[True], (words[1:] != words[:-1]) | (of[1:] != of[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[of[first]]), pa.array(words[first]), pa.array(np.diff(np.append(first, len(words))))], ["rid", "k", "tf"])
+
+    return docs.select("rid", "light").mapInArrow(released(run), "rid long, k long, tf long")
+
+
 def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     """The tree, the table of word counts and the encoded documents of ``doc_id, held_out, learn, text``."""
     spark = texts.sparkSession
@@ -562,7 +644,7 @@ def fit(texts: DataFrame) -> tuple[Tree, DataFrame, DataFrame]:
     if tree.tables:
         collected(spark)
         with shuffles_let_go(spark):
-            rows = tree.all_values().orderBy(F.desc("n"), "k").limit(SHIPPED).select("k", "v").toArrow()
+            rows = _most_frequent(tree.all_values(), SHIPPED).select("k", "v").toArrow()
         keys, values = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
         del rows
         order = np.argsort(keys)
@@ -606,7 +688,7 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *none, pa.array(keys.view(np.int64))], names)
 
     scored = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double, k long")
-    light = coded.select("rid", F.explode("light").alias("k")).groupBy("rid", "k").agg(F.count("*").alias("tf"))
+    light = _each(coded)
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
