@@ -33,3 +33,20 @@ def test_lookup_by_first_bits():
     for held in (keys, keys[:1], keys[:0], close, np.append(keys, np.uint64(2**64 - 1))):
         of = np.concatenate([held, keys + np.uint64(1), [np.uint64(0), np.uint64(2**64 - 1)]])
         assert (suffix_tree.Index(held).find(of) == [np.flatnonzero(held == x)[0] if (held == x).any() else -1 for x in of]).all()
+
+
+def test_rows_to_be_joined_are_not_stored(spark, monkeypatch):
+    """Only a row for each document is written; a row for each place that met a value that is not sent was, too."""
+    texts = spark.createDataFrame([(i, "a b c d e f g h") for i in range(60)] + [(None, "a b x"), (None, None)], "doc_id long, text string")
+    stored, write = {}, suffix_tree.written
+
+    def counted(df, name):
+        out = write(df, name)
+        stored[name] = stored.get(name, 0) + (out.count() if name == "lm-scored" else 0)
+        return out
+
+    monkeypatch.setattr(suffix_tree, "written", counted)
+    monkeypatch.setattr(suffix_tree, "SHIPPED", 2)
+    out = suffix_tree.scores(texts, F.col("doc_id").isNotNull(), F.lit(False)).collect()
+    assert len(out) == stored["lm-scored"] == 62
+    assert sorted(r.n_tokens for r in out) == [1, 4, *[9] * 60] and len({r.score for r in out}) == 3

@@ -48,6 +48,8 @@ _KEYS = 4_000_000
 BROADCAST_ROWS = 500_000
 _MOST_BITS = 1 << 28
 _PIECES = 256
+#: Parts in which documents are scored, so that the rows that are joined lie on disk for one part at a time.
+_PARTS = 2
 
 
 def tokens(text: bytes, hasher: WordHasher) -> np.ndarray:
@@ -668,11 +670,11 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("string").alias("text"))
     tree, counts, coded = fit(texts)
     shared, bitmaps = docs.sparkSession.sparkContext.broadcast(tree), list(zip(tree.nodes, tree.entries, strict=True))
-    names = ["rid", "doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score", "k"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    names = ["doc_id", "held_out", "n_tokens", "heavy_known", "heavy_base", "heavy_score"]
+    kind = pa.struct(list(zip(names, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)))
 
     def run(batches):
-        """A row for each document, and one with ``k`` for each value that is to be joined."""
+        """A row for each document, whose ``k`` only deals it out, and one for each value that is to be joined."""
         tree = shared.value
         for batch in in_slices(batches, 256):
             ids, _ = _flat(batch.column(3))
@@ -681,29 +683,30 @@ def scores(docs: DataFrame, learn: F.Column, held_out: F.Column) -> DataFrame:
             base = np.where(known, np.log10(tree.root[np.where(known, ids, 0)]), 0.0) if len(tree.root) else np.zeros(len(ids))
             gain, places, keys = tree.gains(words, offsets, bitmaps)
             per = lambda x: np.add.reduceat(x, offsets[:-1])  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int64()), pa.array(per(known.astype(np.int64)), pa.int64()), pa.array(per(base), pa.float64()), pa.array(per(base + gain / math.log(10)), pa.float64()), pa.nulls(batch.num_rows, pa.int64())], names)
+            own = pa.StructArray.from_arrays([*batch.columns[1:3], *map(pa.array, (np.diff(offsets), per(known.astype(np.int64)), per(base), per(base + gain / math.log(10))))], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64)), own], ["rid", "k", "doc"])
             if len(keys):
                 rid = batch.column(0).to_numpy()[np.searchsorted(offsets, places, "right") - 1]
-                none = [pa.nulls(len(keys), k) for k in kinds[1:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), *none, pa.array(keys.view(np.int64))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(keys.view(np.int64)), pa.nulls(len(keys), kind)], ["rid", "k", "doc"])
 
-    scored = coded.select("rid", "doc_id", "held_out", "ids", "light").mapInArrow(released(run), "rid long, doc_id long, held_out boolean, n_tokens long, heavy_known long, heavy_base double, heavy_score double, k long")
     light = _each(coded)
     c = F.coalesce(F.col("n"), F.lit(0))
     value = F.log10((c + ALPHA) / F.lit(float(tree.total + ALPHA * (tree.distinct + 1))))
     light = light.join(counts, "k", "left").groupBy("rid").agg(F.sum(F.col("tf") * value).alias("light_base"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("light_known"))
     light = written(light.withColumnRenamed("rid", "light_rid"), "lm-light")
-    scored = written(scored, "lm-scored")
+    scored = None
+    for part in range(_PARTS):
+        rows = coded.where(F.pmod(F.xxhash64("rid"), F.lit(_PARTS)) == part).select("rid", "doc_id", "held_out", "ids", "light")
+        rows = rows.mapInArrow(released(run), "rid long, k long, doc struct<doc_id: long, held_out: boolean, n_tokens: long, heavy_known: long, heavy_base: double, heavy_score: double>")
+        if tree.tables:
+            rows = rows.join(tree.all_values().select("k", "v"), "k", "left").groupBy("rid").agg(*[F.max(f"doc.{x}").alias(x) for x in names], (F.sum(F.when(F.col("doc").isNull(), F.col("v"))) / math.log(10)).alias("deep"))
+        else:
+            rows = rows.select("rid", "doc.*", F.lit(0.0).alias("deep"))
+        rows = written(rows, "lm-scored")
+        scored = rows if scored is None else scored.unionByName(rows)
     for x in (shared, *tree.nodes, *tree.entries):
         x.destroy()
-    dropped(coded, counts)
-    out = scored.where("k is null").drop("k").join(light, F.col("rid") == F.col("light_rid"), "left")
-    if tree.tables:
-        deep = scored.where("k is not null").select("rid", "k").join(tree.all_values().select("k", "v"), "k")
-        deep = written(deep.groupBy(F.col("rid").alias("deep_rid")).agg((F.sum("v") / math.log(10)).alias("deep")), "lm-deep")
-        out = out.join(deep, F.col("rid") == F.col("deep_rid"), "left")
-        dropped(*[t for pair in tree.tables for t in pair])
-    else:
-        out = out.withColumn("deep", F.lit(0.0))
+    dropped(coded, counts, *[t for pair in tree.tables for t in pair])
+    out = scored.join(light, F.col("rid") == F.col("light_rid"), "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("heavy_known") + zero("light_known")).cast("long").alias("n_known"), F.lit(int(tree.total)).cast("long").alias("train_tokens"), (F.col("heavy_base") + zero("light_base")).alias("base_score"), (F.col("heavy_score") + zero("light_base") + zero("deep")).alias("score"))
